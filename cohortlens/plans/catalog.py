@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from cohortlens.operators import aggregates as A
 from cohortlens.operators import quality as Q
 from cohortlens.operators import stats as S
-from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, order_profile
+from cohortlens.operators import splits as SP
+from cohortlens.operators import evaluate as EV
+from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, doc_scores, order_profile
 from cohortlens.sources.tables import read_table
 
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -258,5 +260,96 @@ def q_kde(spark, sf):
                      F.round(F.col("density") * 1e6, 6).alias("density_e6"))
 
 
+# ------------------------------------------------------- splits and folds
+def _orders_y(spark, sf):
+    o = read_table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("id"),
+                    (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"))
+
+
+def q_stratified_split(spark, sf):
+    return SP.stratified_split(_orders_y(spark, sf), seed=42)
+
+
+def q_folds(spark, sf):
+    train = SP.stratified_split(_orders_y(spark, sf), seed=42).where(F.col("split") == "train")
+    return SP.repeated_folds(train.select("id", "y"), v=5, repeats=3, seed=42)
+
+
+# ------------------------------------------------------------- evaluation
+def _doc_folds(spark, sf):
+    lab = read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    return SP.repeated_folds(lab, v=5, repeats=3, seed=7)
+
+
+def _scores(spark, sf):
+    return doc_scores(spark, sf)
+
+
+def q_roc_curve(spark, sf):
+    return finalize(EV.roc_curve(_scores(spark, sf)))
+
+
+def q_pr_curve(spark, sf):
+    return finalize(EV.pr_curve(_scores(spark, sf)))
+
+
+def q_auc(spark, sf):
+    return finalize(EV.roc_auc(_scores(spark, sf)))
+
+
+def q_threshold_sweep(spark, sf):
+    return finalize(EV.threshold_sweep(_scores(spark, sf)))
+
+
+def q_best_threshold(spark, sf):
+    return finalize(EV.best_threshold(_scores(spark, sf)))
+
+
+def q_confusion(spark, sf):
+    pred = _scores(spark, sf)
+    return finalize(EV.confusion_at(pred, EV.best_threshold(pred)))
+
+
+def q_metrics_at(spark, sf):
+    pred = _scores(spark, sf)
+    return finalize(EV.metrics_at(pred, EV.best_threshold(pred)))
+
+
+def _fold_long(spark, sf):
+    pred = _scores(spark, sf).join(_doc_folds(spark, sf).drop("y"), "id")
+    return EV.fold_metrics(pred)
+
+
+def q_fold_metrics(spark, sf):
+    return finalize(_fold_long(spark, sf))
+
+
+def q_model_compare(spark, sf):
+    return finalize(EV.model_compare(_fold_long(spark, sf)))
+
+
+def q_metrics_wide(spark, sf):
+    return finalize(EV.metrics_wide(_fold_long(spark, sf)))
+
+
+def q_best_model(spark, sf):
+    return finalize(EV.best_model(EV.model_compare(_fold_long(spark, sf))))
+
+
+def q_display_metrics(spark, sf):
+    pred = _scores(spark, sf)
+    return finalize(EV.display_metrics(EV.metrics_at(pred, EV.best_threshold(pred))))
+
+
+def q_model_summary(spark, sf):
+    pred = _scores(spark, sf)
+    return EV.model_summary(EV.metrics_at(pred, EV.best_threshold(pred)))
+
+
+def q_roc_marker(spark, sf):
+    return finalize(EV.roc_with_marker(_scores(spark, sf)))
+
+
 def query_catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}

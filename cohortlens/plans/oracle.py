@@ -255,6 +255,7 @@ def oracle_catalog() -> dict[str, str]:
              round(sum(exp(-0.5 * ((x - c_acctbal) / bw) ^ 2) / (n * bw * sqrt(2 * pi()))) * 1e6, 6) + 0.0 AS density_e6
       FROM g JOIN customer c ON g.c_mktsegment = c.c_mktsegment
       GROUP BY g.c_mktsegment, point"""
+    o.update(ml_oracles())
     return o
 
 
@@ -296,3 +297,172 @@ def _histogram_sql(table: str, col: str, by: str | None) -> tuple[str, str]:
         body = f"""SELECT grid.bin, {lo} AS bin_lo, {hi} AS bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
               FROM grid CROSS JOIN e LEFT JOIN c ON grid.bin = c.bin"""
     return f"{edges}, {counts}, {grid}", body
+
+
+# ------------------------------------------------------------------ splits, evaluation
+ORDERS_Y = "oy AS (SELECT o_orderkey AS id, CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS y FROM orders)"
+SPLIT_RANK = """sr AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS rk,
+                   count(*) OVER (PARTITION BY y) AS n FROM oy)"""
+
+
+def _folds_cte(src: str, seed: int, name: str = "fo") -> str:
+    return f"""{name}_rep AS (SELECT id, y, CAST(rp AS INTEGER) AS rep FROM {src}, range(1, 4) t(rp)),
+      {name} AS (SELECT id, y, rep AS "repeat",
+                   CAST((row_number() OVER (PARTITION BY rep, y ORDER BY md5('{seed}:' || CAST(rep AS VARCHAR) || ':' || CAST(id AS VARCHAR)), id) - 1) % 5 + 1 AS INTEGER) AS fold
+                 FROM {name}_rep)"""
+
+
+DOC_SCORES = """ds AS (
+  SELECT m.model, d.doc_id AS id, l.toxic AS y,
+         CASE m.model
+           WHEN 'length' THEN CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2500.0)
+           WHEN 'brevity' THEN 2500.0 / (CAST(d.n_chars AS DOUBLE) + 2500.0)
+           ELSE CAST(len(string_split(d.text, ' ')) AS DOUBLE) / (CAST(len(string_split(d.text, ' ')) AS DOUBLE) + 400.0)
+         END AS score
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  CROSS JOIN (VALUES ('length'), ('brevity'), ('words')) m(model))"""
+
+
+def _cum_cte(src: str, keys: str) -> str:
+    return f"""cl AS (SELECT {keys}, score, sum(y) AS n1, sum(1 - y) AS n0 FROM {src} GROUP BY {keys}, score),
+      tot AS (SELECT {keys}, sum(y) AS P, sum(1 - y) AS N FROM {src} GROUP BY {keys}),
+      cc AS (SELECT cl.*, P, N,
+               sum(n1) OVER (PARTITION BY {', '.join('cl.' + k.strip() for k in keys.split(','))} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum1,
+               sum(n0) OVER (PARTITION BY {', '.join('cl.' + k.strip() for k in keys.split(','))} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum0
+             FROM cl JOIN tot USING ({keys}))"""
+
+
+def _auc_cte(keys: str) -> str:
+    return f"""auc AS (SELECT {keys}, sum(n1 * (N - cum0 + 0.5 * n0)) / (any_value(P) * any_value(N)) AS roc_auc
+                FROM cc GROUP BY {keys})"""
+
+
+SWEEP = """g AS (SELECT CAST(k AS DOUBLE) / 100.0 AS threshold FROM range(5, 96) t(k)),
+      tc AS (SELECT model, threshold,
+                    sum(CASE WHEN y = 1 AND score >= threshold THEN 1 ELSE 0 END) AS tp,
+                    sum(CASE WHEN y = 0 AND score >= threshold THEN 1 ELSE 0 END) AS fp,
+                    sum(CASE WHEN y = 1 AND score < threshold THEN 1 ELSE 0 END) AS fn,
+                    sum(CASE WHEN y = 0 AND score < threshold THEN 1 ELSE 0 END) AS tn
+             FROM ds CROSS JOIN g GROUP BY model, threshold),
+      sw AS (SELECT model, threshold, tp / (tp + fn) AS sensitivity, tn / (tn + fp) AS specificity FROM tc),
+      swj AS (SELECT *, sensitivity + specificity - 1 AS j_index,
+                     (1 - sensitivity) ^ 2 + (1 - specificity) ^ 2 AS distance FROM sw),
+      bt AS (SELECT model, min(threshold) FILTER (WHERE j_index = mj) AS threshold, any_value(mj) AS j_index
+             FROM (SELECT *, max(j_index) OVER (PARTITION BY model) AS mj FROM swj) GROUP BY model)"""
+
+COUNTS_AT = """ct AS (SELECT ds.model, bt.threshold,
+                    CAST(sum(CASE WHEN score >= bt.threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS TP,
+                    CAST(sum(CASE WHEN score >= bt.threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS FP,
+                    CAST(sum(CASE WHEN score < bt.threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS FN,
+                    CAST(sum(CASE WHEN score < bt.threshold AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS TN
+             FROM ds JOIN bt ON ds.model = bt.model GROUP BY ds.model, bt.threshold)"""
+
+
+def _metric_cols(src: str, keys: str) -> str:
+    return f"""SELECT {keys}, CAST(TP + TN AS DOUBLE) / (TP + FP + FN + TN) AS accuracy,
+                   CASE WHEN TP + FN > 0 THEN CAST(TP AS DOUBLE) / (TP + FN) END AS sensitivity,
+                   CASE WHEN TN + FP > 0 THEN CAST(TN AS DOUBLE) / (TN + FP) END AS specificity,
+                   CASE WHEN TP + FP > 0 THEN CAST(TP AS DOUBLE) / (TP + FP) END AS precision
+            FROM {src}"""
+
+
+def _with_f1(src: str, keys: str) -> str:
+    return f"""SELECT {keys}, accuracy, sensitivity, specificity, precision,
+                   CASE WHEN precision + sensitivity > 0 THEN 2 * precision * sensitivity / (precision + sensitivity) END AS f_meas
+            FROM ({_metric_cols(src, keys)})"""
+
+
+METRICS6 = ["accuracy", "sensitivity", "specificity", "precision", "f_meas", "roc_auc"]
+
+
+def _long_metrics(src: str, keys: str, names=METRICS6, rnd: int = 6) -> str:
+    return _union([f"SELECT {keys}, '{m}' AS metric, {r(m, rnd)} AS estimate FROM {src}" for m in names])
+
+
+FRIENDLY_SQL = """CASE metric WHEN 'accuracy' THEN 'Accuracy' WHEN 'sensitivity' THEN 'Sensitivity (Recall)'
+      WHEN 'specificity' THEN 'Specificity' WHEN 'precision' THEN 'Precision' WHEN 'f_meas' THEN 'F1 Score'
+      WHEN 'roc_auc' THEN 'ROC AUC' WHEN 'j_index' THEN 'Youden J' WHEN 'distance' THEN 'Distance to corner'
+      ELSE metric END"""
+
+
+def ml_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["stratified_split"] = f"""WITH {ORDERS_Y}, {SPLIT_RANK}
+      SELECT id, y, CASE WHEN rk < floor(n * 7 / 10) THEN 'train' ELSE 'test' END AS split FROM sr"""
+    o["folds"] = f"""WITH {ORDERS_Y}, {SPLIT_RANK},
+      tr AS (SELECT id, y FROM sr WHERE rk < floor(n * 7 / 10)), {_folds_cte('tr', 42)}
+      SELECT id, y, "repeat", fold FROM fo"""
+    o["roc_curve"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}
+      SELECT model, {r('score')} AS threshold, {r('cum1 / P')} AS tpr, {r('cum0 / N')} AS fpr FROM cc
+      UNION ALL SELECT DISTINCT model, NULL, 0.0, 0.0 FROM ds"""
+    o["pr_curve"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}
+      SELECT model, {r('score')} AS threshold, {r('cum1 / P')} AS recall, {r('cum1 / (cum1 + cum0)')} AS precision FROM cc
+      UNION ALL SELECT DISTINCT model, NULL, 0.0, 1.0 FROM ds"""
+    o["auc"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}, {_auc_cte('model')}
+      SELECT model, {r('roc_auc')} AS roc_auc FROM auc"""
+    o["threshold_sweep"] = f"""WITH {DOC_SCORES}, {SWEEP}
+      SELECT model, {r('threshold')} AS threshold, metric, {r('estimate')} AS estimate FROM (
+        SELECT model, threshold, 'j_index' AS metric, j_index AS estimate FROM swj
+        UNION ALL SELECT model, threshold, 'sensitivity', sensitivity FROM swj
+        UNION ALL SELECT model, threshold, 'specificity', specificity FROM swj
+        UNION ALL SELECT model, threshold, 'distance', distance FROM swj)"""
+    o["best_threshold"] = f"""WITH {DOC_SCORES}, {SWEEP}
+      SELECT model, {r('threshold')} AS threshold, {r('j_index')} AS j_index FROM bt"""
+    o["confusion"] = f"""WITH {DOC_SCORES}, {SWEEP}, {COUNTS_AT}
+      SELECT model, {r('threshold')} AS threshold, cell, n,
+             CASE WHEN cell IN ('TP', 'FP') THEN 1 ELSE 0 END AS predicted,
+             CASE WHEN cell IN ('TP', 'FN') THEN 1 ELSE 0 END AS actual,
+             CASE cell WHEN 'TP' THEN 'caught' WHEN 'FP' THEN 'false alarm' WHEN 'FN' THEN 'missed (costly)'
+                       ELSE 'correctly cleared' END AS reading
+      FROM (SELECT model, threshold, 'TP' AS cell, TP AS n FROM ct UNION ALL SELECT model, threshold, 'FP', FP FROM ct
+            UNION ALL SELECT model, threshold, 'FN', FN FROM ct UNION ALL SELECT model, threshold, 'TN', TN FROM ct)"""
+    metrics_at_cte = f"""{DOC_SCORES}, {SWEEP}, {COUNTS_AT}, {_cum_cte('ds', 'model')}, {_auc_cte('model')},
+      mw AS (SELECT m.*, auc.roc_auc FROM ({_with_f1('ct', 'model, threshold')}) m JOIN auc USING (model))"""
+    o["metrics_at"] = f"""WITH {metrics_at_cte}
+      SELECT model, {r('threshold')} AS threshold, metric, estimate FROM ({_long_metrics('mw', 'model, threshold')})"""
+    o["display_metrics"] = f"""WITH {metrics_at_cte}
+      SELECT model, {r('threshold')} AS threshold, metric, {r('round(estimate, 3)')} AS estimate,
+             {FRIENDLY_SQL} AS metric_name
+      FROM ({_long_metrics('mw', 'model, threshold', rnd=12)})"""
+
+    def pct(c):
+        return f"coalesce(CAST(round({c} * 100.0, 1) AS VARCHAR), 'NA')"
+    o["model_summary"] = f"""WITH {metrics_at_cte}
+      SELECT model, {r('threshold')} AS threshold,
+             'At threshold ' || CAST(threshold AS VARCHAR) || ' the model finds ' || {pct('sensitivity')} ||
+             '% of positives, clears ' || {pct('specificity')} || '% of negatives; ' || {pct('precision')} ||
+             '% of flagged rows are positive; ROC AUC ' || coalesce(CAST(round(roc_auc, 3) AS VARCHAR), 'NA') || '.' AS summary
+      FROM mw"""
+    fold_cte = f"""{DOC_SCORES}, lab AS (SELECT doc_id AS id, toxic AS y FROM labels), {_folds_cte('lab', 7)},
+      fp AS (SELECT ds.model, fo."repeat", fo.fold, ds.id, ds.y, ds.score FROM ds JOIN fo ON ds.id = fo.id AND ds.y = fo.y
+             AND fo."repeat" IS NOT NULL),
+      fc AS (SELECT model, "repeat", fold,
+                    CAST(sum(CASE WHEN score >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS TP,
+                    CAST(sum(CASE WHEN score >= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS FP,
+                    CAST(sum(CASE WHEN score < 0.5 AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS FN,
+                    CAST(sum(CASE WHEN score < 0.5 AND y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS TN
+             FROM fp GROUP BY model, "repeat", fold),
+      {_cum_cte('fp', 'model, "repeat", fold')}, {_auc_cte('model, "repeat", fold')},
+      fw AS (SELECT m.*, auc.roc_auc FROM ({_with_f1('fc', 'model, "repeat", fold')}) m
+             JOIN auc USING (model, "repeat", fold)),
+      fl AS (SELECT model, "repeat", fold, metric, estimate FROM ({_long_metrics('fw', 'model, "repeat", fold', rnd=15)})),
+      mc AS (SELECT model, avg(estimate) AS mean, stddev_samp(estimate) / sqrt(count(estimate)) AS std_err,
+                    CAST(count(estimate) AS BIGINT) AS n FROM fl WHERE metric = 'roc_auc' GROUP BY model)"""
+    o["fold_metrics"] = f"""WITH {fold_cte}
+      SELECT model, "repeat", fold, metric, {r('estimate')} AS estimate FROM fl"""
+    o["model_compare"] = f"""WITH {fold_cte}
+      SELECT model, {r('mean')} AS mean, {r('std_err')} AS std_err, n FROM mc"""
+    o["metrics_wide"] = f"""WITH {fold_cte}
+      SELECT model, """ + ", ".join(
+        f"{r(f'avg(CASE WHEN metric = {chr(39)}{m}{chr(39)} THEN estimate END)')} AS {m}"
+        for m in sorted(METRICS6)) + " FROM fl GROUP BY model"
+    o["best_model"] = f"""WITH {fold_cte}
+      SELECT model, {r('mean')} AS mean FROM mc ORDER BY mean DESC, model LIMIT 1"""
+    o["roc_marker"] = f"""WITH {DOC_SCORES}, {SWEEP},
+      pts AS (SELECT model, threshold, tp / (tp + fn) AS tpr, fp / (fp + tn) AS fpr FROM tc
+              UNION ALL SELECT DISTINCT model, NULL, 0.0, 0.0 FROM ds
+              UNION ALL SELECT DISTINCT model, NULL, 1.0, 1.0 FROM ds)
+      SELECT pts.model, {r('pts.threshold')} AS threshold, {r('tpr')} AS tpr, {r('fpr')} AS fpr,
+             coalesce(pts.threshold = bt.threshold, false) AS is_operating_point
+      FROM pts JOIN bt ON pts.model = bt.model"""
+    return o

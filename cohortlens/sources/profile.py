@@ -65,12 +65,13 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Score expressions of the three document "models".  All use one IEEE
-# division, so Spark and the SQL oracle produce the same bits.
+# Score expressions of the three document "models".  All are one IEEE double
+# division (``D`` suffix: Spark would otherwise use decimal arithmetic), so
+# Spark and the SQL oracle produce the same bits.
 DOC_MODELS = {
-    "length": "n_chars / (n_chars + 2500.0)",
-    "brevity": "2500.0 / (n_chars + 2500.0)",
-    "words": "n_words / (n_words + 400.0)",
+    "length": "double(n_chars) / (double(n_chars) + 2500D)",
+    "brevity": "2500D / (double(n_chars) + 2500D)",
+    "words": "double(n_words) / (double(n_words) + 400D)",
 }
 
 
@@ -105,5 +106,5 @@ EMPLOYEE_COLUMNS = [
 ]
 _TYPES = {"int": T.IntegerType(), "string": T.StringType()}
 EMPLOYEE_SCHEMA = T.StructType([T.StructField(n, _TYPES[t], True) for n, t in EMPLOYEE_COLUMNS])
-# Identifier, constants and rate noise removed to form the modelling table.
+# Identifier and constant columns removed to form the modelling table.
 EMPLOYEE_DROP = ["EmployeeNumber", "EmployeeCount", "Over18", "StandardHours"]
