@@ -7,6 +7,8 @@ the same as the SQL oracle in ``oracle.py``.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,11 @@ from cohortlens.operators import quality as Q
 from cohortlens.operators import stats as S
 from cohortlens.operators import splits as SP
 from cohortlens.operators import evaluate as EV
+from cohortlens.operators import features as FE
+from cohortlens.operators import smote as SM
+from cohortlens.operators import models as MD
+from cohortlens.operators import tuning as TU
+from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, doc_scores, order_profile
 from cohortlens.sources.tables import read_table
 
@@ -351,5 +358,130 @@ def q_roc_marker(spark, sf):
     return finalize(EV.roc_with_marker(_scores(spark, sf)))
 
 
+# --------------------------------------------------------------- features
+def q_engineered_features(spark, sf):
+    df = FE.engineered_features(_profile(spark, sf), FE.ORDER_FEATURES)
+    return finalize(df.select("id", *FE.ORDER_FEATURES))
+
+
+NZV_COLS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+def q_nzv_report(spark, sf):
+    return finalize(FE.nzv_report(read_table(spark, sf, "lineitem"), NZV_COLS))
+
+
+DUMMY_COLS = ["o_orderstatus", "c_mktsegment", "r_name"]
+
+
+def q_dummy_coding(spark, sf):
+    df = _profile(spark, sf)
+    levels = FE.categorical_levels(df, DUMMY_COLS)
+    return FE.dummy_columns(df.select("id", *DUMMY_COLS), levels)
+
+
+def q_normalize(spark, sf):
+    df = _profile(spark, sf)
+    return finalize(FE.standardize(df.select("id", *ORDER_NUMERICS), ORDER_NUMERICS))
+
+
+def _embeddings_binary(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
+
+
+def q_smote_neighbours(spark, sf):
+    e = _embeddings_binary(spark, sf).where("y = 1")
+    return finalize(SM.knn_within(e, "vec_id", "embedding", k=5)
+                    .withColumnRenamed("id", "vec_id"))
+
+
+def q_smote_rows(spark, sf):
+    return SM.smote(_embeddings_binary(spark, sf), "vec_id", "embedding", "y", minority=1,
+                    over_ratio=0.8, k=5, seed=42)
+
+
+# ------------------------------------------------------ models and tuning
+_ML_RUNS: dict = {}
+
+
+def ml_run(spark, sf):
+    """Tune the light model set on the order profile's training split (3 folds x 1
+    repeat), refit the best model on all training rows and score the test rows.
+    Memoised per (session, sf_dir) so the model queries share one run."""
+    key = (id(spark), sf)
+    if key in _ML_RUNS:
+        return _ML_RUNS[key]
+    prof = _profile(spark, sf)
+    split = SP.stratified_split(prof.select("id", "y"), seed=42)
+    feats = prof.drop("y")
+    both = materialize(feats.join(split.select("id", "y", "split"), "id"), "profile-split")
+    train = both.where("split = 'train'").drop("split")
+    test = both.where("split = 'test'").drop("split")
+    folds = materialize(SP.repeated_folds(train.select("id", "y"), v=3, repeats=1, seed=42), "folds")
+    specs = MD.light_specs()
+    rc = TU.Recipe(ORDER_NUMERICS, ORDER_CATEGORICALS, FE.ORDER_FEATURES)
+    path = TU.tune(spark, specs, train, folds, rc, parallelism=4)
+    pred = TU.read_predictions(spark, path)
+    cv = TU.cv_metrics(pred)
+    best = TU.select_best(cv)
+    best_rows = best.collect()  # one row per model family
+    winner = max(best_rows, key=lambda r: (r["mean"], -ord(r["model"][0])))
+    spec = next(sp for sp in specs if sp.name == winner["model"])
+    final = TU.fit_one(spec, spec.grid[int(winner["config"])], train, rc)
+    test_pred = TU.score(final, test).select(F.lit(spec.name).alias("model"), "id", "y", "score")
+    thr = EV.best_threshold(test_pred)
+    bundle = os.path.join(ensure_checkpoint_dir(spark), f"bundle-{uuid.uuid4().hex}")
+    TU.save_bundle(final, thr.first()["threshold"], bundle)
+    prepped = final.stages[0].transform(train)
+    run = {"specs": specs, "pred_path": path, "cv": cv, "best": best, "best_rows": best_rows,
+           "winner": winner["model"], "final": final, "test_pred": test_pred, "thr": thr,
+           "bundle": bundle, "prepped": prepped}
+    _ML_RUNS[key] = run
+    return run
+
+
+def q_model_cv(spark, sf):
+    return finalize(ml_run(spark, sf)["cv"])
+
+
+def q_model_select(spark, sf):
+    run = ml_run(spark, sf)
+    return finalize(EV.model_compare(TU.best_only(run["cv"], run["best"])))
+
+
+def q_model_metrics_wide(spark, sf):
+    run = ml_run(spark, sf)
+    return finalize(EV.metrics_wide(TU.best_only(run["cv"], run["best"])))
+
+
+def q_best_params(spark, sf):
+    run = ml_run(spark, sf)
+    return TU.best_params_long(spark, run["specs"], run["best_rows"])
+
+
+def q_importance(spark, sf):
+    run = ml_run(spark, sf)
+    return TU.importance(run["final"], run["prepped"]).withColumn("model", F.lit(run["winner"]))
+
+
+def q_final_metrics(spark, sf):
+    run = ml_run(spark, sf)
+    return finalize(EV.metrics_at(run["test_pred"], run["thr"]))
+
+
+def q_final_threshold_curve(spark, sf):
+    run = ml_run(spark, sf)
+    return finalize(EV.threshold_sweep(run["test_pred"]))
+
+
+def q_model_score(spark, sf):
+    """D2 with the persisted bundle: load it and score the whole profile table."""
+    run = ml_run(spark, sf)
+    model, t = TU.load_bundle(spark, run["bundle"])
+    scored = TU.score(model, _profile(spark, sf))
+    return finalize(scored.select("id", "y", "score", (F.col("score") >= t).cast("int").alias("predicted")))
+
+
 def query_catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}

@@ -256,6 +256,7 @@ def oracle_catalog() -> dict[str, str]:
       FROM g JOIN customer c ON g.c_mktsegment = c.c_mktsegment
       GROUP BY g.c_mktsegment, point"""
     o.update(ml_oracles())
+    o.update(feature_oracles())
     return o
 
 
@@ -466,3 +467,48 @@ def ml_oracles() -> dict[str, str]:
              coalesce(pts.threshold = bt.threshold, false) AS is_operating_point
       FROM pts JOIN bt ON pts.model = bt.model"""
     return o
+
+
+# ------------------------------------------------------------------ features, SMOTE
+def feature_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    o["engineered_features"] = with_profile(f"""
+      SELECT id, {r('(disc_avg + tax_avg) / 2.0')} AS avg_rate,
+             {r('least(returned_lines / greatest(n_lines, 1), 1.0)')} AS returned_ratio,
+             {r('qty_sum / greatest(n_lines, 1)')} AS qty_per_line,
+             {r('o_totalprice / greatest(qty_sum, 1.0)')} AS price_per_qty
+      FROM order_profile""")
+    cols = [("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"),
+            ("l_linenumber", "l_linenumber"), ("l_quantity", "l_quantity + 0.0"),
+            ("l_discount", "l_discount + 0.0"), ("l_tax", "l_tax + 0.0")]
+    lv = _union([f"SELECT '{n}' AS variable, CAST({e} AS VARCHAR) AS value FROM lineitem" for n, e in cols])
+    o["nzv_report"] = f"""
+      WITH lv AS ({lv}),
+        fr AS (SELECT variable, value, count(*) AS cnt FROM lv GROUP BY variable, value),
+        tp AS (SELECT variable, max(cnt) AS m1, count(*) AS n_distinct, sum(cnt) AS n FROM fr GROUP BY variable),
+        sc AS (SELECT fr.variable, sum(CASE WHEN cnt = m1 THEN 1 ELSE 0 END) AS n_top,
+                      max(CASE WHEN cnt < m1 THEN cnt END) AS m2b FROM fr JOIN tp USING (variable) GROUP BY fr.variable),
+        s AS (SELECT tp.variable, n_distinct, n, m1 / (CASE WHEN n_top >= 2 THEN m1 ELSE m2b END) AS freq_ratio,
+                     n_distinct * 100.0 / n AS pct_unique FROM tp JOIN sc USING (variable))
+      SELECT variable, CAST(n_distinct AS BIGINT) AS n_distinct, {r('freq_ratio')} AS freq_ratio,
+             {r('pct_unique')} AS pct_unique,
+             coalesce(n_distinct = 1 OR (freq_ratio > 19.0 AND pct_unique <= 10.0), false) AS nzv
+      FROM s"""
+    dummies = [("o_orderstatus", ["O", "P"]),
+               ("c_mktsegment", ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]),
+               ("r_name", ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])]
+    o["dummy_coding"] = with_profile("SELECT id, " + ", ".join(
+        f"CAST({c} = '{lvl}' AS INTEGER) AS {c}_{lvl.replace(' ', '_')}" for c, lvls in dummies for lvl in lvls)
+        + " FROM order_profile")
+    o["normalize"] = with_profile("SELECT id, " + ", ".join(
+        f"{r(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()')} AS {c}" for c in NUMS)
+        + " FROM order_profile")
+    o["smote_neighbours"] = f"""
+      WITH m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0),
+        d AS (SELECT a.vec_id, b.vec_id AS nn_id,
+                     sqrt(list_sum(list_transform(range(1, 65),
+                          lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ^ 2))) AS distance
+              FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nn_id) AS nn_rank FROM d)
+      SELECT vec_id, CAST(nn_rank AS INTEGER) AS nn_rank, nn_id, {r('distance')} AS distance FROM rk WHERE nn_rank <= 5"""
+    return o
