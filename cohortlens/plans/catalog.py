@@ -23,6 +23,8 @@ from cohortlens.operators import features as FE
 from cohortlens.operators import smote as SM
 from cohortlens.operators import models as MD
 from cohortlens.operators import tuning as TU
+from cohortlens.operators import decisions as DS
+from cohortlens.plans import order_rules as OR
 from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, doc_scores, order_profile
 from cohortlens.sources.tables import read_table
@@ -483,5 +485,98 @@ def q_model_score(spark, sf):
     return finalize(scored.select("id", "y", "score", (F.col("score") >= t).cast("int").alias("predicted")))
 
 
+# -------------------------------------------------------- decision support
+def scored_profile(spark, sf):
+    """The stand-in fixed-coefficient scorer over the whole profile."""
+    df = _profile(spark, sf)
+    sc = DS.logistic_score(df, OR.SCORE_COEF, OR.SCORE_INTERCEPT,
+                           {"open": (F.col("o_orderstatus") == "O", OR.SCORE_FLAG_OPEN)})
+    return df.withColumn("score", sc)
+
+
+def q_score_batch(spark, sf):
+    return finalize(scored_profile(spark, sf).select("id", "y", "score"))
+
+
+def _tiered(spark, sf):
+    sc = scored_profile(spark, sf)
+    thr = EV.best_threshold(sc.select(F.lit("stand_in").alias("model"), "id", "y", "score"))
+    return sc.withColumn("threshold", thr.select("threshold").scalar()) \
+        .withColumn("tier", DS.risk_tier(F.col("score"), F.col("threshold")))
+
+
+def q_risk_tiers(spark, sf):
+    return finalize(_tiered(spark, sf).select("id", "score", "threshold", "tier"))
+
+
+def q_tier_summary(spark, sf):
+    t = _tiered(spark, sf)
+    return finalize(t.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"),
+                                          F.avg("score").alias("mean_score")))
+
+
+def _explained(spark, sf):
+    df = _profile(spark, sf)
+    stats = DS.population_stats(df, OR.rate_conditions())
+    med = A.group_median(df, "r_name", "o_totalprice")
+    out = DS.apply_rules(df.join(med, "r_name"), OR.rules(), stats)
+    return DS.recommend(out, OR.ACTIONS, OR.FALLBACK)
+
+
+def q_risk_factors(spark, sf):
+    ex = _explained(spark, sf)
+    return ex.select(
+        "id", F.size("risk_factors").alias("n_factors"),
+        F.array_join(F.transform("risk_factors", lambda x: x["key"]), ",").alias("factor_keys"),
+        F.size(F.filter("risk_factors", lambda x: x["severity"] == "high")).alias("n_high"),
+        F.array_join(F.transform("risk_factors", lambda x: F.concat_ws(": ", x["label"], x["detail"])), " | ")
+        .alias("details"))
+
+
+def q_recommendations(spark, sf):
+    ex = _explained(spark, sf)
+    return ex.select("id", F.size("actions").alias("n_actions"),
+                     F.array_join(F.transform("actions", lambda x: x["icon"]), ",").alias("action_icons"))
+
+
+def order_constraints():
+    c, L = F.col, F.lit
+    return [
+        ("n_lines", lambda: L(0), lambda: L(7)),
+        ("returned_lines", lambda: L(0), lambda: c("n_lines")),
+        ("qty_sum", lambda: L(0.0), lambda: c("n_lines") * 50.0),
+        ("o_totalprice", lambda: c("band_lo").cast("double"), lambda: c("band_hi").cast("double")),
+    ]
+
+
+def q_clamp_profile(spark, sf):
+    df = _profile(spark, sf)
+    bands = A.group_bands(df, "r_name", "o_totalprice")
+    out = DS.clamp_cascade(df.join(bands, "r_name"), order_constraints())
+    return finalize(out.select("id", "n_lines", "returned_lines", "qty_sum", "o_totalprice", "n_changed"))
+
+
+def q_valid_pairs(spark, sf):
+    """Customer region x supplier nation of every line, valid when the
+    supplier's nation lies in the customer's region (left-semi/anti lookup)."""
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    s = read_table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    n = read_table(spark, sf, "nation")
+    r = read_table(spark, sf, "region")
+    cust_region = n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("c_nationkey"), "r_name")
+    supp_nation = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("supplier_nation"))
+    lines = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+             .join(s, li.l_suppkey == s.s_suppkey).join(cust_region, "c_nationkey")
+             .join(supp_nation, "s_nationkey")
+             .groupBy("r_name", "supplier_nation").agg(F.count(F.lit(1)).alias("n_lines")))
+    pairs = n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", F.col("n_name").alias("supplier_nation"))
+    valid = lines.join(pairs, ["r_name", "supplier_nation"], "left_semi").withColumn("is_valid", F.lit(True))
+    invalid = lines.join(pairs, ["r_name", "supplier_nation"], "left_anti").withColumn("is_valid", F.lit(False))
+    return valid.unionByName(invalid)
+
+
 def query_catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}

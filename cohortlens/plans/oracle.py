@@ -257,6 +257,7 @@ def oracle_catalog() -> dict[str, str]:
       GROUP BY g.c_mktsegment, point"""
     o.update(ml_oracles())
     o.update(feature_oracles())
+    o.update(decision_oracles())
     return o
 
 
@@ -512,3 +513,124 @@ def feature_oracles() -> dict[str, str]:
         rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nn_id) AS nn_rank FROM d)
       SELECT vec_id, CAST(nn_rank AS INTEGER) AS nn_rank, nn_id, {r('distance')} AS distance FROM rk WHERE nn_rank <= 5"""
     return o
+
+
+# ------------------------------------------------------------------ decision support
+_COEF = [("o_totalprice", 0.10), ("c_acctbal", -0.05), ("n_lines", 0.20), ("qty_sum", 0.15),
+         ("disc_avg", -0.10), ("tax_avg", 0.05), ("returned_lines", 0.25)]
+
+
+def _score_expr() -> str:
+    eta = "-1.4"
+    for c, b in _COEF:
+        eta = f"({eta} + {b} * (({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()))"
+    eta = f"({eta} + CASE WHEN o_orderstatus = 'O' THEN 0.3 ELSE 0.0 END)"
+    return f"1.0 / (1.0 + exp(-{eta}))"
+
+
+SCORED = f"scored AS (SELECT *, {_score_expr()} AS score FROM order_profile)"
+SCORE_SWEEP = """g AS (SELECT CAST(k AS DOUBLE) / 100.0 AS threshold FROM range(5, 96) t(k)),
+      tc AS (SELECT threshold,
+                    sum(CASE WHEN y = 1 AND score >= threshold THEN 1 ELSE 0 END) AS tp,
+                    sum(CASE WHEN y = 0 AND score >= threshold THEN 1 ELSE 0 END) AS fp,
+                    sum(CASE WHEN y = 1 AND score < threshold THEN 1 ELSE 0 END) AS fn,
+                    sum(CASE WHEN y = 0 AND score < threshold THEN 1 ELSE 0 END) AS tn
+             FROM scored CROSS JOIN g GROUP BY threshold),
+      sj AS (SELECT threshold, tp / (tp + fn) + tn / (tn + fp) - 1 AS j FROM tc),
+      bt AS (SELECT min(threshold) AS threshold FROM sj WHERE j = (SELECT max(j) FROM sj)),
+      tiered AS (SELECT s.*, bt.threshold,
+                        CASE WHEN score >= 0.6 THEN 'High' WHEN score >= bt.threshold THEN 'Medium' ELSE 'Low' END AS tier
+                 FROM scored s CROSS JOIN bt)"""
+
+_RATES = {"open": "o_orderstatus = 'O'", "not_open": "o_orderstatus <> 'O'", "building": "c_mktsegment = 'BUILDING'",
+          "few_lines": "n_lines <= 2", "low_disc": "disc_avg <= 0.02", "low_tax": "tax_avg <= 0.02",
+          "zero_ret": "returned_lines = 0", "asia": "r_name = 'ASIA'", "low_qty": "qty_sum <= 50"}
+
+
+def _pct0(name: str) -> str:
+    return f"CAST(CAST(round(st.{name} * 100.0) AS BIGINT) AS VARCHAR)"
+
+
+_RULES_SQL = [
+    ("OpenStatus", "high", "o_orderstatus = 'O'", "'Open order'",
+     f"{_pct0('open')} || '% urgent vs ' || {_pct0('not_open')} || '% otherwise'"),
+    ("Segment", "medium", "c_mktsegment = 'BUILDING'", "'Building segment'",
+     f"{_pct0('building')} || '% urgent in this segment'"),
+    ("FewLines", "high", "n_lines <= 2", "'Few lines (' || CAST(n_lines AS VARCHAR) || '/7)'",
+     f"{_pct0('few_lines')} || '% urgent when lines <= 2'"),
+    ("LowDiscount", "high", "disc_avg <= 0.02", "'Low discount'", f"{_pct0('low_disc')} || '% urgent when discount <= 2%'"),
+    ("LowTax", "high", "tax_avg <= 0.02", "'Low tax'", f"{_pct0('low_tax')} || '% urgent when tax <= 2%'"),
+    ("LowPrice", "high", "o_totalprice < med * 0.8", "'Below-median price for region ' || p.r_name",
+     "'$' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) || ' vs median $' || format('{:,}', CAST(round(med) AS BIGINT))"),
+    ("ManyReturns", "medium", "returned_lines >= 2 AND n_lines >= 5",
+     "CAST(returned_lines AS VARCHAR) || ' returned lines'", "'Repeated returns on large orders'"),
+    ("SmallAccount", "medium", "c_acctbal <= 1000 AND n_lines <= 2", "'Small account, small order'",
+     "'Low-balance customers with small orders'"),
+    ("NoReturns", "medium", "returned_lines = 0", "'No returned lines'", f"{_pct0('zero_ret')} || '% urgent with no returns'"),
+    ("Asia", "medium", "p.r_name = 'ASIA'", "'Ships to ASIA'", f"{_pct0('asia')} || '% urgent for ASIA'"),
+    ("LowQuantity", "medium", "qty_sum <= 50", "'Low quantity (' || CAST(CAST(qty_sum AS BIGINT) AS VARCHAR) || ')'",
+     f"{_pct0('low_qty')} || '% urgent when quantity <= 50'"),
+]
+_ACTIONS_SQL = [(["OpenStatus"], "clock"), (["FewLines", "LowDiscount"], "tag"), (["LowTax"], "file"),
+                (["LowPrice"], "dollar-sign"), (["ManyReturns"], "undo"), (["SmallAccount"], "user"),
+                (["NoReturns"], "check"), (["Asia"], "ship"), (["LowQuantity"], "boxes")]
+
+EXPLAINED = ("st AS (SELECT " + ", ".join(f"avg(CASE WHEN {c} THEN CAST(y AS DOUBLE) END) AS {n}" for n, c in _RATES.items())
+             + " FROM order_profile),\n      md AS (SELECT r_name, quantile_cont(o_totalprice, 0.5) AS med FROM order_profile GROUP BY r_name),\n"
+             + "      hits AS (SELECT p.id, " + ", ".join(
+                 f"CASE WHEN {pred} THEN '{k}' END AS h{i}, CASE WHEN {pred} THEN '{sev}' END AS s{i}, "
+                 f"CASE WHEN {pred} THEN {lab} || ': ' || {det} END AS d{i}"
+                 for i, (k, sev, pred, lab, det) in enumerate(_RULES_SQL))
+             + " FROM order_profile p JOIN md ON p.r_name = md.r_name CROSS JOIN st)")
+
+
+def decision_oracles() -> dict[str, str]:
+    o: dict[str, str] = {}
+    n = len(_RULES_SQL)
+    o["score_batch"] = with_profile(f"SELECT id, y, {r('score')} AS score FROM scored", SCORED)
+    o["risk_tiers"] = with_profile(f"SELECT id, {r('score')} AS score, {r('threshold')} AS threshold, tier FROM tiered",
+                                   SCORED + ",\n" + SCORE_SWEEP)
+    o["tier_summary"] = with_profile(
+        f"SELECT tier, CAST(count(*) AS BIGINT) AS n, {r('avg(y)')} AS rate, {r('avg(score)')} AS mean_score "
+        "FROM tiered GROUP BY tier", SCORED + ",\n" + SCORE_SWEEP)
+    keys = "concat_ws(',', " + ", ".join(f"h{i}" for i in range(n)) + ")"
+    o["risk_factors"] = with_profile(
+        f"""SELECT id, CAST({' + '.join(f'(h{i} IS NOT NULL)::INTEGER' for i in range(n))} AS INTEGER) AS n_factors,
+                   {keys} AS factor_keys,
+                   CAST({' + '.join(f"(coalesce(s{i} = 'high', false))::INTEGER" for i in range(n))} AS INTEGER) AS n_high,
+                   concat_ws(' | ', {', '.join(f'd{i}' for i in range(n))}) AS details
+            FROM hits""", EXPLAINED)
+    act = []
+    for ks, icon in _ACTIONS_SQL:
+        cond = " OR ".join(f"h{i} IS NOT NULL" for i, rr in enumerate(_RULES_SQL) if rr[0] in ks)
+        act.append(f"CASE WHEN {cond} THEN '{icon}' END")
+    icons = "concat_ws(',', " + ", ".join(act) + ")"
+    cnt = " + ".join(f"({a} IS NOT NULL)::INTEGER" for a in act)
+    o["recommendations"] = with_profile(
+        f"""SELECT id, CAST(CASE WHEN {cnt} = 0 THEN 1 ELSE {cnt} END AS INTEGER) AS n_actions,
+                   CASE WHEN {cnt} = 0 THEN 'check-circle' ELSE {icons} END AS action_icons
+            FROM hits""", EXPLAINED)
+    o["clamp_profile"] = with_profile("""
+      SELECT id, n2 AS n_lines, r2 AS returned_lines, {q} AS qty_sum, {p} AS o_totalprice,
+             CAST((n2 <> n_lines)::INTEGER + (r2 <> returned_lines)::INTEGER + (q2 <> qty_sum)::INTEGER
+                  + (p2 <> o_totalprice)::INTEGER AS INTEGER) AS n_changed
+      FROM (SELECT *, greatest(least(qty_sum, n2 * 50.0), 0.0) AS q2,
+                   greatest(least(o_totalprice, CAST(band_hi AS DOUBLE)), CAST(band_lo AS DOUBLE)) AS p2
+            FROM (SELECT *, CAST(greatest(least(returned_lines, n2), 0) AS BIGINT) AS r2
+                  FROM (SELECT p.*, b.band_lo, b.band_hi, CAST(greatest(least(n_lines, 7), 0) AS BIGINT) AS n2
+                        FROM order_profile p JOIN bands b USING (r_name))))""".format(q=r("q2"), p=r("p2")),
+        "bands AS (SELECT r_name, CAST(floor(min(o_totalprice) * 0.8) AS BIGINT) AS band_lo, "
+        "CAST(ceil(max(o_totalprice) * 1.2) AS BIGINT) AS band_hi FROM order_profile GROUP BY r_name)")
+    o["valid_pairs"] = """
+      WITH lines AS (
+        SELECT cr.r_name, sn.n_name AS supplier_nation, CAST(count(*) AS BIGINT) AS n_lines
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+        JOIN supplier s ON l.l_suppkey = s.s_suppkey
+        JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) cr ON c.c_nationkey = cr.n_nationkey
+        JOIN nation sn ON s.s_nationkey = sn.n_nationkey
+        GROUP BY cr.r_name, sn.n_name),
+      pairs AS (SELECT r_name, n_name AS supplier_nation FROM nation JOIN region ON n_regionkey = r_regionkey)
+      SELECT r_name, supplier_nation, n_lines,
+             EXISTS (SELECT 1 FROM pairs p WHERE p.r_name = lines.r_name AND p.supplier_nation = lines.supplier_nation) AS is_valid
+      FROM lines"""
+    return o
