@@ -25,6 +25,7 @@ from cohortlens.operators import models as MD
 from cohortlens.operators import tuning as TU
 from cohortlens.operators import decisions as DS
 from cohortlens.plans import order_rules as OR
+from cohortlens.streaming import score_stream as ST
 from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, doc_scores, order_profile
 from cohortlens.sources.tables import read_table
@@ -578,5 +579,11 @@ def q_valid_pairs(spark, sf):
     return valid.unionByName(invalid)
 
 
+# --------------------------------------------------------------- streaming
+def q_stream_score(spark, sf):
+    """Orders as a file stream (availableNow) scored and explained."""
+    return ST.stream_score(spark, sf)
+
+
 def query_catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
