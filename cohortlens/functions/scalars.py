@@ -94,3 +94,19 @@ def mean_of(*cols) -> Column:
 def cutoff_grid(spark, lo_pct: int = 5, hi_pct: int = 95):
     """Thresholds lo..hi in steps of 0.01 built from integers (no float drift)."""
     return spark.range(lo_pct, hi_pct + 1).select((F.col("id") / F.lit(100.0)).alias("threshold"))
+
+
+def scalar_fields(one_row):
+    """All columns of a one-row aggregate as literals, computed with ONE action.
+
+    Separate scalar subqueries (one per field) are planned and executed one
+    by one, each re-reading the input; fetching the single aggregated row
+    once - as a Spark ML estimator does when it fits means or deviations -
+    runs the aggregate exactly once and leaves a subquery-free plan.
+    Only one row ever reaches the driver.
+    """
+    row = one_row.limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("scalar_fields needs a one-row aggregate")
+    types = dict(one_row.dtypes)
+    return {c: F.lit(row[0][c]).cast(types[c]) for c in one_row.columns}

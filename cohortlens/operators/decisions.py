@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalars import scalar_fields
 from cohortlens.operators.aggregates import group_median
 
 
@@ -38,10 +39,9 @@ def pct0(c: Column) -> Column:
 
 
 def population_stats(df: DataFrame, rates: dict[str, Column], outcome: str = "y") -> dict[str, Column]:
-    """A10 computed once: each subset rate is a scalar subquery of one shared aggregate."""
-    agg = df.agg(*[F.avg(F.when(cond, F.col(outcome).cast("double"))).alias(name)
-                   for name, cond in rates.items()])
-    return {name: agg.select(name).scalar() for name in rates}
+    """A10 computed once: all subset rates come from one aggregate (one scalar subquery)."""
+    return scalar_fields(df.agg(*[F.avg(F.when(cond, F.col(outcome).cast("double"))).alias(name)
+                                  for name, cond in rates.items()]))
 
 
 def apply_rules(df: DataFrame, rules: Sequence[RiskRule], stats: dict) -> DataFrame:
@@ -81,11 +81,12 @@ def risk_tier(score: Column, threshold, high: float = 0.60) -> Column:
 def logistic_score(df: DataFrame, coef: dict[str, float], intercept: float,
                    flags: dict[str, tuple[Column, float]] | None = None) -> Column:
     """D2 with a fixed-coefficient logistic on standardised inputs (mean and sd
-    of the scored table as scalar subqueries of one aggregate)."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in coef], *[F.stddev_samp(c).alias(f"s_{c}") for c in coef])
+    of the scored table from one aggregate, one scalar subquery)."""
+    st = scalar_fields(df.agg(*[F.avg(c).alias(f"m_{c}") for c in coef],
+                              *[F.stddev_samp(c).alias(f"s_{c}") for c in coef]))
     eta = F.lit(intercept)
     for c, b in coef.items():
-        eta = eta + F.lit(b) * ((F.col(c) - stats.select(f"m_{c}").scalar()) / stats.select(f"s_{c}").scalar())
+        eta = eta + F.lit(b) * ((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"])
     for _, (cond, b) in (flags or {}).items():
         eta = eta + F.when(cond, F.lit(b)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))

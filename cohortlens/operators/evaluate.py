@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalars import scalar_fields
 from cohortlens.operators.ordering import running_sums
 
 SCORE, Y = "score", "y"
@@ -31,8 +32,10 @@ def cumulative_counts(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     cum = running_sums(c, groups, [F.col(SCORE).desc()], ["n1", "n0"])
     totals = pred.groupBy(*groups).agg(F.sum(F.col(Y).cast("double")).alias("P"),
                                        F.sum((1 - F.col(Y)).cast("double")).alias("N"))
-    return cum.join(totals, groups) if groups else cum.withColumn(
-        "P", totals.select("P").scalar()).withColumn("N", totals.select("N").scalar())
+    if groups:
+        return cum.join(totals, groups)
+    t = scalar_fields(totals)
+    return cum.withColumn("P", t["P"]).withColumn("N", t["N"])
 
 
 def roc_curve(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:

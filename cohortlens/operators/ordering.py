@@ -102,7 +102,7 @@ def exact_ranks(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column]
 
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], accuracy: int = 20000,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, with_stats: bool = False) -> DataFrame:
     """Type-7 quantiles per group as ``(group..., prob, quantile)`` rows.
 
     Pass 1 (one aggregate): n, min, max and a percentile sketch of relative
@@ -113,6 +113,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     counted per distinct value.  Only the values inside a bracket (about
     6n/accuracy per group and quantile) are ordered, so no task holds a
     whole group.  ``approx=True`` returns the sketch value alone.
+    ``with_stats`` adds n, min, mean and max per group from the same pass 1.
     """
     group_cols = list(group_cols)
     v = F.col(value_col).cast("double")
@@ -129,7 +130,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     hi_p = [min(1.0, p + margin) for p in probs]
     stats = base.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_b"))
+        F.avg("_v").alias("_mean"), F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_b"))
     k = len(probs)
     per_prob = F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(p).alias("prob"),
@@ -139,8 +140,8 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     # Below 4*accuracy rows the sketch margin is under one rank, so such a
     # group is bracketed by [min, max]: at most 4*accuracy candidate values.
     small = F.col("_n") <= F.lit(4 * accuracy)
-    br = (stats.select(*group_cols, "_n", "_mn", "_mx", F.explode(per_prob).alias("s"))
-          .select(*group_cols, "_n", "s.prob",
+    br = (stats.select(*group_cols, "_n", "_mn", "_mx", "_mean", F.explode(per_prob).alias("s"))
+          .select(*group_cols, "_n", "_mn", "_mx", "_mean", "s.prob",
                   F.when(F.col("s._lo_min") | small, F.col("_mn")).otherwise(F.col("s._lo")).alias("_lo"),
                   F.when(F.col("s._hi_max") | small, F.col("_mx")).otherwise(F.col("s._hi")).alias("_hi"))
           .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("prob"))
@@ -149,7 +150,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     keyed = base.join(br, group_cols, "inner")
     side = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).when(F.col("_v") > F.col("_hi"), F.lit(1)) \
         .otherwise(F.lit(0))
-    bkeys = group_cols + ["prob", "_k0", "_k1", "_h"]
+    bkeys = group_cols + ["prob", "_k0", "_k1", "_h", "_n", "_mn", "_mx", "_mean"]
     counted = (keyed.select(*bkeys, side.alias("_side"),
                             F.when(side == 0, F.col("_v")).alias("_cv"))
                .where(F.col("_side") <= 0)
@@ -167,5 +168,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
 
     res = ranked.groupBy(*bkeys).agg(at("_k0").alias("_v0"), at("_k1").alias("_v1"))
     frac = F.col("_h") - F.col("_k0")
+    extra = [F.col("_n").alias("n"), F.col("_mn").alias("min"), F.col("_mean").alias("mean"),
+             F.col("_mx").alias("max")] if with_stats else []
     return res.select(*group_cols, "prob",
-                      (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
+                      (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("quantile"), *extra)

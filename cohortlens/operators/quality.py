@@ -107,29 +107,40 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
     """Q7: min, Q1, median, mean, Q3, max per numeric column (type-7 quantiles)."""
     cols = list(cols or columns_of_kind(df, "numeric"))
     long = long_values(df, cols)
+    if approx:
+        q = exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], approx=True)
+        basic = long.groupBy("variable").agg(F.min("value").alias("min"), F.avg("value").alias("mean"),
+                                             F.max("value").alias("max"))
+        q = q.join(basic, "variable")
+    else:
+        # min / mean / max ride along in the quantile operator's first pass
+        q = exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], with_stats=True)
+    def at(p):
+        return F.max(F.when(F.col("prob") == p, F.col("quantile")))
+    return q.groupBy("variable").agg(F.first("min").alias("min"), at(0.25).alias("q1"), at(0.5).alias("median"),
+                                     F.first("mean").alias("mean"), at(0.75).alias("q3"),
+                                     F.first("max").alias("max"))
+
+
+def quartiles(long: DataFrame, k: float = 1.5, approx: bool = False) -> DataFrame:
+    """Type-7 quartiles and Tukey fences per variable, one quantile-operator call."""
     q = exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], approx=approx)
-    qw = q.groupBy("variable").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
-    qw = qw.toDF("variable", "q1", "median", "q3")
-    basic = long.groupBy("variable").agg(F.min("value").alias("min"), F.avg("value").alias("mean"),
-                                         F.max("value").alias("max"))
-    return basic.join(qw, "variable").select("variable", "min", "q1", "median", "mean", "q3", "max")
-
-
-def fences(long: DataFrame, k: float = 1.5, approx: bool = False) -> DataFrame:
-    """Tukey fences per variable from type-7 quartiles."""
-    q = exact_quantiles(long, ["variable"], "value", [0.25, 0.75], approx=approx)
-    w = q.groupBy("variable").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
+
+    def at(p):
+        return F.max(F.when(F.col("prob") == p, F.col("quantile")))
+    w = q.groupBy("variable").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return w.withColumn("lo", F.col("q1") - k * iqr).withColumn("hi", F.col("q3") + k * iqr)
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
                  approx: bool = False) -> DataFrame:
-    """Q10: strict-fence outlier count and percent (1 decimal), most first."""
+    """Q10: strict-fence outlier count and percent (1 decimal), most first.
+
+    The fences table has one row per variable; AQE broadcasts it into the
+    counting pass."""
     long = long_values(df, cols)
-    f = fences(long, k, approx)
+    f = quartiles(long, k, approx)
     out = (long.join(f, "variable")
            .groupBy("variable")
            .agg(F.sum(((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).cast("long"))
@@ -143,16 +154,13 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,
 def box_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Quartiles, whiskers (furthest values inside the fences), outlier count."""
     long = long_values(df, cols)
-    f = fences(long, 1.5, approx)
+    f = quartiles(long, 1.5, approx)
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    agg = (long.join(f, "variable").groupBy("variable", "q1", "q3")
+    agg = (long.join(f, "variable").groupBy("variable", "q1", "median", "q3")
            .agg(F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
                 F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
                 F.sum((~inside).cast("long")).alias("n_outliers")))
-    med = exact_quantiles(long, ["variable"], "value", [0.5], approx=approx) \
-        .select("variable", F.col("quantile").alias("median"))
-    return agg.join(med, "variable").select("variable", "whisker_lo", "q1", "median", "q3",
-                                            "whisker_hi", "n_outliers")
+    return agg.select("variable", "whisker_lo", "q1", "median", "q3", "whisker_hi", "n_outliers")
 
 
 def range_violations(df: DataFrame, rules: Sequence[tuple[str, str, float, float]]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.scalars import pair_key
+from cohortlens.functions.scalars import pair_key, scalar_fields
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values
 
@@ -26,12 +26,10 @@ def pearson_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    args = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
-    upper = wide.selectExpr(f"stack({len(pairs)}, {args}) as (var1, var2, correlation)")
-    mirror = upper.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "correlation")
-    diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols],
-                                           "var1 string, var2 string, correlation double")
-    return upper.unionByName(mirror).unionByName(diag)
+    # upper triangle, its mirror and the unit diagonal from ONE aggregate row
+    cells = [f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs] + \
+            [f"'{b}', '{a}', `{a}__{b}`" for a, b in pairs] + [f"'{c}', '{c}', 1.0D" for c in cols]
+    return wide.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (var1, var2, correlation)")
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], cutoff: float = 0.70) -> DataFrame:
@@ -176,8 +174,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
     """
     spark = df.sparkSession
     x = F.col(col).cast("double")
-    mm = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
+    mm = scalar_fields(df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")))
+    mn, mx = mm["mn"], mm["mx"]
     width = (mx - mn) / F.lit(float(bins))
     idx = F.least(F.floor((x - mn) / width), F.lit(bins - 1)).cast("int")
     keys = ["bin"] + ([by] if by else [])
@@ -197,10 +195,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
 
 def scatter_bins(df: DataFrame, x: str, y: str, by: str, bins: int = 20) -> DataFrame:
     """2-D binned point counts per class (the scalable form of a scatter)."""
-    def edges(c):
-        mm = df.agg(F.min(c).alias("a"), F.max(c).alias("b"))
-        return mm.select("a").scalar(), mm.select("b").scalar()
-    (xa, xb), (ya, yb) = edges(x), edges(y)
+    e = scalar_fields(df.agg(F.min(x).alias("xa"), F.max(x).alias("xb"), F.min(y).alias("ya"),
+                             F.max(y).alias("yb")))
+    xa, xb, ya, yb = e["xa"], e["xb"], e["ya"], e["yb"]
     bx = F.least(F.floor((F.col(x) - xa) / ((xb - xa) / bins)), F.lit(bins - 1)).cast("int")
     byy = F.least(F.floor((F.col(y) - ya) / ((yb - ya) / bins)), F.lit(bins - 1)).cast("int")
     return df.groupBy(bx.alias("x_bin"), byy.alias("y_bin"), F.col(by)) \
