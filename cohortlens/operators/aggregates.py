@@ -36,9 +36,18 @@ def rate_by_category(df: DataFrame, cols: Sequence[str], outcome: str = "y") ->
     All columns go through one unpivot and one shuffle.
     """
     long = long_values(df, cols, ids=[outcome], as_type="string", val="level")
-    return (long.groupBy("variable", "level")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("rate"))
-            .orderBy("variable", F.desc("rate"), "level"))
+    rates = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("rate"))
+    return display_order(rates, ["variable"], [F.desc("rate"), F.asc("level")])
+
+
+def display_order(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
+                  name: str = "ord") -> DataFrame:
+    """Explicit display rank of each category by a statistic.
+
+    Applied to aggregated tables only (one row per level), where a window
+    partition holds the levels of one variable - bounded by its cardinality."""
+    from pyspark.sql import Window
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*part_cols).orderBy(*order)))
 
 
 def rate_with_reference(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFrame:

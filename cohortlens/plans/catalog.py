@@ -468,6 +468,21 @@ def q_importance(spark, sf):
     return TU.importance(run["final"], run["prepped"]).withColumn("model", F.lit(run["winner"]))
 
 
+def _pooled_best(spark, sf):
+    """Held-out predictions of each model's best config, pooled over resamples."""
+    run = ml_run(spark, sf)
+    pred = TU.read_predictions(spark, run["pred_path"])
+    return TU.best_only(pred, run["best"])
+
+
+def q_cv_roc_curve(spark, sf):
+    return finalize(EV.roc_curve(_pooled_best(spark, sf)))
+
+
+def q_cv_pr_curve(spark, sf):
+    return finalize(EV.pr_curve(_pooled_best(spark, sf)))
+
+
 def q_final_metrics(spark, sf):
     run = ml_run(spark, sf)
     return finalize(EV.metrics_at(run["test_pred"], run["thr"]))

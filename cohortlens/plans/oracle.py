@@ -134,10 +134,12 @@ def oracle_catalog() -> dict[str, str]:
         + " FROM order_profile GROUP BY y")
     cat_long_y = _long("order_profile", CATS, "VARCHAR", ids=["y"], val="level")
     o["rate_by_category"] = with_profile(
-        f"SELECT variable, level, CAST(count(*) AS BIGINT) AS n, {r('avg(y)')} AS rate "
+        f"SELECT variable, level, CAST(count(*) AS BIGINT) AS n, {r('avg(y)')} AS rate, "
+        f"CAST(row_number() OVER (PARTITION BY variable ORDER BY avg(y) DESC, level) AS INTEGER) AS ord "
         f"FROM ({cat_long_y}) GROUP BY variable, level")
     o["rate_with_reference"] = with_profile(
         f"""SELECT variable, level, CAST(count(*) AS BIGINT) AS n, {r('avg(y)')} AS rate,
+                   CAST(row_number() OVER (PARTITION BY variable ORDER BY avg(y) DESC, level) AS INTEGER) AS ord,
                    {r('(SELECT avg(y) FROM order_profile)')} AS overall_rate,
                    {r('avg(y) / (SELECT avg(y) FROM order_profile)')} AS lift
             FROM ({cat_long_y}) GROUP BY variable, level""")
