@@ -30,8 +30,9 @@ def cumulative_counts(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     groups = list(groups)
     c = _collapsed(pred, groups)
     cum = running_sums(c, groups, [F.col(SCORE).desc()], ["n1", "n0"])
-    totals = pred.groupBy(*groups).agg(F.sum(F.col(Y).cast("double")).alias("P"),
-                                       F.sum((1 - F.col(Y)).cast("double")).alias("N"))
+    # totals = the last running value of each group: read from the
+    # checkpointed sums instead of scanning the predictions again
+    totals = cum.groupBy(*groups).agg(F.max("n1_cum").alias("P"), F.max("n0_cum").alias("N"))
     if groups:
         return cum.join(totals, groups)
     t = scalar_fields(totals)

@@ -111,8 +111,8 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     use [min, max] instead).  Pass 2: rows are matched to their
     group's brackets; rows below a bracket are only counted, rows inside are
     counted per distinct value.  Only the values inside a bracket (about
-    6n/accuracy per group and quantile) are ordered, so no task holds a
-    whole group.  ``approx=True`` returns the sketch value alone.
+    6n/accuracy per group and quantile) are ordered, and they are ordered by
+    ``running_sums``, so no task holds a whole group or a whole bracket.  ``approx=True`` returns the sketch value alone.
     ``with_stats`` adds n, min, mean and max per group from the same pass 1.
     """
     group_cols = list(group_cols)
@@ -155,11 +155,14 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
                             F.when(side == 0, F.col("_v")).alias("_cv"))
                .where(F.col("_side") <= 0)
                .groupBy(*bkeys, "_side", "_cv").agg(F.count(F.lit(1)).alias("_c")))
-    below = counted.where(F.col("_side") < 0).select(*bkeys, F.col("_c").alias("_below"))
-    cand = counted.where(F.col("_side") == 0).drop("_side")
-    w = Window.partitionBy(*bkeys).orderBy("_cv").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (cand.join(below, bkeys, "left")
-              .withColumn("_hi_rank", F.coalesce("_below", F.lit(0)) + F.sum("_c").over(w))
+    # One running sum per (group, prob) ordered by (side, value): the single
+    # "below" row comes first, so a candidate's running count is its rank
+    # bound.  Candidates (~6n/accuracy distinct values per group and prob)
+    # are ordered by range partitions, so even their count need not fit one
+    # task, and everything after the checkpoint reads only its output.
+    ranked = (running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"])
+              .where(F.col("_side") == 0)
+              .withColumn("_hi_rank", F.col("_c_cum"))
               .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c")))
 
     def at(kc):

@@ -27,7 +27,8 @@ from cohortlens.operators import decisions as DS
 from cohortlens.plans import order_rules as OR
 from cohortlens.streaming import score_stream as ST
 from cohortlens.session import ensure_checkpoint_dir, materialize
-from cohortlens.sources.profile import ORDER_CATEGORICALS, ORDER_NUMERICS, doc_scores, order_profile
+from cohortlens.sources.profile import (ORDER_CATEGORICALS, ORDER_NUMERICS, profile_table,
+                                       scores_table)
 from cohortlens.sources.tables import read_table
 
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -46,7 +47,7 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _profile(spark, sf):
-    return order_profile(spark, sf)
+    return profile_table(spark, sf)
 
 
 # ---------------------------------------------------------------- quality
@@ -293,7 +294,7 @@ def _doc_folds(spark, sf):
 
 
 def _scores(spark, sf):
-    return doc_scores(spark, sf)
+    return scores_table(spark, sf)
 
 
 def q_roc_curve(spark, sf):
