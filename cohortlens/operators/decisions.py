@@ -56,14 +56,18 @@ def apply_rules(df: DataFrame, rules: Sequence[RiskRule], stats: dict) -> DataFr
                                               r.detail(st).alias("detail"),
                                               F.lit(r.severity).alias("severity")))
              for r in rules]
+    keys = [F.when(r.predicate(st), F.lit(r.key)) for r in rules]
+    # risk_keys alone feeds the actions, so a query that needs only actions
+    # never builds the label/detail strings (column pruning drops them)
     return df.withColumn("risk_factors", F.filter(F.array(*items), lambda x: x.isNotNull())) \
+        .withColumn("risk_keys", F.filter(F.array(*keys), lambda x: x.isNotNull())) \
         .drop(*names.values())
 
 
 def recommend(df: DataFrame, actions: Sequence[tuple[Sequence[str], str, str]],
               fallback: tuple[str, str]) -> DataFrame:
     """Actions for the flagged keys (``(keys, icon, text)`` in order), or the fallback."""
-    keys = F.transform("risk_factors", lambda x: x["key"])
+    keys = F.col("risk_keys") if "risk_keys" in df.columns else F.transform("risk_factors", lambda x: x["key"])
     items = [F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in ks])),
                     F.struct(F.lit(icon).alias("icon"), F.lit(text).alias("text")))
              for ks, icon, text in actions]

@@ -14,6 +14,7 @@ two primitives here keep every task bounded:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -100,22 +101,35 @@ def exact_ranks(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column]
     return r.withColumn(name, (F.col(one + "_cum") - 1).cast("long")).drop(one, one + "_cum")
 
 
+LOCAL_GROUPS = 10_000      # pass-1 rows (one per group) small enough to bring to the driver
+WINDOW_ROWS = 1_000_000    # proven candidate bound up to which one window partition is fine
+
+
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], accuracy: int = 20000,
                     approx: bool = False, with_stats: bool = False) -> DataFrame:
     """Type-7 quantiles per group as ``(group..., prob, quantile)`` rows.
 
-    Pass 1 (one aggregate): n, min, max and a percentile sketch of relative
-    rank error 1/accuracy at p -/+ 3/accuracy, which brackets the two order
-    statistics each quantile interpolates (groups of at most 4*accuracy rows
-    use [min, max] instead).  Pass 2: rows are matched to their
-    group's brackets; rows below a bracket are only counted, rows inside are
-    counted per distinct value.  Only the values inside a bracket (about
-    6n/accuracy per group and quantile) are ordered, and they are ordered by
-    ``running_sums``, so no task holds a whole group or a whole bracket.  ``approx=True`` returns the sketch value alone.
-    ``with_stats`` adds n, min, mean and max per group from the same pass 1.
+    Pass 1 (one aggregate): n, min, mean, max and a percentile sketch of
+    relative rank error 1/accuracy at p -/+ 3/accuracy, which brackets the
+    two order statistics each quantile interpolates (groups of at most
+    4*accuracy rows use [min, max] instead).  Pass 2: rows are matched to
+    their group's brackets; rows below a bracket are only counted, rows
+    inside are counted per distinct value, and only those candidates (at
+    most ~6n/accuracy values, or n <= 4*accuracy for small groups) are
+    ordered.
+
+    The pass-1 table has one row per group.  Up to ``LOCAL_GROUPS`` groups it
+    is fetched once and re-enters as a local table (deterministic brackets,
+    a broadcast of known size); then the exact n per group bounds the
+    candidates, and a bound up to ``WINDOW_ROWS`` is ranked with a window.
+    Larger bounds, or more groups (pass 1 then goes through a reliable
+    checkpoint), are ranked with ``running_sums`` so no task holds a whole
+    group or bracket.  ``approx=True`` returns the sketch value alone;
+    ``with_stats`` adds n, min, mean and max per group.
     """
     group_cols = list(group_cols)
+    spark = long_df.sparkSession
     v = F.col(value_col).cast("double")
     base = long_df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
     probs = [float(p) for p in probs]
@@ -131,6 +145,16 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     stats = base.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
         F.avg("_v").alias("_mean"), F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_b"))
+    local = stats.limit(LOCAL_GROUPS + 1).collect()
+    if len(local) <= LOCAL_GROUPS:
+        stats = spark.createDataFrame(local, stats.schema) if local else stats.limit(0)
+        max_n = max((r["_n"] for r in local), default=0)
+        bound = max_n if max_n <= 4 * accuracy else math.ceil(6.0 * max_n / accuracy) + 2
+        use_window = bound <= WINDOW_ROWS
+    else:
+        ensure_checkpoint_dir(spark)
+        stats = stats.checkpoint(eager=True)
+        use_window = False
     k = len(probs)
     per_prob = F.array(*[
         F.struct(F.lit(i).alias("_i"), F.lit(p).alias("prob"),
@@ -155,13 +179,14 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
                             F.when(side == 0, F.col("_v")).alias("_cv"))
                .where(F.col("_side") <= 0)
                .groupBy(*bkeys, "_side", "_cv").agg(F.count(F.lit(1)).alias("_c")))
-    # One running sum per (group, prob) ordered by (side, value): the single
-    # "below" row comes first, so a candidate's running count is its rank
-    # bound.  Candidates (~6n/accuracy distinct values per group and prob)
-    # are ordered by range partitions, so even their count need not fit one
-    # task, and everything after the checkpoint reads only its output.
-    ranked = (running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"])
-              .where(F.col("_side") == 0)
+    # One running count per (group, prob) ordered by (side, value): the single
+    # "below" row comes first, so a candidate's running count is its rank bound.
+    if use_window:
+        w = Window.partitionBy(*bkeys).orderBy("_side", "_cv").rowsBetween(Window.unboundedPreceding, 0)
+        cum = counted.withColumn("_c_cum", F.sum("_c").over(w))
+    else:
+        cum = running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"])
+    ranked = (cum.where(F.col("_side") == 0)
               .withColumn("_hi_rank", F.col("_c_cum"))
               .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c")))
 

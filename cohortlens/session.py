@@ -66,13 +66,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, key: list | None = None):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor re-reads files instead of recomputing the
     plan) and lets iterative work such as tuning loops scan a small table.
+    With ``key`` the rows are hash-partitioned on it over the cluster's
+    default parallelism first, so every later scan of the table runs with
+    full parallelism whatever the layout of the inputs was.
     """
     import uuid
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if key:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *key)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -35,15 +35,15 @@ def line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATERIALIZED: dict = {}
 
 
-def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+def materialized(spark: SparkSession, name: str, sf_dir: str, build, key=("id",)) -> DataFrame:
     """Build a derived table once per (application, sf_dir) and keep it as Parquet
     in the shared checkpoint folder - the hand-off table every analysis reads,
     so a multi-pass query does not redo the joins that produce it."""
     from cohortlens.session import materialize
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _MATERIALIZED:
-        _MATERIALIZED[key] = materialize(build(), name)
-    return _MATERIALIZED[key]
+    memo = (spark.sparkContext.applicationId, name, sf_dir)
+    if memo not in _MATERIALIZED:
+        _MATERIALIZED[memo] = materialize(build(), name, list(key))
+    return _MATERIALIZED[memo]
 
 
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:

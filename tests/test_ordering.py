@@ -34,3 +34,14 @@ def test_running_sums_desc(spark):
     df = spark.createDataFrame([("m", float(i), 1.0) for i in range(10)], "m string, s double, w double")
     r = running_sums(df, ["m"], [F.col("s").desc()], ["w"], n_ranges=3).toPandas().sort_values("s")
     assert list(r.w_cum) == [10.0 - i for i in range(10)]
+
+
+def test_quantiles_range_path(spark, monkeypatch):
+    import cohortlens.operators.ordering as O
+    monkeypatch.setattr(O, "WINDOW_ROWS", 0)  # force the range-partitioned ranking
+    df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 31) % 997).cast("double").alias("v"))
+    got = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, ["g"], "v", [0.3, 0.5]).collect()}
+    pdf = df.toPandas()
+    for g, sub in pdf.groupby("g"):
+        exp = np.quantile(sub.v.values, [0.3, 0.5])
+        assert np.allclose([got[(g, 0.3)], got[(g, 0.5)]], exp)
