@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from cohortlens.session import ensure_checkpoint_dir
 
 _PID = "_range_id"
+LOCAL_GROUPS = 10_000      # per-group rows small enough to bring to the driver
+WINDOW_ROWS = 1_000_000    # proven group bound up to which one window partition is fine
 
 
 def _default_ranges(df: DataFrame) -> int:
@@ -34,13 +36,27 @@ def _default_ranges(df: DataFrame) -> int:
 
 def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
                  sum_cols: Sequence[str], suffix: str = "_cum",
-                 n_ranges: int | None = None, checkpoint: bool = True) -> DataFrame:
+                 n_ranges: int | None = None, checkpoint: bool = True,
+                 adaptive: bool = True) -> DataFrame:
     """Add ``<c><suffix>`` = sum of c over rows of the same group up to this row.
 
     ``order`` must give a strict total order inside each group (append an id
     for ties); descending order is expressed with ``Column.desc()``.
+
+    With ``adaptive`` the group sizes are probed first (one aggregate, at
+    most ``LOCAL_GROUPS`` rows fetched): when every group is proven to hold
+    at most ``WINDOW_ROWS`` rows, a plain window computes the sums in the
+    JVM; otherwise the range-partitioned path below keeps every task bounded.
     """
     part_cols = list(part_cols)
+    if adaptive:
+        sizes = (df.groupBy(*part_cols) if part_cols else df.groupBy()).count() \
+            .limit(LOCAL_GROUPS + 1).collect()
+        if len(sizes) <= LOCAL_GROUPS and max((r["count"] for r in sizes), default=0) <= WINDOW_ROWS:
+            w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()) \
+                .orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            return df.select("*", *[F.sum(F.col(c).cast("double")).over(w).alias(c + suffix)
+                                    for c in sum_cols])
     sort_spec = [F.col(c) for c in part_cols] + list(order)
     n = n_ranges or _default_ranges(df)
     ranged = (df.repartitionByRange(n, *sort_spec)
@@ -101,10 +117,6 @@ def exact_ranks(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column]
     return r.withColumn(name, (F.col(one + "_cum") - 1).cast("long")).drop(one, one + "_cum")
 
 
-LOCAL_GROUPS = 10_000      # pass-1 rows (one per group) small enough to bring to the driver
-WINDOW_ROWS = 1_000_000    # proven candidate bound up to which one window partition is fine
-
-
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], accuracy: int = 20000,
                     approx: bool = False, with_stats: bool = False) -> DataFrame:
@@ -185,7 +197,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
         w = Window.partitionBy(*bkeys).orderBy("_side", "_cv").rowsBetween(Window.unboundedPreceding, 0)
         cum = counted.withColumn("_c_cum", F.sum("_c").over(w))
     else:
-        cum = running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"])
+        cum = running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"], adaptive=False)
     ranked = (cum.where(F.col("_side") == 0)
               .withColumn("_hi_rank", F.col("_c_cum"))
               .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c")))

@@ -22,18 +22,35 @@ def test_quantiles_large_group_uses_bracket(spark):
     assert np.allclose([q[0.1], q[0.5], q[0.9]], exp)
 
 
-def test_exact_ranks_within_groups(spark):
+def test_exact_ranks_within_groups(spark, monkeypatch):
+    import cohortlens.operators.ordering as O
     df = spark.range(0, 300).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).alias("k"))
-    r = exact_ranks(df, ["g"], [F.col("k"), F.col("id")], n_ranges=5).toPandas()
-    for _, sub in r.groupby("g"):
-        s = sub.sort_values(["k", "id"])
-        assert list(s.rank0) == list(range(len(s)))
+    for bound in (O.WINDOW_ROWS, 0):  # window path, then the range-partitioned path
+        monkeypatch.setattr(O, "WINDOW_ROWS", bound)
+        r = exact_ranks(df, ["g"], [F.col("k"), F.col("id")], n_ranges=5).toPandas()
+        for _, sub in r.groupby("g"):
+            s = sub.sort_values(["k", "id"])
+            assert list(s.rank0) == list(range(len(s)))
+
+
+def test_hot_group_is_spread_over_ranges(spark, monkeypatch):
+    """A group with 90% of the rows still ends up in many range partitions."""
+    import cohortlens.operators.ordering as O
+    monkeypatch.setattr(O, "WINDOW_ROWS", 0)
+    df = spark.range(0, 4000).select("id", F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"))
+    r = exact_ranks(df, ["g"], [F.col("id")], n_ranges=8)
+    hot = r.where("g = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot >= 4
+    ranks = sorted(x[0] for x in r.where("g = 'hot'").select("rank0").collect())
+    assert ranks == list(range(3600))
 
 
 def test_running_sums_desc(spark):
     df = spark.createDataFrame([("m", float(i), 1.0) for i in range(10)], "m string, s double, w double")
-    r = running_sums(df, ["m"], [F.col("s").desc()], ["w"], n_ranges=3).toPandas().sort_values("s")
-    assert list(r.w_cum) == [10.0 - i for i in range(10)]
+    for adaptive in (True, False):
+        r = running_sums(df, ["m"], [F.col("s").desc()], ["w"], n_ranges=3, adaptive=adaptive) \
+            .toPandas().sort_values("s")
+        assert list(r.w_cum) == [10.0 - i for i in range(10)]
 
 
 def test_quantiles_range_path(spark, monkeypatch):
