@@ -29,7 +29,7 @@ from cohortlens.streaming import score_stream as ST
 from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import (ORDER_CATEGORICALS, ORDER_NUMERICS, profile_table,
                                        scores_table)
-from cohortlens.sources.tables import read_table
+from cohortlens.sources.tables import read_table, schema_report
 
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -71,6 +71,11 @@ def q_key_uniqueness(spark, sf):
     return out
 
 
+def q_schema_report(spark, sf):
+    """Column names, types and kinds of the orders table plus its row count."""
+    return schema_report(read_table(spark, sf, "orders"))
+
+
 def q_cardinality(spark, sf):
     return Q.cardinality(_profile(spark, sf))
 

@@ -81,6 +81,19 @@ def oracle_catalog() -> dict[str, str]:
         f"count(*) = (SELECT count(*) FROM (SELECT DISTINCT {kc} FROM {t})) AS is_unique FROM {t}"
         for t, kc in [("orders", "o_orderkey"), ("customer", "c_custkey"),
                       ("lineitem", "l_orderkey,l_linenumber")]])
+    o["schema_report"] = """
+      WITH d AS (SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name,
+                        CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+                             WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string'
+                             WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+                             ELSE lower(column_type) END AS data_type
+                 FROM (DESCRIBE SELECT * FROM orders))
+      SELECT position, column_name, data_type,
+             CASE WHEN data_type IN ('string', 'boolean') THEN 'categorical'
+                  WHEN data_type IN ('tinyint', 'smallint', 'int', 'bigint', 'float', 'double') THEN 'numeric'
+                  ELSE 'other' END AS kind,
+             CAST((SELECT count(*) FROM orders) AS BIGINT) AS n_rows
+      FROM d"""
     o["cardinality"] = with_profile(_union(
         [f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM order_profile"
          for c in PROFILE_COLS]))
