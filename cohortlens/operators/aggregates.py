@@ -78,13 +78,19 @@ def grand_share(df: DataFrame, col: str) -> DataFrame:
     return with_share(counts, [], "n", "share")
 
 
+MAX_PIVOT_LEVELS = 10_000  # guard on the level list brought to the driver
+
+
 def dense_contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """A4/A5: two-way counts including zero cells, long form (a, b, n).
 
     The pivot enumerates the observed levels of ``b`` (a small driver-side
     list of distinct levels), fills absent cells with 0 and stacks back.
     """
-    levels = sorted(r[0] for r in df.select(b).distinct().collect())
+    found = df.select(b).distinct().limit(MAX_PIVOT_LEVELS + 1).collect()
+    if len(found) > MAX_PIVOT_LEVELS:
+        raise ValueError(f"{b} has more than {MAX_PIVOT_LEVELS} levels: use the long counts instead")
+    levels = sorted(r[0] for r in found)
     wide = df.groupBy(a).pivot(b, levels).agg(F.count(F.lit(1))).na.fill(0)
     args = ", ".join(f"'{lv}', `{lv}`" for lv in levels)
     return wide.selectExpr(a, f"stack({len(levels)}, {args}) as (`{b}`, n)") \
