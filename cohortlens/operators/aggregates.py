@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import right_closed_cut
+from cohortlens.functions.scalars import local_if_small, right_closed_cut
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values, with_share
 
@@ -184,8 +184,9 @@ def cohort_summary(full: DataFrame, cohort: DataFrame, outcome: str = "y") -> Da
 
 def group_median(df: DataFrame, group: str, value: str, approx: bool = False) -> DataFrame:
     """Exact median of ``value`` per group (no group is gathered in one task)."""
-    return exact_quantiles(df, [group], value, [0.5], approx=approx) \
+    med = exact_quantiles(df, [group], value, [0.5], approx=approx) \
         .select(group, F.col("quantile").alias("median_" + value))
+    return local_if_small(med)  # one row per group; local when small, so joins broadcast it
 
 
 def group_median_flag(df: DataFrame, group: str, value: str, factor: float = 0.8) -> DataFrame:

@@ -168,29 +168,48 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
         stats = stats.checkpoint(eager=True)
         use_window = False
     k = len(probs)
-    per_prob = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(p).alias("prob"),
-                 (F.lit(lo_p[i]) <= 0).alias("_lo_min"), (F.lit(hi_p[i]) >= 1).alias("_hi_max"),
-                 F.element_at("_b", i + 1).alias("_lo"), F.element_at("_b", k + i + 1).alias("_hi"))
-        for i, p in enumerate(probs)])
     # Below 4*accuracy rows the sketch margin is under one rank, so such a
     # group is bracketed by [min, max]: at most 4*accuracy candidate values.
     small = F.col("_n") <= F.lit(4 * accuracy)
-    br = (stats.select(*group_cols, "_n", "_mn", "_mx", "_mean", F.explode(per_prob).alias("s"))
-          .select(*group_cols, "_n", "_mn", "_mx", "_mean", "s.prob",
-                  F.when(F.col("s._lo_min") | small, F.col("_mn")).otherwise(F.col("s._lo")).alias("_lo"),
-                  F.when(F.col("s._hi_max") | small, F.col("_mx")).otherwise(F.col("s._hi")).alias("_hi"))
-          .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("prob"))
-          .withColumn("_k0", F.floor("_h").cast("long"))
-          .withColumn("_k1", F.ceil("_h").cast("long")))
+
+    def lo(i):
+        return F.when(F.lit(lo_p[i] <= 0) | small, F.col("_mn")).otherwise(F.element_at("_b", i + 1))
+
+    def hi(i):
+        return F.when(F.lit(hi_p[i] >= 1) | small, F.col("_mx")).otherwise(F.element_at("_b", k + i + 1))
+
+    # brackets per group as arrays in prob order (lower ends are non-decreasing)
+    sk = ["_n", "_mn", "_mx", "_mean"]
+    br = stats.select(*group_cols, *sk, F.array(*[lo(i) for i in range(k)]).alias("_los"),
+                      F.array(*[hi(i) for i in range(k)]).alias("_his"))
     keyed = base.join(br, group_cols, "inner")
-    side = F.when(F.col("_v") < F.col("_lo"), F.lit(-1)).when(F.col("_v") > F.col("_hi"), F.lit(1)) \
-        .otherwise(F.lit(0))
+    # ONE row per input row: j = number of lower bracket ends <= v (so v < lo_i
+    # exactly when j < i), and the value itself only when it lies in a bracket.
+    x = F.col("_v")
+    j = sum((x >= F.col("_los")[i]).cast("int") for i in range(k))
+    inside = None
+    for i in range(k):
+        c = (x >= F.col("_los")[i]) & (x <= F.col("_his")[i])
+        inside = c if inside is None else inside | c
+    counted = keyed.groupBy(*group_cols, j.alias("_j"), F.when(inside, x).alias("_cv")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    # per-prob brackets: a table of (groups x k) rows
+    per_prob = F.array(*[F.struct(F.lit(i + 1).alias("_i"), F.lit(p).alias("prob"),
+                                  F.col("_los")[i].alias("_lo"), F.col("_his")[i].alias("_hi"))
+                         for i, p in enumerate(probs)])
+    brp = (br.select(*group_cols, *sk, F.explode(per_prob).alias("s"))
+           .select(*group_cols, *sk, "s._i", "s.prob", "s._lo", "s._hi")
+           .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("prob"))
+           .withColumn("_k0", F.floor("_h").cast("long"))
+           .withColumn("_k1", F.ceil("_h").cast("long")))
     bkeys = group_cols + ["prob", "_k0", "_k1", "_h", "_n", "_mn", "_mx", "_mean"]
-    counted = (keyed.select(*bkeys, side.alias("_side"),
-                            F.when(side == 0, F.col("_v")).alias("_cv"))
-               .where(F.col("_side") <= 0)
-               .groupBy(*bkeys, "_side", "_cv").agg(F.count(F.lit(1)).alias("_c")))
+    # the aggregate has (k+1) bucket rows per group plus one row per candidate value
+    pair = counted.join(brp, group_cols, "inner")
+    below = (pair.where(F.col("_j") < F.col("_i")).groupBy(*bkeys).agg(F.sum("_c").alias("_c"))
+             .select(*bkeys, F.lit(-1).alias("_side"), F.lit(None).cast("double").alias("_cv"), "_c"))
+    cands = pair.where(F.col("_cv").isNotNull() & (F.col("_cv") >= F.col("_lo")) & (F.col("_cv") <= F.col("_hi"))) \
+        .select(*bkeys, F.lit(0).alias("_side"), "_cv", "_c")
+    counted = below.unionByName(cands)
     # One running count per (group, prob) ordered by (side, value): the single
     # "below" row comes first, so a candidate's running count is its rank bound.
     if use_window:

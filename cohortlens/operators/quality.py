@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalars import local_if_small
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.sources.tables import columns_of_kind
 
@@ -130,7 +131,8 @@ def quartiles(long: DataFrame, k: float = 1.5, approx: bool = False) -> DataFram
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))
     w = q.groupBy("variable").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    return w.withColumn("lo", F.col("q1") - k * iqr).withColumn("hi", F.col("q3") + k * iqr)
+    # one row per variable: a local relation, broadcast into the counting pass
+    return local_if_small(w.withColumn("lo", F.col("q1") - k * iqr).withColumn("hi", F.col("q3") + k * iqr))
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.scalars import pair_key, scalar_fields
+from cohortlens.functions.scalars import local_if_small, pair_key, scalar_fields
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values
 
@@ -217,8 +217,8 @@ def kde(df: DataFrame, value: str, group: str, grid_points: int = 64) -> DataFra
                                 - F.max(F.when(F.col("prob") == 0.25, F.col("quantile")))).alias("iqr"))
     st = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
                                F.min(value).alias("lo"), F.max(value).alias("hi"))
-    bw = st.join(iqr, group).withColumn(
-        "bw", F.lit(0.9) * F.least(F.col("sd"), F.col("iqr") / F.lit(1.34)) * F.pow(F.col("n"), F.lit(-0.2)))
+    bw = local_if_small(st.join(iqr, group).withColumn(
+        "bw", F.lit(0.9) * F.least(F.col("sd"), F.col("iqr") / F.lit(1.34)) * F.pow(F.col("n"), F.lit(-0.2))))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))
     j = df.select(group, F.col(value).cast("double").alias("_x")).join(bw, group)
     pts = j.select(group, "_x", "n", "bw", "lo", step.alias("step"),
