@@ -67,26 +67,32 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column
         T.StructField(c, T.DoubleType(), False) for c in local_names])
 
     def local_cumsum(batches):
-        carry: dict = {}
+        # Rows arrive sorted by (group, order) inside the range, so groups are
+        # contiguous: group ids come from key changes (vectorised), and only a
+        # batch's first group can continue the previous batch's last group.
+        last_key, last_tot = None, None
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(**{c: pd.Series(dtype="float64") for c in local_names})
                 continue
             vals = pdf[list(sum_cols)].astype("float64").fillna(0.0)
             if part_cols:
-                keys = pdf[part_cols].astype(object).apply(tuple, axis=1)
-                cums = vals.groupby(keys.values, sort=False).cumsum()
-                for c_in, c_out in zip(sum_cols, local_names):
-                    start = np.array([carry.get((k, c_in), 0.0) for k in keys.values])
-                    pdf[c_out] = cums[c_in].to_numpy() + start
-                last = pdf.groupby(keys.values, sort=False)[local_names].last()
-                for k, row in last.iterrows():
-                    for c_in, c_out in zip(sum_cols, local_names):
-                        carry[(k, c_in)] = float(row[c_out])
+                keys = pdf[part_cols]
+                changed = (keys != keys.shift()).any(axis=1).to_numpy()
+                changed[0] = True
+                gid = np.cumsum(changed)
+                cums = vals.groupby(gid).cumsum().to_numpy()
+                first_key = tuple(keys.iloc[0])
+                if last_tot is not None and first_key == last_key:
+                    cums[gid == 1] += last_tot
+                last_key = tuple(keys.iloc[-1])
             else:
-                for c_in, c_out in zip(sum_cols, local_names):
-                    pdf[c_out] = vals[c_in].cumsum().to_numpy() + carry.get(c_in, 0.0)
-                    carry[c_in] = float(pdf[c_out].iloc[-1])
+                cums = vals.cumsum().to_numpy()
+                if last_tot is not None:
+                    cums += last_tot
+            last_tot = cums[-1].copy()
+            for j, c_out in enumerate(local_names):
+                pdf[c_out] = cums[:, j]
             yield pdf
 
     local = ranged.mapInPandas(local_cumsum, out_schema)

@@ -62,3 +62,19 @@ def test_quantiles_range_path(spark, monkeypatch):
     for g, sub in pdf.groupby("g"):
         exp = np.quantile(sub.v.values, [0.3, 0.5])
         assert np.allclose([got[(g, 0.3)], got[(g, 0.5)]], exp)
+
+
+def test_range_path_carries_across_arrow_batches(spark, monkeypatch):
+    """Groups that span several Arrow batches inside one range keep exact sums."""
+    import cohortlens.operators.ordering as O
+    monkeypatch.setattr(O, "WINDOW_ROWS", 0)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 500).select("id", (F.col("id") % 3).alias("g"), F.lit(2.0).alias("w"))
+        r = O.running_sums(df, ["g"], [F.col("id")], ["w"], n_ranges=3).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for _, sub in r.groupby("g"):
+        s = sub.sort_values("id")
+        assert list(s.w_cum) == [2.0 * (i + 1) for i in range(len(s))]
