@@ -40,6 +40,18 @@ def _norm(v):
     return v
 
 
+def _kind(dtype: str) -> str:
+    """Coarse type class as a value hash would see it (width matters for ints)."""
+    d = dtype.lower()
+    if d.startswith("int") or d.startswith("uint"):
+        return d.replace("u", "")
+    if d.startswith("float"):
+        return "float"
+    if d in ("bool", "boolean"):
+        return "bool"
+    return "object"
+
+
 def rows_of(pdf):
     cols = sorted(pdf.columns)
     out = []
@@ -59,8 +71,12 @@ def compare(spark, key, fn, sql, sf_dir, con):
     dc, dr = rows_of(dk)
     status = "ok"
     detail = ""
+    st = {c: str(sp[c].dtype) for c in sp.columns}
+    dt = {c: str(dk[c].dtype) for c in dk.columns}
     if sc != dc:
         status, detail = "schema", f"spark={sc} duck={dc}"
+    elif len(sp) and len(dk) and {c: _kind(st[c]) for c in st} != {c: _kind(dt[c]) for c in dt}:
+        status, detail = "types", f"spark={st} duck={dt}"
     elif len(sr) != len(dr):
         status, detail = "rowcount", f"spark={len(sr)} duck={len(dr)}"
     elif sr != dr:
