@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.session import ensure_checkpoint_dir, materialize
 
 __all__ = ["documents", "embeddings", "labels", "materialize", "ensure_checkpoint_dir",
-           "ascii_lower", "id_crc", "crc_of_id", "mix64", "ragged", "utf8", "distinct_texts"]
+           "ascii_lower", "id_crc", "crc_of_id", "mix64", "ragged", "utf8", "distinct_texts", "IdFilter"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,3 +73,37 @@ def distinct_texts(docs: DataFrame, n: int) -> list[str]:
     keys = [r["h"] for r in docs.select(h.alias("h")).distinct().orderBy("h").limit(n).collect()]
     rows = docs.where(h.isin(keys)).groupBy(h.alias("h")).agg(F.min("text").alias("text"))
     return [r["text"] for r in rows.orderBy("h").collect()]
+
+
+class IdFilter:
+    """Bitmap over hashes of ids: never misses one of ``ids``, lets few others pass.
+
+    Two bits an id in 16 bits of room for each, at most MAX_BITS (8 MB, the bound
+    of what is collected and sent to tasks); beyond about four million ids more
+    and more others pass, which costs time and changes no result, as an exact
+    join on the ids follows.
+    """
+
+    MAX_BITS = 1 << 26
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.bits = 1 << 12
+        n = ids.count()
+        while self.bits < 16 * n and self.bits < self.MAX_BITS:
+            self.bits *= 2
+        bit = F.explode(F.array(*[F.pmod(h, F.lit(self.bits)) for h in self.hashes(column)]))
+        words = (ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("x")).toArrow())
+        self.words = np.zeros(self.bits // 64, dtype=np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
+
+    @staticmethod
+    def hashes(column: str) -> list[Column]:
+        return [F.xxhash64(column), F.xxhash64(F.lit(1), column)]
+
+    def passes(self, *hashes: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(hashes[0]), dtype=bool)
+        for h in hashes:
+            b = (h.view(np.uint64) & np.uint64(self.bits - 1))
+            ok &= (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        return ok

@@ -14,9 +14,12 @@ with probability below 1e-6.
 Scale: equal sets first collapse to one representative.  In a band bucket each
 member is linked to its smallest member only; links are confirmed and connected;
 buckets of three or more whose members still lie in different components are
-then compared completely, in blocks of at most about BLOCK members per side,
-inside tasks that emit only pairs whose estimate passes.  So copies are never
-expanded into pairs and no link between components is lost.  Everything kept
+then compared completely, in blocks of about BLOCK members and BLOCK_SHINGLES
+shingles per side: one pass of estimates finds the members that have a possible
+partner in another component, a second compares their full sets inside the task
+and emits links that connect them, fewer than members.  So copies are never
+expanded into pairs and no link between components is lost.  Full sets are only
+computed and moved for documents named by :class:`common.IdFilter`.  Everything kept
 between steps is written to the shared folder.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set
@@ -39,7 +42,7 @@ from cohortlens.llm.components import components
 BUCKETS, BANDS, ROWS = 128, 25, 5
 MANTISSA = 10
 GROUP_BYTES = 2_000_000
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 U = np.uint64
 WORD_BASE, K1, K2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 _PROBES = np.argsort(common.mix64(np.arange(BUCKETS * BUCKETS, dtype=np.uint64).reshape(BUCKETS, BUCKETS) + U(11)), axis=1)
@@ -182,7 +185,7 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
 
 def thinned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sizes and estimate allow the threshold."""
-    low = threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+    low = _least_estimate(threshold)
     a = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     b = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
     j = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
@@ -198,12 +201,15 @@ def thinned(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return j.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s): full sets, as bytes, of the documents in ``ids`` (doc_id)."""
+    wanted = common.IdFilter(ids, "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches):
         for batch in batches:
+            ok = shared.value.passes(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            batch = batch.filter(pa.array(ok))
             for a, b, s, counts in _each_group(batch.column(1), words):
                 raw = s.tobytes()
                 at = np.concatenate([[0], np.cumsum(counts)]) * 8
@@ -211,89 +217,130 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     [batch.column(0)[a:b], pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:])], pa.binary())],
                     names=["doc_id", "s"])
 
-    have = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(needed, "doc_id", "left_semi")
-            .mapInArrow(sets, "doc_id long, s binary"))
-    have = common.materialize(have, "sets")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    rows = rows.select("doc_id", "text", *[h.alias(f"h{i}") for i, h in enumerate(wanted.hashes("doc_id"))])
+    return common.materialize(rows.mapInArrow(sets, "doc_id long, s binary").join(ids, "doc_id", "left_semi"), "sets")
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([p, q]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    have = shingle_table(docs, needed, words)
     j = (pairs.join(have.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
          .join(have.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"))
 
     def run(batches):
         for x in batches:
-            ok = []
-            for p, q in zip(x.column("sa"), x.column("sb")):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, q]), kind="stable")
-                common_ = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common_ >= percent * (len(p) + len(q) - common_))
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok, pa.bool_())),
-                                              x.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            ok = pa.array([_linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64),
+                                   percent) for p, q in zip(x.column("sa"), x.column("sb"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], names=["a", "b"])
 
     return j.mapInArrow(run, "a long, b long")
 
 
-def remaining_pairs(bands: DataFrame, reps: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a band, lie in different components and were not yet compared."""
-    low = threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
-    named = (bands.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+class Block:
+    """Members of one band bucket (or of a pair of its blocks), and which of their pairs are due here."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        self.low, self.threshold = _least_estimate(threshold), threshold
+        self.regs = _matrix(t.column("regs"), np.uint16, BUCKETS)
+        self.rep, self.component = t.column("rep").to_numpy(), t.column("component").to_numpy().copy()
+        self.n = t.column("n_shingles").to_numpy().astype(float)
+        self.second = t.column("second").to_numpy()
+        self.keys = band_keys(self.regs)
+        self.band = int(np.flatnonzero(self.keys[0] == t.column("k")[0].as_py())[0])
+        self.diagonal = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components whose estimate with i passes, if this is the pair's first shared band."""
+        if self.diagonal:
+            o = np.arange(i + 1, len(self.rep))
+        elif self.second[i]:
+            return np.zeros(0, dtype=np.int64)
+        else:
+            o = np.flatnonzero(self.second)
+        n = self.n
+        o = o[(self.component[o] != self.component[i])
+              & (np.minimum(n[o], n[i]) >= self.threshold * np.maximum(n[o], n[i]) - 1e-9)]
+        if not len(o):
+            return o
+        o = o[estimate((self.regs[o] == self.regs[i]).mean(axis=1), n[o], np.full(len(o), n[i])) >= self.low]
+        return o[(self.keys[o] == self.keys[i]).argmax(axis=1) == self.band]
+
+
+def _least_estimate(threshold: float) -> float:
+    return threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+
+
+def _each_block(batches):
+    """Tables of the rows of one (k, x, y), from batches in that order."""
+    left = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([left, t]) if left is not None else t
+        k, x, y = (t.column(c).to_numpy() for c in ("k", "x", "y"))
+        edges = [0, *((np.flatnonzero((np.diff(k) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist())]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield t.slice(a, b - a).combine_chunks()
+        left = t.slice(edges[-1])
+    if left is not None and len(left):
+        yield left.combine_chunks()
+
+
+def open_members(shared: DataFrame, reps: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """Block members with a pair across components that was not yet compared and may reach the threshold."""
+    named = (shared.where("n > 2").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
              .withColumn("component", F.coalesce("component", "rep")))
-    mixed = (named.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub"),
-                                    F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where((F.col("n") > 2) & (F.col("lo") < F.col("hi")))
-             .select("k", "hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    m = named.join(mixed, "k").where(F.col("rep") != F.col("hub"))
+    mixed = (named.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo < hi").select("k"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    m = named.join(mixed, "k", "left_semi").where("rep <> hub").withColumn("blocks", blocks)
     m = m.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     m = m.select("k", "rep", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     m = m.select("k", "rep", "component", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"),
                  (F.col("i") > F.col("j")).alias("second"))
     m = m.join(reps.select("rep", "n_shingles", "regs"), "rep")
     m = m.select("k", "x", "y", "second", "rep", "component", "n_shingles", "regs")
-    m = m.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y")
-
-    def compare(t: pa.Table) -> list:
-        regs = _matrix(t.column("regs"), np.uint16, BUCKETS)
-        rep, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
-        n, second = t.column("n_shingles").to_numpy().astype(float), t.column("second").to_numpy(zero_copy_only=False)
-        keys, k = band_keys(regs), t.column("k")[0].as_py()
-        band = int(np.flatnonzero(keys[0] == k)[0])
-        diagonal = t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        out = []
-        for i in range(len(rep)):
-            if diagonal:
-                other = np.arange(i + 1, len(rep))
-            else:
-                if second[i]:
-                    continue
-                other = np.flatnonzero(second)
-            other = other[(comp[other] != comp[i])
-                          & (np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9)]
-            if not len(other):
-                continue
-            est = estimate((regs[other] == regs[i]).mean(axis=1), n[other], np.full(len(other), n[i]))
-            other = other[est >= low]
-            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]  # only in the first shared band
-            out += [(int(rep[i]), int(rep[o])) for o in other]
-        return out
 
     def run(batches):
-        left = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([left, t]) if left is not None else t
-            k, x, y = (t.column(c).to_numpy() for c in ("k", "x", "y"))
-            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
-            edges = [0, *cut.tolist()]
-            for a, b in zip(edges[:-1], edges[1:]):
-                yield _pairs(compare(t.slice(a, b - a).combine_chunks()))
-            left = t.slice(edges[-1])
-        if left is not None and len(left):
-            yield _pairs(compare(left.combine_chunks()))
+        for t in _each_block(batches):
+            block, due = Block(t, threshold), np.zeros(len(t), dtype=bool)
+            for i in range(len(t)):
+                o = block.partners(i)
+                due[o] = True
+                due[i] |= len(o) > 0
+            if due.any():
+                yield from t.filter(pa.array(due)).to_batches()
+
+    return m.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, m.schema)
 
-    return m.mapInArrow(run, "a long, b long").distinct()
 
+def linked_members(members: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members of each block as their full sets do, at most one fewer than members."""
+    m = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*members.columns, "s")
 
-def _pairs(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                       pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+    def run(batches):
+        for t in _each_block(batches):
+            block, out = Block(t, threshold), []
+            s = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+            for i in range(len(t)):
+                o = block.partners(i)
+                while len(o):
+                    j = int(o[0])
+                    if _linked(s[i], s[j], percent):
+                        out.append((int(block.rep[i]), int(block.rep[j])))
+                        block.component[block.component == block.component[j]] = block.component[i]
+                    o = o[1:][block.component[o[1:]] != block.component[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()),
+                                              pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+
+    return m.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -304,16 +351,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = common.materialize(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = (full.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
             .select(F.col("doc_id").alias("rep"), "n_shingles", "regs", "keys"))
-    bands = reps.select("rep", F.explode("keys").alias("k"))
-    hubs = bands.groupBy("k").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b < z").select("k", "b")
-    star = bands.join(hubs, "k").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    bands = reps.select("rep", "n_shingles", F.explode("keys").alias("k"))
+    buckets = (bands.groupBy("k").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n"),
+                                      F.sum("n_shingles").alias("shingles")).where("n > 1"))
+    shared = common.materialize(bands.select("k", "rep").join(buckets, "k"), "shared")
+    star = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     found = common.materialize(thinned(star, reps, threshold), "pairs").distinct()
     links = common.materialize(confirmed(found, docs, words, percent), "confirmed")
     label = components(links)
-    rest = common.materialize(remaining_pairs(bands, reps, label, threshold), "rest")
-    if rest.take(1):
-        more = confirmed(rest, docs, words, percent)
-        label = components(links.unionByName(more))
+    members = common.materialize(open_members(shared, reps, label, threshold), "members")
+    if members.take(1):
+        sets = shingle_table(docs, members.select(F.col("rep").alias("doc_id")).distinct(), words)
+        more = linked_members(members, sets, threshold, percent)
+        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "f1", "f2", F.coalesce("component", "rep").alias("component"))
     own = sig.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
