@@ -282,7 +282,7 @@ def removable(docs: DataFrame, length: int = 400) -> DataFrame:
         find, "rid long, h long, key long, at int, near short, far short"), "anchors")
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     places = found.join(twice, "key", "left_semi").groupBy("rid", "h").agg(
-        F.array_distinct(F.collect_list(F.struct("key", "at", "near", "far"))).alias("anchors"))
+        F.collect_set(F.struct("key", "at", "near", "far")).alias("anchors"))
     places = common.materialize(places, "places")
     count = places.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0
     buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 4000 + 1)
