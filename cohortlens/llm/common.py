@@ -67,12 +67,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
-def distinct_texts(docs: DataFrame, n: int) -> list[str]:
-    """The n different texts with the smallest hashes; n bounds what reaches the driver."""
-    h = F.xxhash64("text")
-    keys = [r["h"] for r in docs.select(h.alias("h")).distinct().orderBy("h").limit(n).collect()]
-    rows = docs.where(h.isin(keys)).groupBy(h.alias("h")).agg(F.min("text").alias("text"))
-    return [r["text"] for r in rows.orderBy("h").collect()]
+def smallest_hashes(hashed: DataFrame, n: int) -> list[int]:
+    """The n smallest different values of column h; n bounds what reaches the driver."""
+    return [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(n).collect()]
+
+
+def texts_of(docs: DataFrame, hashes: list[int]) -> list[str]:
+    """One text per hash in ``hashes``; copies are combined map-side, no text is shuffled otherwise."""
+    rows = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("h").isin(hashes))
+    return [r["text"] for r in rows.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
 
 
 class IdFilter:

@@ -80,17 +80,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> list:
     return [float(v) for v in w]
 
 
-def fit(train: DataFrame, per_class: int = 2000, max_chars: int = 20_000,
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2000, max_chars: int = 20_000,
         dictionary: int = 112_640, piece: int = 2048, level: int = 3) -> Model:
-    """Learns from (text, label) rows; bounds and sampling as stated in the module text."""
-    t = train.where(F.col("label").isin(0, 1))
-    n = {r["label"]: r["n"] for r in t.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Learns from the texts of ``docs`` that ``marks`` (doc_id, label) labels.
+
+    The join is on ids and text hashes only; of the texts themselves no more
+    than the bounded sample is moved.
+    """
+    marked = common.materialize(
+        docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").between(1, max_chars).alias("fits"))
+        .join(marks.where(F.col("label").isin(0, 1)), "doc_id").select("label", "h", "fits"), "marked")
+    n = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = n.get(1, 0) / sum(n.values()) if n else 0.5
     texts = {}
     for label in (0, 1):
-        rows = common.distinct_texts(t.where((F.col("label") == label)
-                                             & F.length("text").between(1, max_chars)), per_class)
-        texts[label] = [s.encode() for s in rows]
+        keys = common.smallest_hashes(marked.where((F.col("label") == label) & F.col("fits")), per_class)
+        texts[label] = [s.encode() for s in common.texts_of(docs, keys)]
     if min(len(texts[0]), len(texts[1])) < 2:
         return Model(b"", b"", [], prior, piece, level)
 
@@ -128,19 +133,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the rows open to learning: crc32(doc_id) mod 5 is not 0.
+def open_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the rows open to learning: crc32(doc_id) mod 5 is not 0.
 
     A document with several labels gives one row for each.
     """
     l = labels.where((F.pmod(common.id_crc(F.col("doc_id")), F.lit(5)) != 0) & F.col("quality").isin(0, 1))
-    l = l.select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", "text").join(l, "doc_id").select("text", "label")
+    return l.select("doc_id", F.col("quality").alias("label"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    model = fit(training_rows(docs, common.labels(spark, sf_dir)))
+    model = fit(docs, open_labels(common.labels(spark, sf_dir)))
     out = score(docs, model)
     return out.select("doc_id", (F.pmod(common.id_crc(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"),
                       "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

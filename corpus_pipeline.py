@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
-    model = quality.fit(quality.training_rows(docs, common.labels(spark, sf_dir)))
+    model = quality.fit(docs, quality.open_labels(common.labels(spark, sf_dir)))
     return quality.score(docs.select(COLUMNS), model).where(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
 
 
