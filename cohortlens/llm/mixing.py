@@ -6,8 +6,9 @@ weights scaled to one; without given weights they are proportional to
 Poisson distribution of its source's rate at a uniform seeded by a hash of
 (seed, doc_id), is exploded by that count, and the copies are sorted globally by
 a hash of (seed, doc_id, copy).  Counts per source are combined map-side; the
-small table of distribution functions joins on the source by an equi-join that
-Spark broadcasts only when its measured size allows it, and splits otherwise.
+small table of distribution functions joins on the source; it is broadcast when
+it counts at most BROADCAST_SOURCES rows, otherwise a split equi-join moves the
+documents to it.
 
 Edge cases: null sources form a source of their own, null doc_ids hash as empty
 text (one common draw); repeated rows of one id share one draw; a rate of 0
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from cohortlens.llm import common
 
 
+#: Up to so many sources their table (some 300 bytes a row) is sent to all tasks; the result is the same.
+BROADCAST_SOURCES = 20_000
+
+
 def _uniform(seed: int, *parts: Column) -> Column:
     """Uniform in [0, 1) from the first 13 hex digits of an md5."""
     key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
@@ -55,6 +60,8 @@ def rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5) -> D
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed: int = 7) -> DataFrame:
     """Rows of ``docs`` repeated by their draws, plus copies, copy (from 1) and shuffle_key; shuffled."""
     r = rates(docs, weights, alpha)
+    if r.count() <= BROADCAST_SOURCES:
+        r = F.broadcast(r)
     drawn = docs.withColumn("_u", _uniform(seed, F.col("doc_id"))).alias("d").join(
         r.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
     drawn = drawn.select(*[F.col(f"d.{c}") for c in docs.columns], F.size(F.filter(
