@@ -16,7 +16,8 @@ languages (the most frequent) are accepted, an error is raised beyond.
 Edge cases: null, empty and letterless texts give ``und`` with score 0 and are
 rejected; training rows with null language or without letters are ignored;
 without training rows everything is ``und``; ties go to the alphabetically first
-language; repeated rows are each predicted; extra columns pass through.
+language; repeated rows are each predicted; extra columns pass through, ones named
+lang_pred, score or rejected are replaced.
 """
 
 from __future__ import annotations
@@ -176,6 +177,7 @@ def fit(train: DataFrame, dims: int = 4096, clusters: int = 4, per_lang: int = 8
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ``lang_pred``, ``score``, ``rejected``."""
+    docs = docs.drop(*("lang_pred", "score", "rejected"))
     names, at = docs.columns, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

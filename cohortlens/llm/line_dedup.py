@@ -11,7 +11,7 @@ is bounded by its own lines.
 
 Edge cases: null texts stay null, texts under three lines stay as they are;
 rows repeated under one doc_id with one text count as one document; other
-columns pass through untouched.
+columns pass through untouched, ones named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SIZE = 3
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(_id, _h, covered array<int>): lines of each document inside a later occurrence."""
     lines = F.split(F.col("text"), "\n", -1)
-    d = (docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"),
+    d = (docs.select("doc_id", "text").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"),
                      lines.alias("lines"))
          .where(F.size("lines") >= SIZE))
     window = F.transform(F.sequence(F.lit(0), F.size("lines") - SIZE), lambda i: F.struct(
@@ -47,18 +47,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``text`` rid of later occurrences, plus n_lines, n_removed."""
-    marks = repeated_windows(docs)
-    lines = F.split(F.col("text"), "\n", -1)
-    names = [c for c in docs.columns if c != "text"]
-    joined = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(
-        marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id"))
+    lines = F.split(F.col("__row.text"), "\n", -1)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64("text").alias("_h"))
+    joined = rows.alias("d").join(
+        repeated_windows(docs).alias("m"), F.col("__row.doc_id").eqNullSafe(F.col("m._id"))
         & (F.col("d._h") == F.col("m._h")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("m.covered"))
-    text = F.when(F.col("m.covered").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("m.covered").isNull(), F.col("__row.text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(*[F.col(f"d.{c}").alias(c) for c in names], text.alias("text"),
-                         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("m.covered"), F.lit(0)).cast("long").alias("n_removed"))
+    same = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    n_lines = F.when(F.col("__row.text").isNull(), 0).otherwise(F.size(lines))
+    n_removed = F.when(F.col("m.covered").isNull(), 0).otherwise(F.size("m.covered"))
+    out = joined.select("__row", text.alias("__text"), n_lines.cast("long").alias("__lines"),
+                        n_removed.cast("long").alias("__removed"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in same], F.col("__text").alias("text"),
+                      F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

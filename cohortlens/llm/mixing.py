@@ -12,7 +12,8 @@ documents to it.
 
 Edge cases: null sources form a source of their own, null doc_ids hash as empty
 text (one common draw); repeated rows of one id share one draw; a rate of 0
-drops a source; extra columns pass through.
+drops a source; extra columns pass through, ones named copies, copy or
+shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -62,14 +63,15 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed:
     r = rates(docs, weights, alpha)
     if r.count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
-    drawn = docs.withColumn("_u", _uniform(seed, F.col("doc_id"))).alias("d").join(
-        r.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    drawn = drawn.select(*[F.col(f"d.{c}") for c in docs.columns], F.size(F.filter(
-        F.col("r.cdf"), lambda x: x <= F.col("d._u"))).alias("copies"))
-    out = (drawn.where("copies > 0")
-           .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-           .withColumn("shuffle_key", _uniform(seed + 1, F.col("doc_id"), F.col("copy"))))
-    return out.orderBy("shuffle_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    drawn = docs.select(row, _uniform(seed, F.col("doc_id")).alias("__u")).alias("d").join(
+        r.alias("r"), F.col("__row.source").eqNullSafe(F.col("r.source")))
+    drawn = drawn.select("__row", F.size(F.filter(F.col("r.cdf"), lambda x: x <= F.col("__u"))).alias("__n"))
+    drawn = drawn.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    drawn = drawn.withColumn("__key", _uniform(seed + 1, F.col("__row.doc_id"), F.col("__copy"))).orderBy("__key")
+    same = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
+    return drawn.select(*[F.col("__row").getField(c).alias(c) for c in same], F.col("__n").alias("copies"),
+                        F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

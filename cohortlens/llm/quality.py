@@ -14,7 +14,7 @@ count once); half of them build the dictionaries, half the curve.  Scoring cover
 Edge cases: null and empty texts score the share of good labels; rows without a
 0/1 label are not learned from; without labels of both classes every text scores
 that share (0.5 without any label); repeated rows are scored each; extra columns
-pass through.
+pass through, one named score is replaced.
 """
 
 from __future__ import annotations
@@ -119,6 +119,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = 2000, max_chars: int
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ``score``."""
+    docs = docs.drop(*("score",))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
