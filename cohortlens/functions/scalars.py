@@ -112,19 +112,12 @@ def scalar_fields(one_row):
     return {c: F.lit(row[0][c]).cast(types[c]) for c in one_row.columns}
 
 
-LOCAL_ROWS = 10_000  # largest lookup table turned into a local (statically broadcast) relation
-
-
-def local_if_small(df, max_rows: int = LOCAL_ROWS):
-    """A metric-sized lookup table (fences per variable, medians per group ...)
-    as a local relation when it has at most ``max_rows`` rows.
-
-    A table computed by an aggregate has no size estimate, so the planner
-    would shuffle (and sort) the big side to join it; a local relation has a
-    known size and is broadcast with no shuffle of the big side.  Larger
-    tables stay lazy and AQE decides at run time.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def null_safe_join(left, right, keys, how="inner"):
+    """Equi-join on ``keys`` in which NULL matches NULL; the keys of ``left`` are kept."""
+    keys = list(keys)
+    own = {k: f"_right_{k}" for k in keys}
+    r = right.select(*[F.col(k).alias(own[k]) for k in keys], *[c for c in right.columns if c not in own])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(own[k]))
+    return left.join(r, cond, how).drop(*own.values())

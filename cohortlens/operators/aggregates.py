@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import local_if_small, right_closed_cut
+from cohortlens.functions.scalars import null_safe_join, right_closed_cut
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values, with_share
+from cohortlens.session import materialize
 
 
 def outcome_profile(df: DataFrame, means: dict[str, tuple[str, int]],
@@ -55,7 +56,7 @@ def rate_with_reference(df: DataFrame, cols: Sequence[str], outcome: str = "y")
     overall = df.agg(F.avg(outcome)).scalar()
     return (rate_by_category(df, cols, outcome)
             .withColumn("overall_rate", overall)
-            .withColumn("lift", F.col("rate") / F.col("overall_rate")))
+            .withColumn("lift", F.try_divide("rate", "overall_rate")))
 
 
 def category_share(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFrame:
@@ -78,23 +79,17 @@ def grand_share(df: DataFrame, col: str) -> DataFrame:
     return with_share(counts, [], "n", "share")
 
 
-MAX_PIVOT_LEVELS = 10_000  # guard on the level list brought to the driver
-
-
 def dense_contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A4/A5: two-way counts including zero cells, long form (a, b, n).
+    """A4/A5: two-way counts including zero cells, long form (a, b, n); NULL is a level.
 
-    The pivot enumerates the observed levels of ``b`` (a small driver-side
-    list of distinct levels), fills absent cells with 0 and stacks back.
+    The grid is every level of ``a`` with the list of levels of ``b`` (as many
+    as one row of the result has cells); counts are joined to it.
     """
-    found = df.select(b).distinct().limit(MAX_PIVOT_LEVELS + 1).collect()
-    if len(found) > MAX_PIVOT_LEVELS:
-        raise ValueError(f"{b} has more than {MAX_PIVOT_LEVELS} levels: use the long counts instead")
-    levels = sorted(r[0] for r in found)
-    wide = df.groupBy(a).pivot(b, levels).agg(F.count(F.lit(1))).na.fill(0)
-    args = ", ".join(f"'{lv}', `{lv}`" for lv in levels)
-    return wide.selectExpr(a, f"stack({len(levels)}, {args}) as (`{b}`, n)") \
-        .select(a, b, F.col("n").cast("long").alias("n"))
+    counts = materialize(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), "cells")
+    levels = counts.select(b).distinct().agg(F.collect_list(F.struct(b))).scalar()
+    grid = counts.select(a).distinct().select(a, F.explode(levels).alias("_l")).select(a, F.col(f"_l.{b}").alias(b))
+    return null_safe_join(grid, counts, [a, b], "left").select(
+        a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def conditional_rates(df: DataFrame, rules: dict[str, Column], outcome: str = "y") -> DataFrame:
@@ -114,13 +109,9 @@ def binned_rate(df: DataFrame, specs: dict[str, tuple[Sequence[float], Sequence[
 
     Out-of-range values form the NULL bin, as R ``cut`` does.
     """
-    parts = []
-    for var, (breaks, labels) in specs.items():
-        parts.append(df.select(F.lit(var).alias("variable"),
-                               right_closed_cut(var, breaks, labels).alias("bin"), outcome))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    bins = [F.struct(F.lit(var).alias("variable"), right_closed_cut(var, breaks, labels).alias("bin"))
+            for var, (breaks, labels) in specs.items()]  # one scan for all variables
+    long = df.select(F.explode(F.array(*bins)).alias("b"), outcome).select("b.variable", "b.bin", outcome)
     return (long.groupBy("variable", "bin")
             .agg(F.count(F.lit(1)).alias("n"),
                  F.round(F.avg(outcome) * 100.0, 1).alias("rate_pct")))
@@ -170,7 +161,7 @@ def cohort_summary(full: DataFrame, cohort: DataFrame, outcome: str = "y") -> Da
     s = cohort.agg(F.count(F.lit(1)).alias("n"),
                    F.coalesce(F.sum(outcome), F.lit(0)).cast("long").alias("n_positive"))
     s = s.withColumn("n_total", total) \
-        .withColumn("rate_pct", F.round(F.col("n_positive") * 100.0 / F.col("n"), 1)) \
+        .withColumn("rate_pct", F.round(F.try_divide(F.col("n_positive") * 100.0, F.col("n")), 1)) \
         .withColumn("is_filtered", F.col("n") < F.col("n_total"))
     sentence = F.concat(F.col("n").cast("string"), F.lit(" rows, "),
                         F.col("n_positive").cast("string"), F.lit(" positive ("),
@@ -186,7 +177,7 @@ def group_median(df: DataFrame, group: str, value: str, approx: bool = False) ->
     """Exact median of ``value`` per group (no group is gathered in one task)."""
     med = exact_quantiles(df, [group], value, [0.5], approx=approx) \
         .select(group, F.col("quantile").alias("median_" + value))
-    return local_if_small(med)  # one row per group; local when small, so joins broadcast it
+    return materialize(med, "medians")  # one row per group, of known size for the joins
 
 
 def group_median_flag(df: DataFrame, group: str, value: str, factor: float = 0.8) -> DataFrame:
@@ -196,19 +187,22 @@ def group_median_flag(df: DataFrame, group: str, value: str, factor: float = 0.8
     AQE broadcasts them when their measured size is below the threshold.
     """
     med = group_median(df, group, value)
-    j = df.select(group, value).join(med, group)
+    j = null_safe_join(df.select(group, value), med, [group])
     return (j.groupBy(group, "median_" + value)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.sum((F.col(value) < F.lit(factor) * F.col("median_" + value)).cast("long"))
                  .alias("n_below")))
 
 
-def group_bands(df: DataFrame, group: str, value: str, lo_factor: float = 0.8,
-                hi_factor: float = 1.2) -> DataFrame:
-    """Per-group min/max band widened (floor(min*0.8), ceil(max*1.2))."""
-    return df.groupBy(group).agg(
-        F.floor(F.min(value) * lo_factor).alias("band_lo"),
-        F.ceil(F.max(value) * hi_factor).alias("band_hi"))
+def group_bands(df: DataFrame, group: str, value: str, lo_factor: float = 0.8, hi_factor: float = 1.2,
+                lowest: float | None = None, highest: float | None = None) -> DataFrame:
+    """Per-group min/max band widened (floor(min*0.8), ceil(max*1.2)), kept within lowest and highest."""
+    lo, hi = F.floor(F.min(value) * lo_factor), F.ceil(F.max(value) * hi_factor)
+    if lowest is not None:
+        lo = F.greatest(lo, F.lit(lowest).cast("long"))
+    if highest is not None:
+        hi = F.least(hi, F.lit(highest).cast("long"))
+    return df.groupBy(group).agg(lo.alias("band_lo"), hi.alias("band_hi"))
 
 
 def values_per_group(df: DataFrame, group: str, value: str, sep: str = ",") -> DataFrame:

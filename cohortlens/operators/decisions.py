@@ -20,8 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import scalar_fields
-from cohortlens.operators.aggregates import group_median
+from cohortlens.functions.scalars import null_safe_join, scalar_fields
+from cohortlens.operators.aggregates import group_bands, group_median
 
 
 @dataclass
@@ -90,7 +90,7 @@ def logistic_score(df: DataFrame, coef: dict[str, float], intercept: float,
                               *[F.stddev_samp(c).alias(f"s_{c}") for c in coef]))
     eta = F.lit(intercept)
     for c, b in coef.items():
-        eta = eta + F.lit(b) * ((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"])
+        eta = eta + F.lit(b) * F.try_divide(F.col(c) - st[f"m_{c}"], st[f"s_{c}"])
     for _, (cond, b) in (flags or {}).items():
         eta = eta + F.when(cond, F.lit(b)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
@@ -98,7 +98,8 @@ def logistic_score(df: DataFrame, coef: dict[str, float], intercept: float,
 
 def clamp_cascade(df: DataFrame, steps: Sequence[tuple[str, Callable[[], Column], Callable[[], Column]]]) -> DataFrame:
     """Apply (column, lower, upper) clamps in dependency order; later bounds
-    see earlier clamped values.  Adds ``n_changed`` (Q13 violations repaired)."""
+    see earlier clamped values; NULL stays NULL.  Adds ``n_changed`` (Q13
+    violations repaired)."""
     orig = {c: F.col(c) for c, _, _ in steps}
     out = df.select("*", *[F.col(c).alias(f"_orig_{c}") for c in orig])
     for c, lo, hi in steps:
@@ -108,8 +109,8 @@ def clamp_cascade(df: DataFrame, steps: Sequence[tuple[str, Callable[[], Column]
             v = F.least(v, hi_c)
         if lo_c is not None:
             v = F.greatest(v, lo_c)
-        out = out.withColumn(c, v.cast(dict(df.dtypes)[c]))
-    changed = sum((F.col(c) != F.col(f"_orig_{c}")).cast("int") for c in orig)
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), v).cast(dict(df.dtypes)[c]))
+    changed = sum((~F.col(c).eqNullSafe(F.col(f"_orig_{c}"))).cast("int") for c in orig)
     return out.withColumn("n_changed", changed).drop(*[f"_orig_{c}" for c in orig])
 
 
@@ -207,6 +208,7 @@ EMPLOYEE_FALLBACK = ("check-circle",
 
 def employee_constraints() -> list:
     """D6 cascade for employee inputs (dependency order)."""
+    # The upper bounds of the cascade and the lowest and highest income.
     c, L = F.col, F.lit
     return [
         ("TotalWorkingYears", lambda: L(0), lambda: F.least(F.greatest(c("Age") - 16, L(0)), L(40))),
@@ -215,10 +217,19 @@ def employee_constraints() -> list:
         ("YearsWithCurrManager", lambda: L(0), lambda: F.least(c("YearsAtCompany"), L(17))),
         ("YearsSinceLastPromotion", lambda: L(0), lambda: F.least(c("YearsAtCompany"), L(15))),
         ("NumCompaniesWorked", lambda: L(0), lambda: F.least(c("TotalWorkingYears") + 1, L(9))),
-        ("MonthlyIncome", lambda: c("band_lo"), lambda: c("band_hi")),
+        ("MonthlyIncome", lambda: F.greatest(c("band_lo"), L(1009)), lambda: F.least(c("band_hi"), L(19999))),
     ]
 
 
+def repair_employees(df: DataFrame, population: DataFrame) -> DataFrame:
+    """D6 whole: a role valid for the department, then the clamps, with the
+    income band of the job level as found in the population."""
+    pairs = population.select("Department", "JobRole").distinct()
+    bands = group_bands(population, "JobLevel", "MonthlyIncome", lowest=1009, highest=19999)
+    valid = valid_choice(df, pairs, "Department", "JobRole")
+    return clamp_cascade(null_safe_join(valid, bands, ["JobLevel"], "left"), employee_constraints())
+
+
 def explain_employees(df: DataFrame, population: DataFrame, outcome: str = "y") -> DataFrame:
     """D4 + D5 for employee profiles against a population table (with 0/1 ``y``)."""
     stats = population_stats(population, employee_rate_conditions(), outcome)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import scalar_fields
+from cohortlens.functions.scalars import null_safe_join, scalar_fields
 from cohortlens.operators.ordering import running_sums
 
 SCORE, Y = "score", "y"
@@ -34,7 +34,7 @@ def cumulative_counts(pred: DataFrame, groups: Sequence[str]) -> DataFrame:
     # checkpointed sums instead of scanning the predictions again
     totals = cum.groupBy(*groups).agg(F.max("n1_cum").alias("P"), F.max("n0_cum").alias("N"))
     if groups:
-        return cum.join(totals, groups)
+        return null_safe_join(cum, totals, groups)
     t = scalar_fields(totals)
     return cum.withColumn("P", t["P"]).withColumn("N", t["N"])
 
@@ -44,8 +44,8 @@ def roc_curve(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     groups = list(groups)
     cc = cumulative_counts(pred, groups)
     pts = cc.select(*groups, F.col(SCORE).alias("threshold"),
-                    (F.col("n1_cum") / F.col("P")).alias("tpr"),
-                    (F.col("n0_cum") / F.col("N")).alias("fpr"))
+                    F.try_divide("n1_cum", "P").alias("tpr"),
+                    F.try_divide("n0_cum", "N").alias("fpr"))
     start = pred.select(*groups).distinct().select(
         *groups, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     return pts.unionByName(start)
@@ -56,8 +56,8 @@ def pr_curve(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     groups = list(groups)
     cc = cumulative_counts(pred, groups)
     pts = cc.select(*groups, F.col(SCORE).alias("threshold"),
-                    (F.col("n1_cum") / F.col("P")).alias("recall"),
-                    (F.col("n1_cum") / (F.col("n1_cum") + F.col("n0_cum"))).alias("precision"))
+                    F.try_divide("n1_cum", "P").alias("recall"),
+                    F.try_divide(F.col("n1_cum"), F.col("n1_cum") + F.col("n0_cum")).alias("precision"))
     start = pred.select(*groups).distinct().select(
         *groups, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"),
         F.lit(1.0).alias("precision"))
@@ -73,7 +73,7 @@ def roc_auc(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     cc = cumulative_counts(pred, groups)
     below = F.col("N") - F.col("n0_cum")
     return cc.groupBy(*groups).agg(
-        (F.sum(F.col("n1") * (below + F.lit(0.5) * F.col("n0"))) / (F.first("P") * F.first("N")))
+        F.try_divide(F.sum(F.col("n1") * (below + F.lit(0.5) * F.col("n0"))), F.first("P") * F.first("N"))
         .alias("roc_auc"))
 
 
@@ -98,7 +98,7 @@ def threshold_counts(pred: DataFrame, groups: Sequence[str] = ("model",), lo_pct
                                    F.sum((1 - F.col(Y)).cast("double")).alias("n0"))
     grid = pred.select(*groups).distinct().select(
         *groups, F.explode(F.sequence(F.lit(lo_pct - 1), F.lit(hi_pct))).alias("k"))
-    dense = grid.join(b, groups + ["k"], "left").na.fill(0.0, ["n1", "n0"])
+    dense = null_safe_join(grid, b, groups + ["k"], "left").na.fill(0.0, ["n1", "n0"])
     w = Window.partitionBy(*groups).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     wt = Window.partitionBy(*groups)
     cum = dense.select(*groups, "k", F.sum("n1").over(w).alias("tp"), F.sum("n0").over(w).alias("fp"),
@@ -113,8 +113,8 @@ def threshold_sweep(pred: DataFrame, groups: Sequence[str] = ("model",)) -> Data
     specificity and distance = (1-sens)^2 + (1-spec)^2."""
     groups = list(groups)
     tc = threshold_counts(pred, groups)
-    sens = F.col("tp") / (F.col("tp") + F.col("fn"))
-    spec = F.col("tn") / (F.col("tn") + F.col("fp"))
+    sens = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
+    spec = F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))
     m = tc.select(*groups, "threshold", sens.alias("sensitivity"), spec.alias("specificity"))
     m = m.withColumn("j_index", F.col("sensitivity") + F.col("specificity") - 1) \
         .withColumn("distance", (1 - F.col("sensitivity")) ** 2 + (1 - F.col("specificity")) ** 2)
@@ -135,7 +135,7 @@ def confusion_at(pred: DataFrame, thresholds: DataFrame, groups: Sequence[str] =
     """Dense 2x2 counts at each group's threshold (``>=`` is positive),
     long form with cell labels and the cost reading."""
     groups = list(groups)
-    j = pred.join(thresholds.select(*groups, "threshold"), groups)
+    j = null_safe_join(pred, thresholds.select(*groups, "threshold"), groups)
     hat = (F.col(SCORE) >= F.col("threshold")).cast("int")
     cnt = j.groupBy(*groups, "threshold").agg(
         F.sum(((hat == 1) & (F.col(Y) == 1)).cast("long")).alias("TP"),
@@ -186,7 +186,7 @@ def metrics_at(pred: DataFrame, thresholds: DataFrame, groups: Sequence[str] = (
     groups = list(groups)
     conf = confusion_at(pred, thresholds, groups)
     wide = conf.groupBy(*groups, "threshold").pivot("cell", ["TP", "FP", "FN", "TN"]).agg(F.first("n"))
-    m = metrics_from_counts(wide).join(roc_auc(pred, groups), groups)
+    m = null_safe_join(metrics_from_counts(wide), roc_auc(pred, groups), groups)
     return m.unpivot(groups + ["threshold"], METRIC_NAMES + ["roc_auc"], "metric", "estimate")
 
 
@@ -194,7 +194,7 @@ def fold_metrics(pred: DataFrame, folds_cols: Sequence[str] = ("repeat", "fold")
                  groups: Sequence[str] = ("model",), threshold: float = 0.5) -> DataFrame:
     """Per (model, repeat, fold) class metrics at 0.5 and ROC-AUC, long form."""
     keys = list(groups) + list(folds_cols)
-    cm = class_metrics(pred, keys, threshold).join(roc_auc(pred, keys), keys)
+    cm = null_safe_join(class_metrics(pred, keys, threshold), roc_auc(pred, keys), keys)
     return cm.unpivot(keys, METRIC_NAMES + ["roc_auc"], "metric", "estimate")
 
 

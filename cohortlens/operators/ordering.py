@@ -14,7 +14,6 @@ two primitives here keep every task bounded:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,11 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.functions.scalars import null_safe_join
+from cohortlens.session import ensure_checkpoint_dir, materialize
 
 _PID = "_range_id"
-LOCAL_GROUPS = 10_000      # per-group rows small enough to bring to the driver
-WINDOW_ROWS = 1_000_000    # proven group bound up to which one window partition is fine
 
 
 def _default_ranges(df: DataFrame) -> int:
@@ -36,35 +34,24 @@ def _default_ranges(df: DataFrame) -> int:
 
 def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
                  sum_cols: Sequence[str], suffix: str = "_cum",
-                 n_ranges: int | None = None, checkpoint: bool = True,
-                 adaptive: bool = True) -> DataFrame:
+                 n_ranges: int | None = None) -> DataFrame:
     """Add ``<c><suffix>`` = sum of c over rows of the same group up to this row.
 
     ``order`` must give a strict total order inside each group (append an id
-    for ties); descending order is expressed with ``Column.desc()``.
-
-    With ``adaptive`` the group sizes are probed first (one aggregate, at
-    most ``LOCAL_GROUPS`` rows fetched): when every group is proven to hold
-    at most ``WINDOW_ROWS`` rows, a plain window computes the sums in the
-    JVM; otherwise the range-partitioned path below keeps every task bounded.
+    for ties); descending order is expressed with ``Column.desc()``.  One plan
+    at every size: no task ever holds more than one range.  NULL group keys
+    form a group, NULL values add nothing, and a running sum is NULL until the
+    first value that is not NULL, as in SQL.
     """
-    part_cols = list(part_cols)
-    if adaptive:
-        sizes = (df.groupBy(*part_cols) if part_cols else df.groupBy()).count() \
-            .limit(LOCAL_GROUPS + 1).collect()
-        if len(sizes) <= LOCAL_GROUPS and max((r["count"] for r in sizes), default=0) <= WINDOW_ROWS:
-            w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()) \
-                .orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-            return df.select("*", *[F.sum(F.col(c).cast("double")).over(w).alias(c + suffix)
-                                    for c in sum_cols])
+    part_cols, sum_cols = list(part_cols), list(sum_cols)
     sort_spec = [F.col(c) for c in part_cols] + list(order)
     n = n_ranges or _default_ranges(df)
     ranged = (df.repartitionByRange(n, *sort_spec)
               .sortWithinPartitions(*sort_spec)
               .withColumn(_PID, F.spark_partition_id()))
-    local_names = [c + "_local" for c in sum_cols]
+    names = [c + "_local" for c in sum_cols] + [c + "_seen" for c in sum_cols]
     out_schema = T.StructType(ranged.schema.fields + [
-        T.StructField(c, T.DoubleType(), False) for c in local_names])
+        T.StructField(c, T.DoubleType(), False) for c in names])
 
     def local_cumsum(batches):
         # Rows arrive sorted by (group, order) inside the range, so groups are
@@ -73,46 +60,48 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column
         last_key, last_tot = None, None
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(**{c: pd.Series(dtype="float64") for c in local_names})
+                yield pdf.assign(**{c: pd.Series(dtype="float64") for c in names})
                 continue
-            vals = pdf[list(sum_cols)].astype("float64").fillna(0.0)
-            if part_cols:
-                keys = pdf[part_cols]
-                changed = (keys != keys.shift()).any(axis=1).to_numpy()
-                changed[0] = True
-                gid = np.cumsum(changed)
-                cums = vals.groupby(gid).cumsum().to_numpy()
-                first_key = tuple(keys.iloc[0])
-                if last_tot is not None and first_key == last_key:
-                    cums[gid == 1] += last_tot
-                last_key = tuple(keys.iloc[-1])
-            else:
-                cums = vals.cumsum().to_numpy()
-                if last_tot is not None:
-                    cums += last_tot
-            last_tot = cums[-1].copy()
-            for j, c_out in enumerate(local_names):
+            raw = pdf[sum_cols].astype("float64")
+            vals = np.hstack([raw.fillna(0.0).to_numpy(), raw.notna().to_numpy().astype("float64")])
+            changed = np.zeros(len(pdf), dtype=bool)
+            changed[0] = True
+            for c in part_cols:
+                codes, _ = pd.factorize(pdf[c])  # NULL is one code of its own
+                changed[1:] |= codes[1:] != codes[:-1]
+            gid = np.cumsum(changed)
+            cums = pd.DataFrame(vals).groupby(gid).cumsum().to_numpy()
+            keys = [[None if pd.isna(x) else x for x in pdf[part_cols].iloc[i]] for i in (0, -1)]
+            if last_tot is not None and keys[0] == last_key:
+                cums[gid == 1] += last_tot
+            last_key, last_tot = keys[1], cums[-1].copy()
+            for j, c_out in enumerate(names):
                 pdf[c_out] = cums[:, j]
             yield pdf
 
-    local = ranged.mapInPandas(local_cumsum, out_schema)
-    if checkpoint:
-        # Reliable checkpoint in the shared folder: both uses below read the
-        # same materialised ranges, and a lost executor does not re-rank.
-        ensure_checkpoint_dir(df.sparkSession)
-        local = local.checkpoint(eager=True)
+    # Reliable checkpoint in the shared folder: both uses below read the same
+    # materialised ranges, and a lost executor does not re-rank.
+    ensure_checkpoint_dir(df.sparkSession)
+    local = ranged.mapInPandas(local_cumsum, out_schema).checkpoint(eager=True)
     keys = [_PID] + part_cols
-    totals = local.groupBy(*keys).agg(*[F.sum(c).alias(c + "_tot") for c in sum_cols])
+    totals = _range_totals(local, keys, sum_cols)
     w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy()).orderBy(_PID) \
         .rowsBetween(Window.unboundedPreceding, -1)
     # One row per (range, group): bounded by ranges + groups, so this small
     # window is cheap even when it is unpartitioned.
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(c + "_tot").over(w), F.lit(0.0)).alias(c + "_off")
-                                     for c in sum_cols])
-    joined = local.join(offsets, keys, "inner")
-    return joined.select(
-        *[c for c in df.columns],
-        *[(F.col(c + "_local") + F.col(c + "_off")).alias(c + suffix) for c in sum_cols])
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(c + x).over(w), F.lit(0.0)).alias(c + x + "_off")
+                                     for c in sum_cols for x in ("_tot", "_cnt")])
+    joined = null_safe_join(local, offsets, keys)
+    return joined.select(*df.columns, *[
+        F.when(F.col(c + "_seen") + F.col(c + "_cnt_off") > 0, F.col(c + "_local") + F.col(c + "_tot_off"))
+        .alias(c + suffix) for c in sum_cols])
+
+
+def _range_totals(local: DataFrame, keys: Sequence[str], sum_cols: Sequence[str]) -> DataFrame:
+    """Sum and count of non-NULL values per (range, group)."""
+    v = {c: F.col(c).cast("double") for c in sum_cols}
+    return local.groupBy(*keys).agg(*[F.coalesce(F.sum(v[c]), F.lit(0.0)).alias(c + "_tot") for c in sum_cols],
+                                    *[F.count(v[c]).cast("double").alias(c + "_cnt") for c in sum_cols])
 
 
 def exact_ranks(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
@@ -137,17 +126,13 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     most ~6n/accuracy values, or n <= 4*accuracy for small groups) are
     ordered.
 
-    The pass-1 table has one row per group.  Up to ``LOCAL_GROUPS`` groups it
-    is fetched once and re-enters as a local table (deterministic brackets,
-    a broadcast of known size); then the exact n per group bounds the
-    candidates, and a bound up to ``WINDOW_ROWS`` is ranked with a window.
-    Larger bounds, or more groups (pass 1 then goes through a reliable
-    checkpoint), are ranked with ``running_sums`` so no task holds a whole
-    group or bracket.  ``approx=True`` returns the sketch value alone;
+    The pass-1 table has one row per group and is written once, so its size is
+    known to the join.  The candidates of one (group, probability), at most
+    6/accuracy of the group, are ranked by one window.  NULL group keys form a
+    group.  ``approx=True`` returns the sketch value alone;
     ``with_stats`` adds n, min, mean and max per group.
     """
     group_cols = list(group_cols)
-    spark = long_df.sparkSession
     v = F.col(value_col).cast("double")
     base = long_df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
     probs = [float(p) for p in probs]
@@ -163,16 +148,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     stats = base.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
         F.avg("_v").alias("_mean"), F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_b"))
-    local = stats.limit(LOCAL_GROUPS + 1).collect()
-    if len(local) <= LOCAL_GROUPS:
-        stats = spark.createDataFrame(local, stats.schema) if local else stats.limit(0)
-        max_n = max((r["_n"] for r in local), default=0)
-        bound = max_n if max_n <= 4 * accuracy else math.ceil(6.0 * max_n / accuracy) + 2
-        use_window = bound <= WINDOW_ROWS
-    else:
-        ensure_checkpoint_dir(spark)
-        stats = stats.checkpoint(eager=True)
-        use_window = False
+    stats = materialize(stats, "quantile_stats")
     k = len(probs)
     # Below 4*accuracy rows the sketch margin is under one rank, so such a
     # group is bracketed by [min, max]: at most 4*accuracy candidate values.
@@ -188,7 +164,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     sk = ["_n", "_mn", "_mx", "_mean"]
     br = stats.select(*group_cols, *sk, F.array(*[lo(i) for i in range(k)]).alias("_los"),
                       F.array(*[hi(i) for i in range(k)]).alias("_his"))
-    keyed = base.join(br, group_cols, "inner")
+    keyed = null_safe_join(base, br, group_cols)
     # ONE row per input row: j = number of lower bracket ends <= v (so v < lo_i
     # exactly when j < i), and the value itself only when it lies in a bracket.
     x = F.col("_v")
@@ -210,7 +186,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
            .withColumn("_k1", F.ceil("_h").cast("long")))
     bkeys = group_cols + ["prob", "_k0", "_k1", "_h", "_n", "_mn", "_mx", "_mean"]
     # the aggregate has (k+1) bucket rows per group plus one row per candidate value
-    pair = counted.join(brp, group_cols, "inner")
+    pair = null_safe_join(counted, brp, group_cols)
     below = (pair.where(F.col("_j") < F.col("_i")).groupBy(*bkeys).agg(F.sum("_c").alias("_c"))
              .select(*bkeys, F.lit(-1).alias("_side"), F.lit(None).cast("double").alias("_cv"), "_c"))
     cands = pair.where(F.col("_cv").isNotNull() & (F.col("_cv") >= F.col("_lo")) & (F.col("_cv") <= F.col("_hi"))) \
@@ -218,11 +194,8 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     counted = below.unionByName(cands)
     # One running count per (group, prob) ordered by (side, value): the single
     # "below" row comes first, so a candidate's running count is its rank bound.
-    if use_window:
-        w = Window.partitionBy(*bkeys).orderBy("_side", "_cv").rowsBetween(Window.unboundedPreceding, 0)
-        cum = counted.withColumn("_c_cum", F.sum("_c").over(w))
-    else:
-        cum = running_sums(counted, bkeys, [F.col("_side"), F.col("_cv")], ["_c"], adaptive=False)
+    w = Window.partitionBy(*bkeys).orderBy("_side", "_cv").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counted.withColumn("_c_cum", F.sum("_c").over(w))
     ranked = (cum.where(F.col("_side") == 0)
               .withColumn("_hi_rank", F.col("_c_cum"))
               .withColumn("_lo_rank", F.col("_hi_rank") - F.col("_c")))

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import local_if_small
+from cohortlens.functions.scalars import null_safe_join
+from cohortlens.session import materialize
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.sources.tables import columns_of_kind
 
@@ -75,8 +76,10 @@ def cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Q9: columns with a single distinct value."""
-    return cardinality(df).where(F.col("n_distinct") == 1)
+    """Q9: columns whose values that are not NULL are all the same (min = max): one pass, no shuffle of rows."""
+    wide = df.agg(*[F.when(F.min(c) == F.max(c), 1).otherwise(0).alias(c) for c in df.columns])
+    return stack_scalars(wide, df.columns, "column_name", "n_distinct").where(F.col("n_distinct") == 1).select(
+        "column_name", F.col("n_distinct").cast("long").alias("n_distinct"))
 
 
 def freq_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -100,7 +103,8 @@ def with_share(counts: DataFrame, part_cols: Sequence[str], n_col: str = "n",
         total = counts.agg(F.sum(n_col)).scalar()
         return counts.withColumn(name, F.col(n_col) / total)
     totals = counts.groupBy(*part_cols).agg(F.sum(n_col).alias("_tot"))
-    return counts.join(totals, part_cols).withColumn(name, F.col(n_col) / F.col("_tot")).drop("_tot")
+    return null_safe_join(counts, totals, part_cols).withColumn(
+        name, F.try_divide(n_col, "_tot")).drop("_tot").select(*counts.columns, name)
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None,
@@ -131,8 +135,8 @@ def quartiles(long: DataFrame, k: float = 1.5, approx: bool = False) -> DataFram
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))
     w = q.groupBy("variable").agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    # one row per variable: a local relation, broadcast into the counting pass
-    return local_if_small(w.withColumn("lo", F.col("q1") - k * iqr).withColumn("hi", F.col("q3") + k * iqr))
+    # one row per variable, of known size for the join of the counting pass
+    return materialize(w.withColumn("lo", F.col("q1") - k * iqr).withColumn("hi", F.col("q3") + k * iqr), "fences")
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5,

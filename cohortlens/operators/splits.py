@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import seeded_key
+from cohortlens.functions.scalars import null_safe_join, seeded_key
 from cohortlens.operators.ordering import exact_ranks
 
 
@@ -22,7 +22,7 @@ def stratified_split(df: DataFrame, id_col: str = "id", outcome: str = "y", seed
     ranked = exact_ranks(keyed, [outcome], [F.col("_key"), F.col(id_col)], name="_rank")
     sizes = df.groupBy(outcome).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
     cut = F.floor(F.col("_n") * num / den)
-    return (ranked.join(sizes, outcome)
+    return (null_safe_join(ranked, sizes, [outcome])
             .withColumn("split", F.when(F.col("_rank") < cut, "train").otherwise("test"))
             .drop("_key", "_rank", "_n"))
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.scalars import local_if_small, pair_key, scalar_fields
+from cohortlens.functions.scalars import null_safe_join, pair_key, scalar_fields
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values
+from cohortlens.session import materialize
 
 
 def pearson_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -60,9 +61,10 @@ def chi_square(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFr
     cells = long.groupBy("variable", "level").agg(
         F.count(F.lit(1)).alias("row_n"),
         *[F.count(F.when(F.col(outcome) == k, 1)).alias(f"o{k}") for k in (0, 1)])
-    classes = long.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(F.when(F.col(outcome) == k, 1)).alias(f"c{k}") for k in (0, 1)])
+    # margins are sums of the cells: the input is read once
+    cells = materialize(cells, "cells")
+    classes = cells.groupBy("variable").agg(
+        F.sum("row_n").alias("n"), *[F.sum(f"o{k}").alias(f"c{k}") for k in (0, 1)])
     j = cells.join(classes, "variable")
     term = None
     for k in (0, 1):
@@ -78,7 +80,7 @@ def chi_square(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFr
         "variable", "chi_sq",
         ((F.col("n_levels") - 1) * (F.col("n_classes") - 1)).alias("dof"),
         F.col("n").alias("n"),
-        F.round(F.sqrt(F.col("chi_sq") / (F.col("n") * (k_min - 1))), 3).alias("cramers_v"))
+        F.round(F.sqrt(F.try_divide("chi_sq", F.col("n") * (k_min - 1))), 3).alias("cramers_v"))
 
 
 def chi_square_asymptotic(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFrame:
@@ -109,7 +111,9 @@ def mc_pvalue(df: DataFrame, cols: Sequence[str], outcome: str = "y", b: int = 2
     cells = long.groupBy("variable", "level").agg(
         *[F.count(F.when(F.col(outcome) == k, 1)).alias(f"o{k}") for k in (0, 1)])
     margins = cells.groupBy("variable").agg(
-        F.collect_list(F.array("o0", "o1")).alias("table"))  # one row per level: bounded by levels
+        # one row per level, in level order: the draws must not depend on arrival
+        F.transform(F.array_sort(F.collect_list(F.struct("level", F.array("o0", "o1").alias("o")))),
+                    lambda x: x["o"]).alias("table"))
     sims = margins.select("variable", "table",
                           F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("sim"))
     nparts = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -177,7 +181,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
     mm = scalar_fields(df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")))
     mn, mx = mm["mn"], mm["mx"]
     width = (mx - mn) / F.lit(float(bins))
-    idx = F.least(F.floor((x - mn) / width), F.lit(bins - 1)).cast("int")
+    # a constant column has width 0: all its rows are in the first bin
+    idx = F.when(x.isNotNull(), F.least(F.coalesce(F.floor(F.try_divide(x - mn, width)), F.lit(0)),
+                                        F.lit(bins - 1))).cast("int")
     keys = ["bin"] + ([by] if by else [])
     counts = df.select(idx.alias("bin"), *([F.col(by)] if by else [])) \
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +192,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: str | None = None) ->
         grid = classes.select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     else:
         grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    out = grid.join(counts, keys, "left").select(
+    out = null_safe_join(grid, counts, keys, "left").select(
         *keys, (mn + F.col("bin") * width).alias("bin_lo"),
         (mn + (F.col("bin") + 1) * width).alias("bin_hi"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -198,8 +204,12 @@ def scatter_bins(df: DataFrame, x: str, y: str, by: str, bins: int = 20) -> Data
     e = scalar_fields(df.agg(F.min(x).alias("xa"), F.max(x).alias("xb"), F.min(y).alias("ya"),
                              F.max(y).alias("yb")))
     xa, xb, ya, yb = e["xa"], e["xb"], e["ya"], e["yb"]
-    bx = F.least(F.floor((F.col(x) - xa) / ((xb - xa) / bins)), F.lit(bins - 1)).cast("int")
-    byy = F.least(F.floor((F.col(y) - ya) / ((yb - ya) / bins)), F.lit(bins - 1)).cast("int")
+
+    def at(c, lo, hi):
+        b = F.coalesce(F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / bins)), F.lit(0))
+        return F.when(F.col(c).isNotNull(), F.least(b, F.lit(bins - 1))).cast("int")
+
+    bx, byy = at(x, xa, xb), at(y, ya, yb)
     return df.groupBy(bx.alias("x_bin"), byy.alias("y_bin"), F.col(by)) \
         .agg(F.count(F.lit(1)).alias("n"))
 
@@ -217,13 +227,14 @@ def kde(df: DataFrame, value: str, group: str, grid_points: int = 64) -> DataFra
                                 - F.max(F.when(F.col("prob") == 0.25, F.col("quantile")))).alias("iqr"))
     st = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
                                F.min(value).alias("lo"), F.max(value).alias("hi"))
-    bw = local_if_small(st.join(iqr, group).withColumn(
-        "bw", F.lit(0.9) * F.least(F.col("sd"), F.col("iqr") / F.lit(1.34)) * F.pow(F.col("n"), F.lit(-0.2))))
+    bw = materialize(null_safe_join(st, iqr, [group]).withColumn(
+        "bw", F.lit(0.9) * F.least(F.col("sd"), F.col("iqr") / F.lit(1.34)) * F.pow(F.col("n"), F.lit(-0.2))), "bandwidth")
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))
-    j = df.select(group, F.col(value).cast("double").alias("_x")).join(bw, group)
+    j = null_safe_join(df.select(group, F.col(value).cast("double").alias("_x")), bw, [group])
     pts = j.select(group, "_x", "n", "bw", "lo", step.alias("step"),
                    F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("point"))
     g = F.col("lo") + F.col("point") * F.col("step")
-    z = (g - F.col("_x")) / F.col("bw")
-    dens = F.exp(F.lit(-0.5) * z * z) / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
+    # a constant group has bandwidth 0: its density is NULL
+    z = F.try_divide(g - F.col("_x"), F.col("bw"))
+    dens = F.try_divide(F.exp(F.lit(-0.5) * z * z), F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
     return pts.groupBy(group, "point").agg(F.first(g).alias("x"), F.sum(dens).alias("density"))

@@ -71,13 +71,14 @@ def materialize(df, name: str, key: list | None = None):
 
     Cuts lineage (a lost executor re-reads files instead of recomputing the
     plan) and lets iterative work such as tuning loops scan a small table.
-    With ``key`` the rows are hash-partitioned on it over the cluster's
-    default parallelism first, so every later scan of the table runs with
-    full parallelism whatever the layout of the inputs was.
+    With ``key`` the rows are hash-partitioned on it first, in partitions that
+    adaptive execution sizes by their bytes, whatever the layout of the inputs.
+    The written table has a known size, so joins with it broadcast it exactly
+    when it is below Spark's threshold, on one plan for all sizes.
     """
     import uuid
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if key:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, *key)
+        df = df.repartition(*key)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -16,14 +16,14 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import aggregates as A
 from cohortlens.operators import decisions as DS
 from cohortlens.operators import evaluate as EV
 from cohortlens.plans import order_rules as OR
-from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import ORDER_NUMERICS, POSITIVE_PRIORITY, line_summary, order_profile
 from cohortlens.sources.tables import read_table
 
@@ -76,15 +76,20 @@ def static_sides(spark: SparkSession, sf_dir: str):
     return st, med.join(bands, "r_name")
 
 
-def enrich(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders (batch or stream) -> profile columns via equi-joins to static tables."""
+def enrich(orders: DataFrame, spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Orders (batch or stream) -> profile columns via equi-joins to static tables.
+
+    Every order stays: one without a known customer, nation or region has NULLs
+    there and is rejected later.  ``lines``: the roll-up of the order lines, if
+    it was already made.
+    """
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    li = line_summary(spark, sf_dir)
-    j = (orders.join(c, orders.o_custkey == c.c_custkey)
-         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-         .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    li = lines if lines is not None else line_summary(spark, sf_dir)
+    j = (orders.join(c, orders.o_custkey == c.c_custkey, "left")
+         .join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+         .join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
          .join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
     return j.select(
         F.col("o_orderkey").alias("id"),
@@ -95,9 +100,17 @@ def enrich(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("returned_lines", F.lit(0)).alias("returned_lines"))
 
 
+def scorable() -> Column:
+    """Whether a profile has every input of the score."""
+    ok = F.lit(True)
+    for name in ["id", "o_totalprice", "c_acctbal", "c_mktsegment", "r_name", *ORDER_NUMERICS]:
+        ok = ok & F.col(name).isNotNull()
+    return ok
+
+
 def pipeline_for(df: DataFrame, st: dict, region_side: DataFrame) -> DataFrame:
     from cohortlens.plans.catalog import order_constraints
-    j = df.join(region_side, "r_name")
+    j = df.join(region_side, "r_name", "left")
     clamped = DS.clamp_cascade(j, order_constraints())
     return flatten(score_columns(clamped, st))
 
@@ -105,32 +118,45 @@ def pipeline_for(df: DataFrame, st: dict, region_side: DataFrame) -> DataFrame:
 def batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same transformation on the static orders table (for equality tests)."""
     st, side = static_sides(spark, sf_dir)
-    return pipeline_for(enrich(read_table(spark, sf_dir, "orders"), spark, sf_dir), st, side)
+    orders = read_table(spark, sf_dir, "orders")
+    return pipeline_for(enrich(orders, spark, sf_dir).where(scorable()), st, side)
 
 
 def stream_score(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
-                 source_glob: str | None = None) -> DataFrame:
-    """Run the stream to completion (availableNow) and return the scored rows."""
+                 source_glob: str | None = None, files_per_trigger: int = 64) -> DataFrame:
+    """Run the stream to completion (availableNow) and return the scored rows.
+
+    Static sides (order-line roll-up, statistics, medians and bands) are written
+    once, before the first batch.  One sink splits a batch into ``scored`` and
+    ``rejects`` under the batch's id and overwrites on replay, so a restarted
+    batch writes nothing twice.  With ``out_dir`` a restart resumes there.
+    """
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     st, side = static_sides(spark, sf_dir)
+    side = materialize(side, "region_side")
+    lines = materialize(line_summary(spark, sf_dir), "lines")
     schema = read_table(spark, sf_dir, "orders").schema
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(source_glob or os.path.join(sf_dir, "orders*.parquet")))
-    profiles = enrich(src, spark, sf_dir)
-    needed = ["id", "o_totalprice", "c_acctbal"] + list(ORDER_NUMERICS)
-    ok = F.lit(True)
-    for cname in needed:
-        ok = ok & F.col(cname).isNotNull()
-    good = pipeline_for(profiles.where(ok), st, side)
 
     def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("append").parquet(os.path.join(base, "scored"))
+        write_batch(batch, epoch, spark, sf_dir, base, st, side, lines)
 
-    q = (good.writeStream.foreachBatch(sink).trigger(availableNow=True)
+    q = (src.writeStream.foreachBatch(sink).trigger(availableNow=True)
          .option("checkpointLocation", os.path.join(base, "_checkpoint")).start())
-    rej = (profiles.where(~ok).writeStream.format("parquet").trigger(availableNow=True)
-           .option("path", os.path.join(base, "rejects"))
-           .option("checkpointLocation", os.path.join(base, "_checkpoint_rejects")).start())
     q.awaitTermination()
-    rej.awaitTermination()
-    return spark.read.schema(good.schema).parquet(os.path.join(base, "scored"))
+    return scored_rows(spark, base, pipeline_for(enrich(read_table(spark, sf_dir, "orders"), spark, sf_dir, lines),
+                                                 st, side).schema)
+
+
+def write_batch(batch: DataFrame, epoch: int, spark: SparkSession, sf_dir: str, base: str, st: dict,
+                side: DataFrame, lines: DataFrame) -> None:
+    """Scored and rejected rows of one batch of orders, each under its batch id."""
+    profiles = materialize(enrich(batch, spark, sf_dir, lines), "batch")
+    for name, rows in (("scored", pipeline_for(profiles.where(scorable()), st, side)),
+                       ("rejects", profiles.where(~scorable()))):
+        rows.write.mode("overwrite").parquet(os.path.join(base, name, f"batch={epoch}"))
+
+
+def scored_rows(spark: SparkSession, base: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(os.path.join(base, "scored", "batch=*"))

@@ -22,21 +22,16 @@ def test_quantiles_large_group_uses_bracket(spark):
     assert np.allclose([q[0.1], q[0.5], q[0.9]], exp)
 
 
-def test_exact_ranks_within_groups(spark, monkeypatch):
-    import cohortlens.operators.ordering as O
+def test_exact_ranks_within_groups(spark):
     df = spark.range(0, 300).select("id", (F.col("id") % 3).alias("g"), ((F.col("id") * 37) % 101).alias("k"))
-    for bound in (O.WINDOW_ROWS, 0):  # window path, then the range-partitioned path
-        monkeypatch.setattr(O, "WINDOW_ROWS", bound)
-        r = exact_ranks(df, ["g"], [F.col("k"), F.col("id")], n_ranges=5).toPandas()
-        for _, sub in r.groupby("g"):
-            s = sub.sort_values(["k", "id"])
-            assert list(s.rank0) == list(range(len(s)))
+    r = exact_ranks(df, ["g"], [F.col("k"), F.col("id")], n_ranges=5).toPandas()
+    for _, sub in r.groupby("g"):
+        s = sub.sort_values(["k", "id"])
+        assert list(s.rank0) == list(range(len(s)))
 
 
-def test_hot_group_is_spread_over_ranges(spark, monkeypatch):
+def test_hot_group_is_spread_over_ranges(spark):
     """A group with 90% of the rows still ends up in many range partitions."""
-    import cohortlens.operators.ordering as O
-    monkeypatch.setattr(O, "WINDOW_ROWS", 0)
     df = spark.range(0, 4000).select("id", F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"))
     r = exact_ranks(df, ["g"], [F.col("id")], n_ranges=8)
     hot = r.where("g = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
@@ -47,32 +42,26 @@ def test_hot_group_is_spread_over_ranges(spark, monkeypatch):
 
 def test_running_sums_desc(spark):
     df = spark.createDataFrame([("m", float(i), 1.0) for i in range(10)], "m string, s double, w double")
-    for adaptive in (True, False):
-        r = running_sums(df, ["m"], [F.col("s").desc()], ["w"], n_ranges=3, adaptive=adaptive) \
-            .toPandas().sort_values("s")
-        assert list(r.w_cum) == [10.0 - i for i in range(10)]
+    r = running_sums(df, ["m"], [F.col("s").desc()], ["w"], n_ranges=3).toPandas().sort_values("s")
+    assert list(r.w_cum) == [10.0 - i for i in range(10)]
 
 
-def test_quantiles_range_path(spark, monkeypatch):
-    import cohortlens.operators.ordering as O
-    monkeypatch.setattr(O, "WINDOW_ROWS", 0)  # force the range-partitioned ranking
+def test_quantiles_of_two_groups(spark):
     df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 31) % 997).cast("double").alias("v"))
-    got = {(r["g"], r["prob"]): r["quantile"] for r in O.exact_quantiles(df, ["g"], "v", [0.3, 0.5]).collect()}
+    got = {(r["g"], r["prob"]): r["quantile"] for r in exact_quantiles(df, ["g"], "v", [0.3, 0.5]).collect()}
     pdf = df.toPandas()
     for g, sub in pdf.groupby("g"):
         exp = np.quantile(sub.v.values, [0.3, 0.5])
         assert np.allclose([got[(g, 0.3)], got[(g, 0.5)]], exp)
 
 
-def test_range_path_carries_across_arrow_batches(spark, monkeypatch):
+def test_range_path_carries_across_arrow_batches(spark):
     """Groups that span several Arrow batches inside one range keep exact sums."""
-    import cohortlens.operators.ordering as O
-    monkeypatch.setattr(O, "WINDOW_ROWS", 0)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.range(0, 500).select("id", (F.col("id") % 3).alias("g"), F.lit(2.0).alias("w"))
-        r = O.running_sums(df, ["g"], [F.col("id")], ["w"], n_ranges=3).toPandas()
+        r = running_sums(df, ["g"], [F.col("id")], ["w"], n_ranges=3).toPandas()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     for _, sub in r.groupby("g"):
