@@ -259,8 +259,8 @@ def roc_with_marker(pred: DataFrame, groups: Sequence[str] = ("model",)) -> Data
     operating point marked by threshold value (not by position)."""
     groups = list(groups)
     tc = threshold_counts(pred, groups)
-    pts = tc.select(*groups, "threshold", (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("tpr"),
-                    (F.col("fp") / (F.col("fp") + F.col("tn"))).alias("fpr"))
+    pts = tc.select(*groups, "threshold", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
+                    F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
     models = pred.select(*groups).distinct()
     ends = models.select(*groups, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"),
                          F.lit(0.0).alias("fpr")).unionByName(
