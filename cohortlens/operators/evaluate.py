@@ -64,6 +64,11 @@ def pr_curve(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     return pts.unionByName(start)
 
 
+def pr_baseline(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
+    """The prevalence line of the PR plot, the precision of a random ranking."""
+    return pred.groupBy(*groups).agg(F.avg(F.col("y").cast("double")).alias("prevalence"))
+
+
 def roc_auc(pred: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
     """Rank-sum (Mann-Whitney) AUC with tie-averaged ranks.
 

@@ -255,7 +255,12 @@ def q_mc_pvalue(spark, sf):
 
 
 def q_chi_square_asymptotic(spark, sf):
-    return S.chi_square_asymptotic(_profile(spark, sf), ORDER_CATEGORICALS)
+    return finalize(S.chi_square_asymptotic(_profile(spark, sf), ORDER_CATEGORICALS))
+
+
+def q_mc_statistic(spark, sf):
+    """The observed statistic that the Monte-Carlo test compares its draws with."""
+    return finalize(S.mc_pvalue(_profile(spark, sf), ORDER_CATEGORICALS, b=200).select("variable", "chi_sq"), 4)
 
 
 def q_histogram(spark, sf):
@@ -310,6 +315,10 @@ def q_pr_curve(spark, sf):
     return finalize(EV.pr_curve(_scores(spark, sf)))
 
 
+def q_pr_baseline(spark, sf):
+    return finalize(EV.pr_baseline(_scores(spark, sf)))
+
+
 def q_auc(spark, sf):
     return finalize(EV.roc_auc(_scores(spark, sf)))
 
@@ -394,6 +403,10 @@ def q_normalize(spark, sf):
     return finalize(FE.standardize(df.select("id", *ORDER_NUMERICS), ORDER_NUMERICS))
 
 
+#: Components of an embedding in the test table.
+EMBEDDING_DIM = 64
+
+
 def _embeddings_binary(spark, sf):
     e = read_table(spark, sf, "embeddings")
     return e.select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
@@ -406,8 +419,11 @@ def q_smote_neighbours(spark, sf):
 
 
 def q_smote_rows(spark, sf):
-    return SM.smote(_embeddings_binary(spark, sf), "vec_id", "embedding", "y", minority=1,
-                    over_ratio=0.8, k=5, seed=42)
+    """The synthetic rows as a wide training frame, one column per component."""
+    new = SM.smote(_embeddings_binary(spark, sf), "vec_id", "embedding", "y", minority=1,
+                   over_ratio=0.8, k=5, seed=42)
+    return finalize(new.select("synthetic_id", "parent_id", "nn_id", "gap", "y",
+                               *[F.get("embedding", F.lit(i)).alias(f"x{i + 1}") for i in range(EMBEDDING_DIM)]))
 
 
 # ------------------------------------------------------ models and tuning
@@ -430,7 +446,8 @@ def ml_run(spark, sf):
     test = both.where("split = 'test'").drop("split")
     folds = materialize(SP.repeated_folds(train.select("id", "y"), v=5, repeats=3, seed=42), "folds")
     specs = MD.query_specs()
-    rc = TU.Recipe(ORDER_NUMERICS, ORDER_CATEGORICALS, FE.ORDER_FEATURES)
+    rc = TU.Recipe(ORDER_NUMERICS, ORDER_CATEGORICALS, FE.ORDER_FEATURES,
+                   levels=FE.categorical_levels(both, ORDER_CATEGORICALS))
     path = TU.tune(spark, specs, train, folds, rc, parallelism=8)
     pred = TU.read_predictions(spark, path)
     cv = TU.cv_metrics(pred)

@@ -248,6 +248,8 @@ def oracle_catalog() -> dict[str, str]:
         [f"SELECT '{c}' AS variable, {r(f'corr({c}, y)')} AS r_pb, {r(f'abs(corr({c}, y))')} AS abs_r FROM order_profile"
          for c in NUMS]))
     o["chi_square"] = _chi_square_sql(cat_long_y)
+    o["chi_square_asymptotic"] = _chi_square_tail_sql(cat_long_y)
+    o["mc_statistic"] = f"SELECT variable, chi_sq FROM ({_chi_square_sql(cat_long_y)})"
     ctes, body = _histogram_sql("lineitem", "l_extendedprice", None)
     o["histogram"] = f"WITH {ctes}\n{body}"
     ctes, body = _histogram_sql("order_profile", "o_totalprice", "y")
@@ -276,8 +278,8 @@ def oracle_catalog() -> dict[str, str]:
     return o
 
 
-def _chi_square_sql(cat_long_y: str) -> str:
-    extra = f"""lv AS ({cat_long_y}),
+def _chi_square_cte(cat_long_y: str) -> str:
+    return f"""lv AS ({cat_long_y}),
         cells AS (SELECT variable, level, count(*) AS row_n,
                          count(CASE WHEN y = 0 THEN 1 END) AS o0, count(CASE WHEN y = 1 THEN 1 END) AS o1
                   FROM lv GROUP BY variable, level),
@@ -290,6 +292,22 @@ def _chi_square_sql(cat_long_y: str) -> str:
         a AS (SELECT variable, n, sum(term) AS chi_sq, count(*) AS n_levels,
                      max(CASE WHEN c0 > 0 THEN 1 ELSE 0 END + CASE WHEN c1 > 0 THEN 1 ELSE 0 END) AS n_classes
               FROM t GROUP BY variable, n)"""
+
+
+def _chi_square_tail_sql(cat_long_y: str) -> str:
+    """Statistic, dof and upper tail 1 - P(dof / 2, chi_sq / 2), P by its power series."""
+    extra = _chi_square_cte(cat_long_y) + """,
+        h AS (SELECT variable, chi_sq, (n_levels - 1) * (n_classes - 1) AS dof, chi_sq / 2 AS x,
+                     (n_levels - 1) * (n_classes - 1) / 2.0 AS a FROM a),
+        p AS (SELECT variable, sum(CASE WHEN x > 0 THEN exp((a + k) * ln(x) - x - lgamma(a + k + 1)) ELSE 0 END) AS lower
+              FROM h, range(0, 400) AS g(k) GROUP BY variable)"""
+    return with_profile(f"""
+      SELECT variable, {r('chi_sq')} AS chi_sq, CAST(dof AS INTEGER) AS dof, {r('1 - lower')} AS p_value
+      FROM h JOIN p USING (variable)""", extra)
+
+
+def _chi_square_sql(cat_long_y: str) -> str:
+    extra = _chi_square_cte(cat_long_y)
     return with_profile(f"""
       SELECT variable, {r('chi_sq', 4)} AS chi_sq, CAST((n_levels - 1) * (n_classes - 1) AS BIGINT) AS dof,
              CAST(n AS BIGINT) AS n,
@@ -415,6 +433,8 @@ def ml_oracles() -> dict[str, str]:
     o["pr_curve"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}
       SELECT model, {r('score')} AS threshold, {r('cum1 / P')} AS recall, {r('cum1 / (cum1 + cum0)')} AS precision FROM cc
       UNION ALL SELECT DISTINCT model, NULL, 0.0, 1.0 FROM ds"""
+    o["pr_baseline"] = f"""WITH {DOC_SCORES}
+      SELECT model, {r('avg(y)')} AS prevalence FROM ds GROUP BY model"""
     o["auc"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}, {_auc_cte('model')}
       SELECT model, {r('roc_auc')} AS roc_auc FROM auc"""
     o["threshold_sweep"] = f"""WITH {DOC_SCORES}, {SWEEP}
@@ -519,14 +539,31 @@ def feature_oracles() -> dict[str, str]:
     o["normalize"] = with_profile("SELECT id, " + ", ".join(
         f"{r(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()')} AS {c}" for c in NUMS)
         + " FROM order_profile")
-    o["smote_neighbours"] = f"""
-      WITH m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0),
+    neighbours = """m AS (SELECT vec_id, embedding FROM embeddings WHERE label = 0),
         d AS (SELECT a.vec_id, b.vec_id AS nn_id,
                      sqrt(list_sum(list_transform(range(1, 65),
                           lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ^ 2))) AS distance
               FROM m a JOIN m b ON a.vec_id <> b.vec_id),
-        rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nn_id) AS nn_rank FROM d)
+        rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nn_id) AS nn_rank FROM d)"""
+    o["smote_neighbours"] = f"""WITH {neighbours}
       SELECT vec_id, CAST(nn_rank AS INTEGER) AS nn_rank, nn_id, {r('distance')} AS distance FROM rk WHERE nn_rank <= 5"""
+
+    def uniform(tag: str) -> str:
+        return f"CAST(('0x' || substr(md5('42:' || vec_id || ':' || copy || ':{tag}'), 1, 8)) AS BIGINT) / 4294967296.0"
+    components = ", ".join(r(f"CAST(a.embedding[{i}] AS DOUBLE) + gap * (CAST(b.embedding[{i}] AS DOUBLE) "
+                             f"- CAST(a.embedding[{i}] AS DOUBLE))") + f" AS x{i}" for i in range(1, 65))
+    o["smote_rows"] = f"""WITH {neighbours},
+        c AS (SELECT count(CASE WHEN label = 0 THEN 1 END) AS n_min, count(CASE WHEN label <> 0 THEN 1 END) AS n_maj
+              FROM embeddings),
+        w AS (SELECT n_min, greatest(CAST(floor(n_maj * 0.8) AS BIGINT) - n_min, 0) AS need FROM c),
+        p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rho FROM m),
+        y AS (SELECT vec_id, n_min, unnest(range(1, need // n_min + CASE WHEN rho < need % n_min THEN 1 ELSE 0 END + 1)) AS copy
+              FROM p, w),
+        z AS (SELECT vec_id, copy, {uniform('gap')} AS gap,
+                     CAST(floor({uniform('nn')} * least(5, n_min - 1)) AS BIGINT) + 1 AS nn_rank FROM y)
+      SELECT 'syn-' || z.vec_id || '-' || copy AS synthetic_id, z.vec_id AS parent_id, nn_id, {r('gap')} AS gap,
+             CAST(1 AS INTEGER) AS y, {components}
+      FROM z JOIN rk USING (vec_id, nn_rank) JOIN m a USING (vec_id) JOIN m b ON nn_id = b.vec_id"""
     return o
 
 
@@ -590,13 +627,35 @@ _ACTIONS_SQL = [(["OpenStatus"], "clock"), (["FewLines", "LowDiscount"], "tag"),
                 (["LowPrice"], "dollar-sign"), (["ManyReturns"], "undo"), (["SmallAccount"], "user"),
                 (["NoReturns"], "check"), (["Asia"], "ship"), (["LowQuantity"], "boxes")]
 
-EXPLAINED = ("st AS (SELECT " + ", ".join(f"avg(CASE WHEN {c} THEN CAST(y AS DOUBLE) END) AS {n}" for n, c in _RATES.items())
-             + " FROM order_profile),\n      md AS (SELECT r_name, quantile_cont(o_totalprice, 0.5) AS med FROM order_profile GROUP BY r_name),\n"
-             + "      hits AS (SELECT p.id, " + ", ".join(
+STATS = ("st AS (SELECT " + ", ".join(f"avg(CASE WHEN {c} THEN CAST(y AS DOUBLE) END) AS {n}" for n, c in _RATES.items())
+             + " FROM order_profile),\n      md AS (SELECT r_name, quantile_cont(o_totalprice, 0.5) AS med FROM order_profile GROUP BY r_name)")
+
+
+def _hits(profiles: str) -> str:
+    return ("hits AS (SELECT p.*, " + ", ".join(
                  f"CASE WHEN {pred} THEN '{k}' END AS h{i}, CASE WHEN {pred} THEN '{sev}' END AS s{i}, "
                  f"CASE WHEN {pred} THEN {lab} || ': ' || {det} END AS d{i}"
                  for i, (k, sev, pred, lab, det) in enumerate(_RULES_SQL))
-             + " FROM order_profile p JOIN md ON p.r_name = md.r_name CROSS JOIN st)")
+            + f" FROM {profiles} p JOIN md ON p.r_name = md.r_name CROSS JOIN st)")
+
+
+EXPLAINED = STATS + ",\n" + _hits("order_profile")
+
+# D6 on the order profile: every limit reads the inputs already clamped before it.
+BANDS = ("bands AS (SELECT r_name, CAST(floor(min(o_totalprice) * 0.8) AS BIGINT) AS band_lo, "
+         "CAST(ceil(max(o_totalprice) * 1.2) AS BIGINT) AS band_hi FROM order_profile GROUP BY r_name)")
+CLAMPED = BANDS + """,
+      limits AS (
+        SELECT *, greatest(least(qty_sum, n2 * 50.0), 0.0) AS q2,
+               greatest(least(o_totalprice, CAST(band_hi AS DOUBLE)), CAST(band_lo AS DOUBLE)) AS p2
+        FROM (SELECT *, CAST(greatest(least(returned_lines, n2), 0) AS BIGINT) AS r2
+              FROM (SELECT p.*, b.band_lo, b.band_hi, CAST(greatest(least(n_lines, 7), 0) AS BIGINT) AS n2
+                    FROM order_profile p JOIN bands b USING (r_name)))),
+      clamped AS (
+        SELECT * REPLACE (n2 AS n_lines, r2 AS returned_lines, q2 AS qty_sum, p2 AS o_totalprice),
+               CAST((n2 <> n_lines)::INTEGER + (r2 <> returned_lines)::INTEGER + (q2 <> qty_sum)::INTEGER
+                    + (p2 <> o_totalprice)::INTEGER AS INTEGER) AS n_changed
+        FROM limits)"""
 
 
 def decision_oracles() -> dict[str, str]:
@@ -625,17 +684,24 @@ def decision_oracles() -> dict[str, str]:
         f"""SELECT id, CAST(CASE WHEN {cnt} = 0 THEN 1 ELSE {cnt} END AS INTEGER) AS n_actions,
                    CASE WHEN {cnt} = 0 THEN 'check-circle' ELSE {icons} END AS action_icons
             FROM hits""", EXPLAINED)
-    o["clamp_profile"] = with_profile("""
-      SELECT id, n2 AS n_lines, r2 AS returned_lines, {q} AS qty_sum, {p} AS o_totalprice,
-             CAST((n2 <> n_lines)::INTEGER + (r2 <> returned_lines)::INTEGER + (q2 <> qty_sum)::INTEGER
-                  + (p2 <> o_totalprice)::INTEGER AS INTEGER) AS n_changed
-      FROM (SELECT *, greatest(least(qty_sum, n2 * 50.0), 0.0) AS q2,
-                   greatest(least(o_totalprice, CAST(band_hi AS DOUBLE)), CAST(band_lo AS DOUBLE)) AS p2
-            FROM (SELECT *, CAST(greatest(least(returned_lines, n2), 0) AS BIGINT) AS r2
-                  FROM (SELECT p.*, b.band_lo, b.band_hi, CAST(greatest(least(n_lines, 7), 0) AS BIGINT) AS n2
-                        FROM order_profile p JOIN bands b USING (r_name))))""".format(q=r("q2"), p=r("p2")),
-        "bands AS (SELECT r_name, CAST(floor(min(o_totalprice) * 0.8) AS BIGINT) AS band_lo, "
-        "CAST(ceil(max(o_totalprice) * 1.2) AS BIGINT) AS band_hi FROM order_profile GROUP BY r_name)")
+    o["clamp_profile"] = with_profile(
+        f"SELECT id, n_lines, returned_lines, {r('qty_sum')} AS qty_sum, {r('o_totalprice')} AS o_totalprice, n_changed "
+        "FROM clamped", CLAMPED)
+    # the stream scores clamped inputs with the statistics and the cut-off of the profile as it is
+    eta = "-1.4"
+    for c, w in _COEF:
+        eta = f"({eta} + {w} * ((h.{c} - m.m_{c}) / m.s_{c}))"
+    eta = f"({eta} + CASE WHEN h.o_orderstatus = 'O' THEN 0.3 ELSE 0.0 END)"
+    moments = ("moments AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c, _ in _COEF)
+               + " FROM order_profile)")
+    o["stream_score"] = with_profile(
+        f"""SELECT id, y, {r('score')} AS score,
+                   CASE WHEN score >= 0.6 THEN 'High' WHEN score >= threshold THEN 'Medium' ELSE 'Low' END AS tier,
+                   {keys} AS factor_keys, CASE WHEN {cnt} = 0 THEN 'check-circle' ELSE {icons} END AS action_icons,
+                   n_changed
+            FROM (SELECT h.*, bt.threshold, 1.0 / (1.0 + exp(-{eta})) AS score
+                  FROM hits h CROSS JOIN moments m CROSS JOIN bt)""",
+        ",\n".join([SCORED, SCORE_SWEEP, STATS, CLAMPED, _hits("clamped"), moments]))
     o["valid_pairs"] = """
       WITH lines AS (
         SELECT cr.r_name, sn.n_name AS supplier_nation, CAST(count(*) AS BIGINT) AS n_lines

@@ -95,6 +95,18 @@ def test_nominal_with_near_zero_variance_is_dropped_from_the_recipe(spark):
     assert len(model.transform(df).first()["features"]) == 2
 
 
+def test_level_only_in_held_out_rows_fits_when_declared(spark):
+    from cohortlens.operators.features import categorical_levels
+    from cohortlens.operators.tuning import Recipe, fit_recipe
+    df = spark.createDataFrame([(i, float(i), "abc"[i % 3] if i < 30 else "d", i % 2) for i in range(31)], "id long, x double, c string, y int")
+    train, held = df.where("id < 30"), df.where("id = 30")
+    rc = Recipe(numeric=["x"], categorical=["c"], use_nzv=False, levels=categorical_levels(df, ["c"]))
+    model = fit_recipe(train, rc)
+    assert rc.levels == {"c": ["a", "b", "c", "d"]}
+    assert len(model.transform(train).first()["features"]) == 1 + 3
+    assert len(model.transform(held).first()["features"]) == 1 + 3
+
+
 def test_repair_of_employee_inputs(spark):
     cols = "Department string, JobRole string, JobLevel int, MonthlyIncome int, Age int, TotalWorkingYears int, " \
            "YearsAtCompany int, YearsInCurrentRole int, YearsWithCurrManager int, YearsSinceLastPromotion int, NumCompaniesWorked int"
