@@ -11,8 +11,9 @@ do.  All vectors under the final prefix are scored exactly on the original
 vectors, and the best k over all trees remain.
 
 Equal vectors collapse to one entry that lists its k + 1 smallest ids, which is
-all a result can need; so a vector of a third of all rows is one entry.  Every
-vector is indexed.  Range partitions hold about ``rows_per_partition`` entries.
+all a result can need, and queries of one vector ask once, for k + 1 ids, before
+each drops its own; so a vector of a third of all rows is one entry and one
+question.  Every vector is indexed.  Range partitions hold about ``rows_per_partition`` entries.
 
 Edge cases: see :func:`cohortlens.llm.vectors.valid_vectors` (zero vectors take no
 part); a query never finds its own id; ids repeated with one vector count once;
@@ -68,7 +69,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 32, quo
     listed = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).groupBy("v").agg(
         F.array_sort(F.collect_list("vec_id")).alias("ids"))
     listed = listed.select("v", "ids", F.lit(False).alias("asks"))
-    asking = rows.where(is_query).select("v", F.array("vec_id").alias("ids"), F.lit(True).alias("asks"))
+    queries = rows.where(is_query).select("v", F.col("vec_id").alias("query_id"))
+    asked = queries.groupBy("v").agg(F.min("query_id").alias("q"))
+    asking = asked.select("v", F.array("q").alias("ids"), F.lit(True).alias("asks"))
     both = common.materialize(listed.unionByName(asking), "vectors")
     stats = both.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"),
                      F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
@@ -138,16 +141,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 32, quo
                 e_ = near + a + s
                 who = flat[common.ragged(begin[e_], per[e_])]
                 val = np.repeat(row[near], per[e_])
-                ok = who != own[g + i]
-                who, val = who[ok], val[ok]
-                best = np.lexsort((who, -val))[:k]
+                best = np.lexsort((who, -val))[:k + 1]
                 out.append((np.full(len(best), own[g + i]), who[best], val[best]))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
                 for i, kind in enumerate((np.int64, np.int64, np.float64))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = forest.mapInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "vec_id", "score"])
+
+    found = forest.mapInArrow(search, "q long, vec_id long, score double")
+    found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).drop("_r")
+    found = (queries.join(asked, "v").select("query_id", "q").join(found, "q").where("vec_id <> query_id")
+             .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -71,6 +71,17 @@ def test_forest_ties_and_one_hot_vector(spark):
     assert all(len(r) == 20 and q not in {i for i, _ in r} for q, r in got.items())
 
 
+def test_forest_asks_once_for_equal_query_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(120, 6)).astype(np.float32)
+    v[20:60] = v[20]
+    v[100] = v[40]
+    t = valid_vectors(table(spark, [(i, v[i].tolist()) for i in range(120)]))
+    got = found(prefix_forest.nearest(t, F.col("vec_id") % 20 == 0, 5, quota=120))
+    want = brute(np.arange(120), v.astype(float), range(0, 120, 20), 5)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 def test_descend_stops_at_the_longest_sufficient_prefix():
     keys = np.sort(np.array([0b0001, 0b0010, 0b0011, 0b1000], np.uint64) << np.uint64(60))
     lo, hi = prefix_forest.descend(keys, np.array([0b0011], np.uint64) << np.uint64(60), 2)
