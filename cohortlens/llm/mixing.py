@@ -5,7 +5,8 @@ weights scaled to one; without given weights they are proportional to
 ``rows ** alpha`` (temperature).  Each document draws its count by inverting the
 Poisson distribution of its source's rate at a uniform seeded by a hash of
 (seed, doc_id), is exploded by that count, and the copies are sorted globally by
-a hash of (seed, doc_id, copy).  Counts per source are combined map-side; the
+a hash of (seed, doc_id, copy), ties by a hash of the text, so that rows without
+an id, which share their hash, still spread over the ranges.  Counts per source are combined map-side; the
 small table of distribution functions joins on the source; it is broadcast when
 it counts at most BROADCAST_SOURCES rows, otherwise a split equi-join moves the
 documents to it.
@@ -68,7 +69,8 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed:
         r.alias("r"), F.col("__row.source").eqNullSafe(F.col("r.source")))
     drawn = drawn.select("__row", F.size(F.filter(F.col("r.cdf"), lambda x: x <= F.col("__u"))).alias("__n"))
     drawn = drawn.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    drawn = drawn.withColumn("__key", _uniform(seed + 1, F.col("__row.doc_id"), F.col("__copy"))).orderBy("__key")
+    drawn = drawn.withColumn("__key", _uniform(seed + 1, F.col("__row.doc_id"), F.col("__copy")))
+    drawn = drawn.orderBy("__key", *([F.xxhash64(F.col("__row.text"))] if "text" in docs.columns else []))
     same = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
     return drawn.select(*[F.col("__row").getField(c).alias(c) for c in same], F.col("__n").alias("copies"),
                         F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key"))
