@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,10 +155,12 @@ def fit(train: DataFrame, dims: int = 4096, clusters: int = 4, per_lang: int = 8
     h = F.xxhash64("text")
     short = t.where(F.length("text") <= max_chars)
     keys = short.select("lang", h.alias("h")).distinct()
-    first = None
-    for lang in langs:  # a bounded top-k per language, so no language is ranked in one task
-        k = keys.where(F.col("lang") == lang).orderBy("h").limit(per_lang)
-        first = k if first is None else first.unionByName(k)
+    # two ranks, each pruned in every partition before its shuffle: the first splits a language in 64
+    # parts, so the second reads at most 64 * per_lang rows of it, however many partitions there are
+    for part in (F.pmod("h", F.lit(64)), F.lit(0)):
+        rank = F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))
+        keys = keys.withColumn("r", rank).where(F.col("r") <= per_lang).select("lang", "h")
+    first = keys
     sample = (short.withColumn("h", h).join(F.broadcast(first), ["lang", "h"], "left_semi")
               .groupBy("lang", "h").agg(F.min("text").alias("text")))
 
