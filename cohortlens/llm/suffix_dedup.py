@@ -23,8 +23,15 @@ nothing is lost by sorting only the anchors' suffixes.
    entry holds the same bytes at the same distance (compared exactly).
 5. Repeated strings become intervals of their document, which are merged and cut.
 
-A passage of thousands of documents is one entry per run, however hot; texts are
-only moved by their own row key, intermediate tables go to the shared folder.
+A hash of more than ``hot`` anchors (a passage of very many documents, a periodic
+text) would put all of its contexts, which differ around the passage, into one
+bucket.  Its anchors are split by the single strings they decide on: a task finds
+those repeated among its own documents, cuts them there and sends one row without
+a place for each; the other strings go, as two 64-bit hashes and their place, to
+the bucket of their own hash, where the counts of all tasks meet.  So a bucket
+holds at most ``hot`` contexts of one hash, and of one string one row a task.
+Either way finds the same strings; texts are only moved by their own row key,
+intermediate tables go to the shared folder.
 
 Edge cases: null texts count as empty, texts shorter than ``length`` are kept
 whole; a row repeated in the table is another place; null doc_ids are allowed;
@@ -46,6 +53,8 @@ U = np.uint64
 GRAM = 16
 GROUP_BYTES = 2_000_000
 RUN_BYTES = 48_000_000
+HOT = 8192
+STRINGS_PER_BUCKET = 500_000
 _TABLE = common.mix64(np.arange(256, dtype=np.uint64) + U(77))
 _BASE = U(0x9E3779B97F4A7C15)
 NULL_ID = -(1 << 63)
@@ -83,20 +92,108 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, window: int):
     return doc[first], at[first], at[first] - starts[last], at[first] - starts[first]
 
 
-def shared_hash(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def shared_hash(data: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hash of the n bytes (a multiple of 8) from each position."""
     if not len(at):
         return np.zeros(0, np.int64)
     out = []
     for a in range(0, len(at), 100_000):
         words = np.lib.stride_tricks.sliding_window_view(data, n)[at[a:a + 100_000]].view(np.uint64)
-        h = np.full(len(words), U(n), dtype=np.uint64)
+        h = np.full(len(words), U(n + (seed << 32)), dtype=np.uint64)
         for j in range(words.shape[1]):
             h = common.mix64(h ^ words[:, j]) + _BASE
         out.append(h)
     return np.concatenate(out).view(np.int64)
 
 
+def string_hash(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from each position."""
+    n = length // 8 * 8
+    h = shared_hash(data, at, n, seed)
+    if n == length:
+        return h
+    tail = shared_hash(data, at + (length - n), n, seed + 1)
+    return common.mix64(h.view(np.uint64) * _BASE ^ tail.view(np.uint64)).view(np.int64)
+
+
+class Strings:
+    """Single strings of hot anchors: hashes, place (rid, h, start; start -1: no place) and count."""
+
+    def __init__(self):
+        self.rows: list = []
+        self.count = 0
+
+    def add(self, raw: bytes, rid: int, h: int, at: np.ndarray, near: np.ndarray, far: np.ndarray, length: int) -> None:
+        starts = common.ragged(at - far, far - near + 1)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        n = len(starts)
+        self.rows.append(np.column_stack([
+            string_hash(data, starts, length, 1), string_hash(data, starts, length, 3),
+            np.full(n, rid), np.full(n, h), starts, np.ones(n, dtype=np.int64)]))
+        self.count += n
+
+
+def by_string(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by string, first row of each string, count of each string."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    first = np.flatnonzero(new)
+    return rows, first, np.add.reduceat(rows[:, 5], first)
+
+
+def covered(places: np.ndarray, length: int) -> np.ndarray:
+    """(rid, h, s, e) intervals of the strings at places (rid, h, start), merged within a document."""
+    if not len(places):
+        return np.zeros((0, 4), dtype=np.int64)
+    p = places[np.lexsort((places[:, 2], places[:, 1], places[:, 0]))]
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (p[1:, :2] != p[:-1, :2]).any(axis=1) | (p[1:, 2] > p[:-1, 2] + length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(p)) - 1
+    return np.column_stack([p[first], p[last, 2] + length])
+
+
+def split_strings(strings: Strings, buckets: int, length: int) -> list:
+    """(negative bucket, packed rows) of a task's strings.
+
+    What repeats within the task is cut here and sent once without a place.
+    """
+    if not strings.count:
+        return []
+    rows, first, n = by_string(np.concatenate(strings.rows))
+    twice = np.repeat(n > 1, np.diff(np.append(first, len(rows))))
+    cut = covered(rows[twice, 2:5], length)
+    seen = rows[first[n > 1]]
+    seen[:, 2:5], seen[:, 5] = (0, 0, -1), 2
+    rest = np.concatenate([rows[~twice], seen])
+    parts: dict = {}
+    for kind, table, by in ((0, cut, 1), (1, rest, 0)):
+        deal = (np.ascontiguousarray(table[:, by]).view(np.uint64) % U(buckets)).astype(np.int64) if len(table) else np.zeros(0, np.int64)
+        order = np.argsort(deal, kind="stable")
+        found, begin = np.unique(deal[order], return_index=True)
+        for b, own in zip(found.tolist(), np.split(table[order], begin[1:])):
+            parts.setdefault(b, [cut[:0], rest[:0]])[kind] = own
+    return [(-1 - b, zstandard.ZstdCompressor(level=1).compress(
+        len(c).to_bytes(8, "little") + c.tobytes() + r.tobytes())) for b, (c, r) in parts.items()]
+
+
+def merge_strings(blobs: list, length: int) -> np.ndarray:
+    """(rid, h, s, e) intervals of strings counted more than once over all tasks, and of those cut there."""
+    cuts, rows = [], []
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int.from_bytes(raw[:8], "little")
+        cuts.append(np.frombuffer(raw, "<i8", n * 4, 8).reshape(n, 4))
+        rows.append(np.frombuffer(raw, "<i8", -1, 8 + n * 32).reshape(-1, 6))
+    rows = np.concatenate(rows)
+    if len(rows):
+        rows, first, n = by_string(rows)
+        again = np.repeat(n > 1, np.diff(np.append(first, len(rows)))) & (rows[:, 4] >= 0)
+        cuts.append(covered(rows[again, 2:5], length))
+    return np.concatenate(cuts)
+
+
 def _groups(off: np.ndarray) -> list:
     out, start = [], 0
     while start < len(off) - 1:
@@ -257,7 +354,7 @@ def repeated_starts(group: list, length: int):
                 start = None
 
 
-def removable(docs: DataFrame, length: int = 400) -> DataFrame:
+def removable(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """Rows (rid, h, text, marks): text as given (null: empty), marks array<struct<s,e>> of bytes to cut."""
     window = min(length - GRAM, max(1, length // 2 - 8))
     need = (length - window + 1) // 8 * 8  # bytes that suffixes of equal strings share at least
@@ -280,23 +377,33 @@ def removable(docs: DataFrame, length: int = 400) -> DataFrame:
 
     found = common.materialize(base.mapInArrow(
         find, "rid long, h long, key long, at int, near short, far short"), "anchors")
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = found.join(twice, "key", "left_semi").groupBy("rid", "h").agg(
-        F.collect_set(F.struct("key", "at", "near", "far")).alias("anchors"))
+    twice = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+             .select("key", (F.col("n") > hot).alias("hot")))
+    places = found.join(twice, "key").groupBy("rid", "h").agg(
+        F.collect_set(F.struct("key", "at", "near", "far", "hot")).alias("anchors"))
     places = common.materialize(places, "places")
-    count = places.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // 4000 + 1)
+    singles = F.aggregate(F.filter("anchors", lambda x: x["hot"]), F.lit(0).cast("long"),
+                          lambda a, x: a + x["far"] - x["near"] + 1)
+    count = places.agg(F.sum(F.size("anchors")).alias("n"), F.sum(singles).alias("strings")).first()
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, (count["n"] or 0) // 4000 + 1)
+    hot_buckets = max(least, (count["strings"] or 0) // STRINGS_PER_BUCKET + 1)
 
     def runs(batches):
         entries: dict = {}
-        size = 0
+        strings, size = Strings(), 0
         for batch in batches:
             anchors_ = batch.column(3)
             for rid, h, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                            batch.column(2), anchors_):
                 raw = text.as_buffer().to_pybytes()
-                fields = marks.values.flatten()
-                for key, at, near, far in zip(*(f.to_pylist() for f in fields)):
+                *fields, single = marks.values.flatten()
+                single = single.to_numpy(zero_copy_only=False)
+                if single.any():
+                    at, near, far = (f.to_numpy()[single].astype(np.int64) for f in fields[1:])
+                    strings.add(raw, rid, h, at, near, far, length)
+                    size += 64 * int((far - near + 1).sum())
+                for key, at, near, far in zip(*(f.to_numpy()[~single].tolist() for f in fields)):
                     own = entries.setdefault(key % buckets, {})
                     e = (raw[at:at + length - near], raw[at - far:at], near, far)
                     if e not in own:
@@ -305,14 +412,17 @@ def removable(docs: DataFrame, length: int = 400) -> DataFrame:
                     own[e].append((rid, h, at))
                     size += 64
                 if size > RUN_BYTES:
-                    yield _blocks(entries)
-                    entries, size = {}, 0
-        yield _blocks(entries)
+                    yield _blocks(entries, split_strings(strings, hot_buckets, length))
+                    entries, strings, size = {}, Strings(), 0
+        yield _blocks(entries, split_strings(strings, hot_buckets, length))
 
     joined = base.join(places, ["rid", "h"]).select("rid", "h", "text", "anchors")
     blocks = joined.mapInArrow(runs, "bucket long, run binary")
 
     def merge(t: pa.Table) -> pa.Table:
+        if t.column("bucket")[0].as_py() < 0:
+            w = merge_strings(t.column("run").to_pylist(), length)
+            return pa.table({c: pa.array(np.ascontiguousarray(w[:, i])) for i, c in enumerate(("rid", "h", "s", "e"))})
         out, group = [], []
 
         def close():
@@ -334,18 +444,18 @@ def removable(docs: DataFrame, length: int = 400) -> DataFrame:
         return pa.table({"rid": w[:, 0], "h": w[:, 1], "s": w[:, 2] - far, "e": w[:, 2] - near + length})
 
     cut = blocks.groupBy("bucket").applyInArrow(merge, "rid long, h long, s long, e long")
-    cut = cut.groupBy("rid", "h").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
+    cut = cut.groupBy("rid", "h").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
     return base.join(cut, ["rid", "h"], "left")
 
 
-def _blocks(entries: dict) -> pa.RecordBatch:
-    runs = [(b, encode(sorted((*e, w) for e, w in own.items()))) for b, own in entries.items()]
+def _blocks(entries: dict, split: list) -> pa.RecordBatch:
+    runs = [(b, encode(sorted((*e, w) for e, w in own.items()))) for b, own in entries.items()] + split
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in runs], pa.int64()),
                                        pa.array([r for _, r in runs], pa.binary())], names=["bucket", "run"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans array<struct<s,e>>, kept binary) per row."""
+def dedup_substrings(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans array<struct<s,e>>, kept binary) per row; ``hot`` changes no result."""
 
     def run(batches):
         for batch in batches:
@@ -370,7 +480,7 @@ def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
                  pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return removable(docs, length).select("rid", "h", "text", "marks").mapInArrow(
+    return removable(docs, length, hot).select("rid", "h", "text", "marks").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
 
 

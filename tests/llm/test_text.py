@@ -155,8 +155,8 @@ def brute_removed(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_substring_dedup_equals_brute_force(frame, length):
+@pytest.mark.parametrize("length,hot", [(40, 8192), (400, 8192), (43, 2), (400, 2), (400, 5)])
+def test_substring_dedup_equals_brute_force(frame, length, hot):
     rng = np.random.default_rng(9)
 
     def text(n):
@@ -168,7 +168,7 @@ def test_substring_dedup_equals_brute_force(frame, length):
     texts += [texts[0], texts[9][:length - 1], "q" + texts[12][:-1]] + [text(50) + passage[5:] + text(50)] * 4
     want = brute_removed(texts, length)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in
-           suffix_dedup.dedup_substrings(frame(list(enumerate(texts)), h=1, rid=2, marks=3), length).collect()}
+           suffix_dedup.dedup_substrings(frame(list(enumerate(texts)), h=1, rid=2, marks=3), length, hot).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
@@ -178,9 +178,31 @@ def test_substring_dedup_edges(frame, edge, nothing):
     twice = [r for r in out if r["doc_id"] == 4]
     assert [r["n_removed"] for r in twice] == [r["n_bytes"] for r in twice] and len(twice) == 2
     assert not sum(r["n_removed"] for r in out if r["doc_id"] != 4)
+    split = suffix_dedup.dedup_substrings(edge, hot=1).collect()
+    assert sorted(split, key=repr) == sorted(out, key=repr)
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
 
 
+def test_strings_of_hot_anchors_meet_once_per_task():
+    rng = np.random.default_rng(3)
+    passage = rng.bytes(200)
+    texts = [rng.bytes(29) + bytes([i]) + passage + bytes([i]) + rng.bytes(29) for i in range(60)]  # edges differ
+    blobs, n = {}, 50
+    for part in (texts[:40], texts[40:59], texts[59:]):
+        own = suffix_dedup.Strings()
+        for t in part:
+            at = np.array([len(t) - n])  # one anchor that decides on every string of the text
+            own.add(t, texts.index(t), 0, at, np.array([0]), at, n)
+        for b, blob in suffix_dedup.split_strings(own, 4, n):
+            blobs.setdefault(b, []).append(blob)
+    cut = {tuple(r) for own in blobs.values() for r in suffix_dedup.merge_strings(own, n).tolist()}
+    for i in range(60):
+        mine = np.zeros(260, bool)
+        for _, _, s, e in (r for r in cut if r[0] == i):
+            mine[s:e] = True
+        assert mine[30:230].all() and mine.sum() == 200
+
+
 def test_merge_of_front_coded_runs_is_the_sorted_order():
     rng = np.random.default_rng(2)
     words = sorted({bytes(rng.choice([97, 98], rng.integers(1, 12)).astype(np.uint8)) for _ in range(300)})
