@@ -377,8 +377,9 @@ def removable(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     found = common.materialize(base.mapInArrow(
         find, "rid long, h long, key long, at int, near short, far short"), "anchors")
-    twice = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-             .select("key", (F.col("n") > hot).alias("hot")))
+    twice = common.materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                               .select("key", (F.col("n") > hot).alias("hot")), "repeated")
+    # twice is a table, so nothing lies between the join and its shuffles: a hot hash's rows are split
     places = found.join(twice, "key").groupBy("rid", "h").agg(
         F.collect_set(F.struct("key", "at", "near", "far", "hot")).alias("anchors"))
     places = common.materialize(places, "places")
