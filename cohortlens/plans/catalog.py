@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.scalars import friendly_name, percent_label, thousands
 from cohortlens.operators import aggregates as A
 from cohortlens.operators import quality as Q
 from cohortlens.operators import stats as S
@@ -358,6 +359,27 @@ def q_metrics_wide(spark, sf):
     return finalize(EV.metrics_wide(_fold_long(spark, sf)))
 
 
+def q_metric_mean_se(spark, sf):
+    """Every metric's mean and standard error over the held-out folds."""
+    return finalize(A.mean_se(_fold_long(spark, sf), ["model", "metric"], "estimate"))
+
+
+def q_rate_pivot(spark, sf):
+    """Outcome rate per region, order statuses as columns."""
+    return finalize(A.mean_pivot(_profile(spark, sf), "r_name", "o_orderstatus", "y", ["F", "O", "P"]))
+
+
+def q_display_formats(spark, sf):
+    """Labels of a per-nation table (share in debt, balance, readable name)."""
+    c = read_table(spark, sf, "customer")
+    n = read_table(spark, sf, "nation")
+    per = c.groupBy("c_nationkey").agg(F.avg((F.col("c_acctbal") < 0).cast("double")).alias("share"),
+                                       F.sum("c_acctbal").alias("balance"))
+    return per.join(n, per.c_nationkey == n.n_nationkey).select(
+        friendly_name("n_name").alias("nation"), percent_label("share").alias("in_debt"),
+        thousands("balance").alias("balance"))
+
+
 def q_best_model(spark, sf):
     return finalize(EV.best_model(EV.model_compare(_fold_long(spark, sf))))
 

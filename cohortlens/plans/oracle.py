@@ -493,6 +493,18 @@ def ml_oracles() -> dict[str, str]:
       SELECT model, """ + ", ".join(
         f"{r(f'avg(CASE WHEN metric = {chr(39)}{m}{chr(39)} THEN estimate END)')} AS {m}"
         for m in sorted(METRICS6)) + " FROM fl GROUP BY model"
+    o["metric_mean_se"] = f"""WITH {fold_cte}
+      SELECT model, metric, {r('avg(estimate)')} AS mean,
+             {r('stddev_samp(estimate) / sqrt(count(estimate))')} AS std_err,
+             CAST(count(estimate) AS BIGINT) AS n FROM fl GROUP BY model, metric"""
+    o["rate_pivot"] = with_profile("SELECT r_name, " + ", ".join(
+        f"{r(f'avg(CASE WHEN o_orderstatus = {chr(39)}{v}{chr(39)} THEN y END)')} AS {v}" for v in "FOP")
+        + " FROM order_profile GROUP BY r_name")
+    o["display_formats"] = """
+      SELECT replace(n_name, '_', ' ') AS nation,
+             format('{:.1f}%', avg(CASE WHEN c_acctbal < 0 THEN 1.0 WHEN c_acctbal >= 0 THEN 0.0 END) * 100.0) AS in_debt,
+             format('{:,}', CAST(round(sum(c_acctbal)) AS BIGINT)) AS balance
+      FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name"""
     o["best_model"] = f"""WITH {fold_cte}
       SELECT model, {r('mean')} AS mean FROM mc ORDER BY mean DESC, model LIMIT 1"""
     o["roc_marker"] = f"""WITH {DOC_SCORES}, {SWEEP},
