@@ -5,16 +5,18 @@ weights scaled to one; without given weights they are proportional to
 ``rows ** alpha`` (temperature).  Each document draws its count by inverting the
 Poisson distribution of its source's rate at a uniform seeded by a hash of
 (seed, doc_id), is exploded by that count, and the copies are sorted globally by
-a hash of (seed, doc_id, copy), ties by a hash of the text, so that rows without
-an id, which share their hash, still spread over the ranges.  Counts per source are combined map-side; the
+a hash of (seed, doc_id, copy), ties by a hash of the text.  A row without an id
+is known by a hash of its text and source instead, in both hashes, so such rows
+draw apart and spread over the order.  Counts per source are combined map-side; the
 small table of distribution functions joins on the source; it is broadcast when
 it counts at most BROADCAST_SOURCES rows, otherwise a split equi-join moves the
 documents to it.
 
-Edge cases: null sources form a source of their own, null doc_ids hash as empty
-text (one common draw); repeated rows of one id share one draw; a rate of 0
+Edge cases: null sources form a source of their own; rows of one id share one
+draw, as do rows without an id that are equal in text and source; a rate of 0
 drops a source; extra columns pass through, ones named copies, copy or
-shuffle_key are replaced.
+shuffle_key are replaced.  The SQL knows the rule for ids only: it hashes null
+ids as empty text, so on tables with null ids its draws for them differ.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ def _uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
+def _identity(row: str, columns: list[str]) -> Column:
+    """What a row is hashed by: its doc_id, or a hash of text and source where that is null."""
+    content = F.xxhash64(*[F.col(f"{row}.{c}") for c in ("text", "source") if c in columns])
+    return F.coalesce(F.col(f"{row}.doc_id").cast("string"), F.concat(F.lit(":"), content.cast("string")))
+
+
 def rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5) -> DataFrame:
     """(source, rate, cdf): mean repetitions and Poisson distribution function per source."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -65,11 +73,11 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed:
     if r.count() <= BROADCAST_SOURCES:
         r = F.broadcast(r)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    drawn = docs.select(row, _uniform(seed, F.col("doc_id")).alias("__u")).alias("d").join(
+    drawn = docs.select(row).withColumn("__u", _uniform(seed, _identity("__row", docs.columns))).alias("d").join(
         r.alias("r"), F.col("__row.source").eqNullSafe(F.col("r.source")))
     drawn = drawn.select("__row", F.size(F.filter(F.col("r.cdf"), lambda x: x <= F.col("__u"))).alias("__n"))
     drawn = drawn.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    drawn = drawn.withColumn("__key", _uniform(seed + 1, F.col("__row.doc_id"), F.col("__copy")))
+    drawn = drawn.withColumn("__key", _uniform(seed + 1, _identity("__row", docs.columns), F.col("__copy")))
     drawn = drawn.orderBy("__key", *([F.xxhash64(F.col("__row.text"))] if "text" in docs.columns else []))
     same = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
     return drawn.select(*[F.col("__row").getField(c).alias(c) for c in same], F.col("__n").alias("copies"),

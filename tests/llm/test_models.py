@@ -127,6 +127,18 @@ def test_mix_follows_weights(frame, edge, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_rows_without_an_id_keep_their_sources_rate(frame):
+    rows = [(i if i % 3 else None, f"text {i}", None, "ab"[i % 2]) for i in range(6000)]
+    docs = frame(rows)
+    out = mixing.mix(docs, {"a": 3, "b": 1}).collect()
+    for source, rate in (("a", 1.5), ("b", 0.5)):
+        n = [r for r in out if r["doc_id"] is None and r["source"] == source]
+        assert abs(len(n) / (1000 * rate) - 1) < 0.1
+        assert len({r["shuffle_key"] for r in n}) == len(n) and len({r["text"] for r in n}) > 300
+    again = mixing.mix(docs.repartition(7), {"a": 3, "b": 1}).collect()
+    assert [(r["text"], r["copy"]) for r in again] == [(r["text"], r["copy"]) for r in out]
+
+
 def rebuilt(pieces):
     by, seqs = {}, {}
     for r in pieces:
