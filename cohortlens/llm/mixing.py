@@ -7,7 +7,9 @@ Poisson distribution of its source's rate at a uniform seeded by a hash of
 (seed, doc_id), is exploded by that count, and the copies are sorted globally by
 a hash of (seed, doc_id, copy), ties by a hash of the text.  A row without an id
 is known by a hash of its text and source instead, in both hashes, so such rows
-draw apart and spread over the order.  Counts per source are combined map-side; the
+draw apart and spread over the order.  The distribution function is a table from
+12 standard deviations and 20 below the rate to as much above, built from the
+mode outwards and scaled to one, so no rate underflows.  Counts per source are combined map-side; the
 small table of distribution functions joins on the source; it is broadcast when
 it counts at most BROADCAST_SOURCES rows, otherwise a split equi-join moves the
 documents to it.
@@ -16,7 +18,8 @@ Edge cases: null sources form a source of their own; rows of one id share one
 draw, as do rows without an id that are equal in text and source; a rate of 0
 drops a source; extra columns pass through, ones named copies, copy or
 shuffle_key are replaced.  The SQL knows the rule for ids only: it hashes null
-ids as empty text, so on tables with null ids its draws for them differ.
+ids as empty text, so on tables with null ids its draws for them differ.  Its sum
+has 200 terms, so it holds for rates up to about 150 only.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def _identity(row: str, columns: list[str]) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5) -> DataFrame:
-    """(source, rate, cdf): mean repetitions and Poisson distribution function per source."""
+    """(source, rate, first, cdf): mean repetitions and Poisson distribution function from ``first`` on per source."""
     n = docs.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"))
     if weights:
         table = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])
@@ -54,17 +57,33 @@ def rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5) -> D
     whole = n.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w")).first()  # one row
     scale = whole["all_n"] / whole["all_w"] if whole["all_w"] else 0.0
     rate = F.col("w") * F.lit(float(scale)) / F.col("n")
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
+    reach = 12 * F.sqrt("rate") + 20
+    mode = F.floor("rate")
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor(F.col("rate") - reach)), F.ceil(F.col("rate") + reach)
 
-    def step(acc, i):
-        p = acc["p"] * F.col("rate") / i
-        return F.struct(p.alias("p"), (acc["c"] + p).alias("c"),
-                        F.concat(acc["out"], F.array(acc["c"] + p)).alias("out"))
+    def weights_from_mode(steps: Column, factor) -> Column:
+        """Poisson weights in units of the mode's, the mode first."""
+        one = F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("out"))
 
-    p0 = F.exp(-F.col("rate"))
-    start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("out"))
-    cdf = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["out"])
-    return n.select("source", rate.alias("rate")).select("source", "rate", cdf.alias("cdf"))
+        def step(acc, i):
+            p = acc["p"] * factor(i)
+            return F.struct(p.alias("p"), F.concat(acc["out"], F.array(p)).alias("out"))
+
+        numbers = F.slice(F.sequence(F.lit(0).cast("long"), steps), 2, (steps + 1).cast("int"))  # 1 to steps
+        return F.aggregate(numbers, one, step, lambda acc: acc["out"])
+
+    def add(acc, p):
+        c = acc["c"] + p
+        return F.struct(c.alias("c"), F.concat(acc["out"], F.array(c)).alias("out"))
+
+    down = weights_from_mode(F.col("mode") - F.col("first"), lambda i: (F.col("mode") - i + 1) / F.col("rate"))
+    up = weights_from_mode(F.col("last") - F.col("mode"), lambda i: F.col("rate") / (F.col("mode") + i))
+    p = F.concat(F.reverse(down), F.slice(up, 2, F.size(up)))
+    none = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("out"))
+    cdf = F.aggregate(p, none, add, lambda acc: F.transform(acc["out"], lambda c: c / acc["c"]))
+    n = n.select("source", rate.alias("rate")).select(
+        "source", "rate", first.alias("first"), mode.alias("mode"), last.alias("last"))
+    return n.select("source", "rate", "first", cdf.alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed: int = 7) -> DataFrame:
@@ -75,7 +94,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, seed:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     drawn = docs.select(row).withColumn("__u", _uniform(seed, _identity("__row", docs.columns))).alias("d").join(
         r.alias("r"), F.col("__row.source").eqNullSafe(F.col("r.source")))
-    drawn = drawn.select("__row", F.size(F.filter(F.col("r.cdf"), lambda x: x <= F.col("__u"))).alias("__n"))
+    drawn = drawn.select("__row", (F.col("r.first") + F.size(F.filter(F.col("r.cdf"), lambda x: x <= F.col("__u")))).cast("int").alias("__n"))
     drawn = drawn.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     drawn = drawn.withColumn("__key", _uniform(seed + 1, _identity("__row", docs.columns), F.col("__copy")))
     drawn = drawn.orderBy("__key", *([F.xxhash64(F.col("__row.text"))] if "text" in docs.columns else []))

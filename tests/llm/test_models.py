@@ -1,4 +1,5 @@
 """Language identification, quality, mixing, packing: held-out accuracy, brute force, round trips, edges."""
+import math
 import zlib
 
 import numpy as np
@@ -139,6 +140,33 @@ def test_rows_without_an_id_keep_their_sources_rate(frame):
     assert [(r["text"], r["copy"]) for r in again] == [(r["text"], r["copy"]) for r in out]
 
 
+def poisson_inverse(rate, u):
+    """Smallest k whose distribution function exceeds u, summed in log space."""
+    total, k = 0.0, 0
+    while True:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if total > u:
+            return k
+        k += 1
+
+
+@pytest.mark.parametrize("rate", [0.01, 1, 150, 740, 800, 5000])
+def test_draws_follow_the_poisson_inverse_at_any_rate(frame, rate):
+    docs = frame([(i, f"t{i}", None, "rest" if i else "rare") for i in range(6000)])
+    table = mixing.rates(docs, {"rare": rate / 6000, "rest": 1 - rate / 6000})
+    r = {x["source"]: x for x in table.collect()}["rare"]
+    assert abs(r["rate"] / rate - 1) < 1e-9
+    for u in (1e-9, 0.01418, 0.2, 0.5, 0.9, 0.999):
+        assert r["first"] + sum(c <= u for c in r["cdf"]) == poisson_inverse(r["rate"], u)
+    assert r["cdf"][-1] == 1.0 and len(r["cdf"]) < 26 * rate ** 0.5 + 50
+
+
+def test_copies_of_a_very_frequent_source_vary_around_its_rate(frame):
+    docs = frame([(i, f"t{i}", None, "rare" if i < 5 else "rest") for i in range(6000)])
+    got = [r["copies"] for r in mixing.mix(docs, {"rare": 1.0}).where("copy = 1").select("copies").collect()]
+    assert len(set(got)) > 1 and abs(np.mean(got) / 1200 - 1) < 0.1
+
+
 def rebuilt(pieces):
     by, seqs = {}, {}
     for r in pieces:
