@@ -15,6 +15,11 @@ all a result can need, and queries of one vector ask once, for k + 1 ids, before
 each drops its own; so a vector of a third of all rows is one entry and one
 question.  Every vector is indexed.  Range partitions hold about ``rows_per_partition`` entries.
 
+Where not given, trees, quota and partition rows follow the number of different
+vectors (:func:`plan`): a tree answers with the same share of the table whatever
+its size, so its prefixes keep their length and recall does not fall as the
+table grows (neighbours only get closer).
+
 Edge cases: see :func:`cohortlens.llm.vectors.valid_vectors` (zero vectors take no
 part); a query never finds its own id; ids repeated with one vector count once;
 an empty table gives an empty result.
@@ -34,6 +39,23 @@ U = np.uint64
 TOP = U(1 << 63)
 
 
+#: A prefix is shared by 1 / SHARE of the entries, and by MIN_QUOTA at least and MAX_QUOTA at most.
+SHARE, MIN_QUOTA, MAX_QUOTA, TREES = 64, 1200, 16_384, 32
+
+
+def plan(n: int) -> tuple[int, int, int]:
+    """(trees, quota, rows_per_partition) for n different vectors.
+
+    Over SHARE * MAX_QUOTA (a million) vectors the quota stands still, which bounds
+    a task's memory, and prefixes get longer; a near pair shares one more bit in
+    two cases of three, so each doubling takes 1.5 times the trees (power 0.6).
+    Partitions hold eight quotas, so few prefixes cross a range boundary.
+    """
+    quota = min(max(MIN_QUOTA, -(-n // SHARE)), MAX_QUOTA)
+    trees = int(np.ceil(TREES * max(1.0, n / (SHARE * MAX_QUOTA)) ** 0.6))
+    return trees, quota, max(16_384, 8 * quota)
+
+
 def _planes(trees: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(trees * 64, dims + 1))
 
@@ -61,8 +83,8 @@ def descend(keys: np.ndarray, wanted: np.ndarray, quota: int) -> tuple[np.ndarra
     return lo, hi
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 32, quota: int = 1200,
-            seed: int = 3, rows_per_partition: int = 16_384) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int | None = None,
+            quota: int | None = None, seed: int = 3, rows_per_partition: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) over rows (vec_id, v array<double>)."""
     rows = rows.dropDuplicates(["vec_id", "v"])
     w = Window.partitionBy("v").orderBy("vec_id")
@@ -74,11 +96,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 32, quo
     asking = asked.select("v", F.array("q").alias("ids"), F.lit(True).alias("asks"))
     both = common.materialize(listed.unionByName(asking), "vectors")
     stats = both.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"),
-                     F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+                     F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n"),
+                     F.count_if(~F.col("asks")).alias("entries")).first()
     if not stats["n"]:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id",
                            F.lit(0.0).alias("score")).limit(0)
     top, dims = stats["m"], stats["d"]
+    planned = plan(stats["entries"])
+    trees, quota = trees or planned[0], quota or planned[1]
+    rows_per_partition = rows_per_partition or max(planned[2], 8 * quota)
 
     def index(batches):
         planes = _planes(trees, dims, seed)

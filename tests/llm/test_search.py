@@ -61,6 +61,45 @@ def test_forest_recall_against_brute_force(spark):
     assert {q: [i for i, _ in r] for q, r in exact.items()} == {q: [i for i, _ in r] for q, r in want.items()}
 
 
+def test_planned_forest_holds_recall_on_a_larger_table():
+    n, rng = 200_000, np.random.default_rng(5)
+    trees, quota, rows = prefix_forest.plan(n)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ask = np.arange(0, n, n // 40)
+    s = x[ask] @ x.T
+    s[np.arange(len(ask)), ask] = -2
+    near = np.argpartition(-s, 20, axis=1)[:, :20]
+    hit = np.zeros(near.shape, bool)
+    for planes in np.split(prefix_forest._planes(trees, 64, 3).astype(np.float32), trees):
+        keys = prefix_forest.hash_strings(x, np.zeros(n, np.float32), planes)[:, 0]
+        order = np.argsort(keys)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        for i, q in enumerate(ask):  # a task sees its range partition only
+            a = place[q] // rows * rows
+            lo, hi = prefix_forest.descend(keys[order[a:a + rows]], keys[q:q + 1], quota)
+            hit[i] |= (place[near[i]] >= a + lo[0]) & (place[near[i]] < a + hi[0])
+    assert hit.mean() >= 0.9
+
+
+def test_plan_follows_the_size_and_bounds_the_quota():
+    assert prefix_forest.plan(51_282) == (32, 1200, 16_384) and prefix_forest.plan(640_000) == (32, 10_000, 80_000)
+    trees, quota, rows = prefix_forest.plan(1 << 24)
+    assert quota == 16_384 and rows == 131_072 and trees == 169
+
+
+def test_forest_is_planned_by_the_different_vectors(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(prefix_forest, "plan", lambda n: seen.append(n) or (2, n, 16_384))
+    v = np.random.default_rng(4).normal(size=(150, 6)).astype(np.float32)
+    v[100:] = v[:50]
+    got = found(prefix_forest.nearest(valid_vectors(table(spark, [(i, v[i].tolist()) for i in range(150)])),
+                                      F.col("vec_id") % 20 == 0, 5))
+    want = brute(np.arange(150), v.astype(float), range(0, 150, 20), 5)
+    assert seen == [100] and {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
 def test_forest_ties_and_one_hot_vector(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(200, 8)).astype(np.float32)
