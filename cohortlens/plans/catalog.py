@@ -622,7 +622,7 @@ def q_clamp_profile(spark, sf):
 
 def q_valid_pairs(spark, sf):
     """Customer region x supplier nation of every line, valid when the
-    supplier's nation lies in the customer's region (left-semi/anti lookup)."""
+    supplier's nation lies in the customer's region (``valid_choice``)."""
     li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -637,9 +637,10 @@ def q_valid_pairs(spark, sf):
              .join(supp_nation, "s_nationkey")
              .groupBy("r_name", "supplier_nation").agg(F.count(F.lit(1)).alias("n_lines")))
     pairs = n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", F.col("n_name").alias("supplier_nation"))
-    valid = lines.join(pairs, ["r_name", "supplier_nation"], "left_semi").withColumn("is_valid", F.lit(True))
-    invalid = lines.join(pairs, ["r_name", "supplier_nation"], "left_anti").withColumn("is_valid", F.lit(False))
-    return valid.unionByName(invalid)
+    # the operator replaces invalid choices; the key reports each pair as it was met
+    checked = DS.valid_choice(lines.withColumn("choice", F.col("supplier_nation")),
+                              pairs.withColumnRenamed("supplier_nation", "choice"), "r_name", "choice")
+    return checked.select("r_name", "supplier_nation", "n_lines", F.col("choice_was_valid").alias("is_valid"))
 
 
 # --------------------------------------------------------------- streaming

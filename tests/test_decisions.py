@@ -45,3 +45,12 @@ def test_valid_choice(spark):
     df = spark.createDataFrame([(1, "Sales", "Scientist"), (2, "R&D", "Scientist")], "id int, dept string, role string")
     out = {r.id: r for r in DS.valid_choice(df, pairs, "dept", "role").collect()}
     assert out[1].role == "Manager" and not out[1].role_was_valid and out[2].role_was_valid
+
+
+def test_valid_pairs_is_built_on_valid_choice(spark, monkeypatch):
+    from cohortlens.plans import catalog
+    calls, real = [], DS.valid_choice
+    monkeypatch.setattr(DS, "valid_choice", lambda *a: calls.append(a[2:]) or real(*a))
+    out = catalog.q_valid_pairs(spark, "/root/testdata/sf0.001")
+    assert calls == [("r_name", "choice")] and out.columns == ["r_name", "supplier_nation", "n_lines", "is_valid"]
+    assert {r["is_valid"] for r in out.collect()} == {True, False}
