@@ -9,7 +9,8 @@ the others).  Once the sum of the last entries read is below the k-th best lower
 bound no row outside can qualify; rows whose upper bound reaches that bound are
 read on until their score is complete, and the best k remain.  Until then the
 depth doubles; at full depth everything has been read, so the result is exact on
-any data.
+any data.  A block's contributions are all computed before, as matrix products,
+and "reading" selects among them: stopping early saves no products.
 
 Rows and queries are dealt to blocks by a hash of their id; each (row block,
 query block) pair is one task's group of bounded size, and it emits at most k
