@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import (hyperminhash, lang_id, line_dedup, mixing, packing, prefix_forest, quality,
-                            secrets, suffix_dedup, topk)
+from cohortlens.llm import (chat_format, hyperminhash, lang_id, line_dedup, mixing, packing, prefix_forest, quality,
+                            secrets, spelling, suffix_dedup, topk, whitening)
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_quality": quality.op10_quality,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL = {

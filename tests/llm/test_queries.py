@@ -54,4 +54,4 @@ def test_pipeline_stages_equal_brute_force(spark):
 def test_every_number_is_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
