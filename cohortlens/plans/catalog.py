@@ -24,6 +24,7 @@ from cohortlens.operators import features as FE
 from cohortlens.operators import smote as SM
 from cohortlens.operators import models as MD
 from cohortlens.operators import tuning as TU
+from cohortlens.operators.ledger import Ledger, fit_plan, units
 from cohortlens.operators import decisions as DS
 from cohortlens.plans import order_rules as OR
 from cohortlens.streaming import score_stream as ST
@@ -453,7 +454,7 @@ _ML_RUNS: dict = {}
 
 
 def ml_run(spark, sf):
-    """Tune nine configs of five families on the order profile's training split (5
+    """Tune ``query_specs`` on the order profile's training split (5
     folds x 3 repeats), refit the best model on all training rows and score the
     test rows; the threshold comes from the winner's pooled held-out predictions.
     Memoised per (application, sf_dir) so the model queries share one run."""
@@ -485,13 +486,24 @@ def ml_run(spark, sf):
     bundle = os.path.join(ensure_checkpoint_dir(spark), f"bundle-{uuid.uuid4().hex}")
     TU.save_bundle(final, thr.first()["threshold"], bundle)
     prepped = final.stages[0].transform(train)
-    run = {"specs": specs, "pred_path": path, "cv": cv, "best": best, "best_rows": best_rows,
+    ledger = Ledger(spark, path).table(units(specs, TU.resamples_of(folds)))
+    run = {"specs": specs, "pred_path": path, "ledger": ledger, "cv": cv, "best": best, "best_rows": best_rows,
            "winner": winner["model"], "final": final, "test_pred": test_pred, "thr": thr,
            "bundle": bundle, "prepped": prepped}
     _ML_RUNS[key] = run
     return run
 
 
+def q_fit_plan(spark, sf):
+    """All 930 fits of the full plan with the rows each one reads."""
+    return fit_plan(spark, MD.reference_specs(), q_folds(spark, sf))
+
+
+def q_fit_ledger(spark, sf):
+    """Every fit of the registered tuning run with its state, read from the run's ledger."""
+    return ml_run(spark, sf)["ledger"].select("model", "config", "repeat", "fold", "state")
+
+
 def q_model_cv(spark, sf):
     return finalize(ml_run(spark, sf)["cv"])
 

@@ -427,6 +427,21 @@ def ml_oracles() -> dict[str, str]:
     o["folds"] = f"""WITH {ORDERS_Y}, {SPLIT_RANK},
       tr AS (SELECT id, y FROM sr WHERE rk < floor(n * 7 / 10)), {_folds_cte('tr', 42)}
       SELECT id, y, "repeat", fold FROM fo"""
+    grids = [("logistic", 1), ("decision_tree", 16), ("random_forest", 16), ("gradient_boosting", 20), ("mlp", 9)]
+    run_grids = [("logistic", 1), ("decision_tree", 16), ("random_forest", 2), ("gradient_boosting", 2), ("mlp", 9)]
+
+    def grid(rows):
+        return "g AS (SELECT model, unnest(range(n))::INTEGER AS config FROM (VALUES " + ", ".join(
+            f"('{m}', {n})" for m, n in rows) + ") t(model, n))"
+    o["fit_plan"] = f"""WITH {ORDERS_Y}, {SPLIT_RANK},
+      tr AS (SELECT id, y FROM sr WHERE rk < floor(n * 7 / 10)), {_folds_cte('tr', 42)}, {grid(grids)},
+      s AS (SELECT "repeat", fold, count(*) AS n_assess, (SELECT count(*) FROM tr) - count(*) AS n_analysis
+            FROM fo GROUP BY 1, 2)
+      SELECT model, config, "repeat", fold, n_analysis, n_assess FROM g CROSS JOIN s"""
+    o["fit_ledger"] = f"""WITH {ORDERS_Y}, {SPLIT_RANK},
+      tr AS (SELECT id, y FROM sr WHERE rk < floor(n * 7 / 10)), {_folds_cte('tr', 42)}, {grid(run_grids)}
+      SELECT model, config, "repeat", fold, 'done' AS state FROM g
+      CROSS JOIN (SELECT DISTINCT "repeat", fold FROM fo)"""
     o["roc_curve"] = f"""WITH {DOC_SCORES}, {_cum_cte('ds', 'model')}
       SELECT model, {r('score')} AS threshold, {r('cum1 / P')} AS tpr, {r('cum0 / N')} AS fpr FROM cc
       UNION ALL SELECT DISTINCT model, NULL, 0.0, 0.0 FROM ds"""

@@ -30,6 +30,7 @@ def get_session(master: str | None = None, app: str = "cohortlens",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
+        "spark.scheduler.mode": "FAIR",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -136,3 +136,15 @@ def test_orphan_orders_are_rejected_and_a_replayed_batch_writes_once(spark, tmp_
         S.write_batch(orders.unionByName(odd), 0, spark, SF, str(tmp_path), st, side, lines)
     assert spark.read.parquet(os.path.join(tmp_path, "scored")).count() == 50
     assert [r["id"] for r in spark.read.parquet(os.path.join(tmp_path, "rejects")).collect()] == [-5]
+
+
+def test_declared_levels_of_unequal_number_fit(spark):
+    from cohortlens.operators.features import categorical_levels
+    from cohortlens.operators.tuning import Recipe, fit_recipe
+    df = spark.createDataFrame([(i, float(i), "abc"[i % 3], "wxyz"[i % 4], i % 2) for i in range(48)],
+                               "id long, x double, c string, d string, y int")
+    rc = Recipe(numeric=["x"], categorical=["c", "d"], use_nzv=False, levels=categorical_levels(df, ["c", "d"]))
+    out = fit_recipe(df, rc).transform(df)
+    assert len(out.first()["features"]) == 1 + 2 + 3
+    raw = {(r["c"], r["d"]): r["raw_features"].toArray().tolist()[1:] for r in out.collect()}
+    assert raw[("a", "w")] == [0] * 5 and sum(raw[("c", "z")]) == 2  # the first level of each is the reference
