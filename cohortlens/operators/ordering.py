@@ -14,6 +14,7 @@ two primitives here keep every task bounded:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,8 +29,13 @@ from cohortlens.session import ensure_checkpoint_dir, materialize
 _PID = "_range_id"
 
 
-def _default_ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Rows of one range, the most that a task holds at once.
+ROWS_PER_RANGE = 100_000
+
+
+def ranges_for(df: DataFrame) -> int:
+    """Ranges by the rows of the input, whatever the session's shuffle partitions."""
+    return max(1, math.ceil(df.count() / ROWS_PER_RANGE))
 
 
 def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
@@ -45,7 +51,7 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column
     """
     part_cols, sum_cols = list(part_cols), list(sum_cols)
     sort_spec = [F.col(c) for c in part_cols] + list(order)
-    n = n_ranges or _default_ranges(df)
+    n = n_ranges or ranges_for(df)
     ranged = (df.repartitionByRange(n, *sort_spec)
               .sortWithinPartitions(*sort_spec)
               .withColumn(_PID, F.spark_partition_id()))
@@ -114,7 +120,7 @@ def exact_ranks(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column]
 
 def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], accuracy: int = 20000,
-                    approx: bool = False, with_stats: bool = False) -> DataFrame:
+                    approx: bool = False, with_stats: bool = False, margin: float | None = None) -> DataFrame:
     """Type-7 quantiles per group as ``(group..., prob, quantile)`` rows.
 
     Pass 1 (one aggregate): n, min, mean, max and a percentile sketch of
@@ -126,6 +132,10 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
     most ~6n/accuracy values, or n <= 4*accuracy for small groups) are
     ordered.
 
+    The result (groups x probs rows) is written, and a quantile whose ranks fall
+    outside their bracket, should a sketch err more than it states, is found again
+    in one 16 times as wide (``margin``), at last between minimum and maximum.
+
     The pass-1 table has one row per group and is written once, so its size is
     known to the join.  The candidates of one (group, probability), at most
     6/accuracy of the group, are ranked by one window.  NULL group keys form a
@@ -142,7 +152,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
         return q.select(*group_cols, F.posexplode("_q").alias("_i", "quantile")).select(
             *group_cols, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
             .alias("prob"), "quantile")
-    margin = 3.0 / accuracy
+    margin = 3.0 / accuracy if margin is None else margin
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
     stats = base.groupBy(*group_cols).agg(
@@ -205,8 +215,20 @@ def exact_quantiles(long_df: DataFrame, group_cols: Sequence[str], value_col: st
         return F.max(F.when(hit, F.col("_cv")))
 
     res = ranked.groupBy(*bkeys).agg(at("_k0").alias("_v0"), at("_k1").alias("_v1"))
+    res = materialize(res, "quantiles")
+    missed = res.where(F.col("_v0").isNull() | F.col("_v1").isNull()).select(*group_cols, "prob")
     frac = F.col("_h") - F.col("_k0")
     extra = [F.col("_n").alias("n"), F.col("_mn").alias("min"), F.col("_mean").alias("mean"),
              F.col("_mx").alias("max")] if with_stats else []
-    return res.select(*group_cols, "prob",
-                      (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("quantile"), *extra)
+    out = res.select(*group_cols, "prob",
+                     (F.col("_v0") + frac * (F.col("_v1") - F.col("_v0"))).alias("quantile"), *extra)
+    again = [r["prob"] for r in missed.select("prob").distinct().collect()]  # some of the few probabilities
+    if not again:
+        return out
+    key = F.struct(*group_cols, F.lit(1)) if group_cols else F.struct(F.lit(1))
+    groups = missed.select(key.alias("_g")).distinct()
+    wider = exact_quantiles(long_df.join(groups, key.eqNullSafe(F.col("_g")), "left_semi"), group_cols, value_col, again,
+                            accuracy, with_stats=with_stats, margin=max(margin, 1.0 / accuracy) * 16)
+    kept = out.where(F.col("quantile").isNotNull())
+    held = kept.select(F.struct(*group_cols, "prob").alias("_g"))
+    return kept.unionByName(wider.join(held, F.struct(*group_cols, "prob").eqNullSafe(F.col("_g")), "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalars import null_safe_join, pair_key, scalar_fields
+from cohortlens.operators import lockstep
 from cohortlens.operators.ordering import exact_quantiles
 from cohortlens.operators.quality import long_values
 from cohortlens.session import materialize
@@ -20,17 +21,38 @@ from cohortlens.session import materialize
 def pearson_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Full correlation matrix in long form (var1, var2, correlation).
 
-    One aggregate computes corr for i < j (p(p-1)/2 one-pass moments); the
-    lower triangle and the unit diagonal are produced by mirroring, not by
-    recomputation.  For wide p prefer ``pyspark.ml.stat.Correlation`` (Gramian).
+    Every task adds up the Gramian of its rows, batch by batch, and one tree of sums
+    reduces them, so work and plan stay linear in rows for any number of columns.
+    A pair counts the rows where both are present, as SQL ``corr`` does; values are
+    taken from the columns' means, found before, which keeps the moments accurate.
+    A pair without variance has correlation NULL, the diagonal is 1.
     """
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    # upper triangle, its mirror and the unit diagonal from ONE aggregate row
-    cells = [f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs] + \
-            [f"'{b}', '{a}', `{a}__{b}`" for a, b in pairs] + [f"'{c}', '{c}', 1.0D" for c in cols]
-    return wide.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as (var1, var2, correlation)")
+    cols, p = list(cols), len(cols)
+    num = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = num.agg(*[F.avg(c).alias(c) for c in num.columns]).first()
+    shift = np.array([m if m is not None else 0.0 for m in means])
+
+    def add(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)]) - shift
+            # NULL arrives as NaN; a NaN or infinite value of the column itself counts as absent too
+            here = np.isfinite(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            total += [m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]
+        yield lockstep.vectors({0: total.ravel()})
+
+    rows = num.mapInArrow(add, lockstep.VECTORS)
+    found = lockstep.tree_sum(rows, num.rdd.getNumPartitions())
+    n, s, q, c = found[0].reshape(4, p, p) if found else np.zeros((4, p, p))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = q - s * s / n
+        r = (c - s * s.T / n) / np.sqrt(var * var.T)
+    flat = var <= 1e-14 * q
+    r = np.where(flat | flat.T | ~np.isfinite(r), np.nan, np.clip(r, -1.0, 1.0))
+    out = [(a, b, 1.0 if a == b else (None if np.isnan(r[i, j]) else float(r[i, j])))
+           for i, a in enumerate(cols) for j, b in enumerate(cols)]  # one row a pair of columns
+    return df.sparkSession.createDataFrame(out, "var1 string, var2 string, correlation double")
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str], cutoff: float = 0.70) -> DataFrame:
@@ -214,27 +236,42 @@ def scatter_bins(df: DataFrame, x: str, y: str, by: str, bins: int = 20) -> Data
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Width of a density bin in bandwidths, and Hermite polynomials of the expansion around its centre.
+KDE_WIDTH = 1 / 32
+_HERMITE = (lambda u: F.lit(1.0), lambda u: u, lambda u: u * u - 1, lambda u: u * (u * u - 3),
+            lambda u: u * u * (u * u - 6) + 3, lambda u: u * (u * u * (u * u - 10) + 15))
+
+
 def kde(df: DataFrame, value: str, group: str, grid_points: int = 64) -> DataFrame:
     """Gaussian kernel density per group on an even grid over the group's range.
 
-    Bandwidth is Silverman's nrd0: 0.9 * min(sd, IQR/1.34) * n^(-1/5).  Each
-    row contributes to every grid point (explode of a fixed-size sequence);
-    the per-(group, point) sums are partial-aggregated map-side, so the work
-    is one linear pass with a bounded aggregation state.
+    Bandwidth is Silverman's nrd0: 0.9 * min(sd, IQR/1.34) * n^(-1/5).  Rows are
+    first summed into bins of KDE_WIDTH bandwidths, as their moments around the centre
+    (one grouped sum combined map-side); a bin's part of a density is the Hermite
+    expansion of the kernel at its centre, so no row meets a grid point.  With
+    r = KDE_WIDTH / 2 the truncation error of a density is below
+    1.09 * r^6 / sqrt(6!) / (1 - r) of the kernel's peak 1 / (bw * sqrt(2 * pi)): 6e-13 of it.
+    A group has at most range / (bw * KDE_WIDTH) bins, and no empty ones.
     """
     q = exact_quantiles(df, [group], value, [0.25, 0.75])
     iqr = q.groupBy(group).agg((F.max(F.when(F.col("prob") == 0.75, F.col("quantile")))
                                 - F.max(F.when(F.col("prob") == 0.25, F.col("quantile")))).alias("iqr"))
-    st = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
-                               F.min(value).alias("lo"), F.max(value).alias("hi"))
+    st = df.groupBy(group).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd"),
+                               F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     bw = materialize(null_safe_join(st, iqr, [group]).withColumn(
         "bw", F.lit(0.9) * F.least(F.col("sd"), F.col("iqr") / F.lit(1.34)) * F.pow(F.col("n"), F.lit(-0.2))), "bandwidth")
+    rows = null_safe_join(df.select(group, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull()), bw, [group])
+    width = F.col("bw") * F.lit(KDE_WIDTH)
+    # a constant group has bandwidth 0: one bin, and its density is NULL
+    b = F.coalesce(F.floor(F.try_divide(F.col("_x") - F.col("lo"), width)), F.lit(0))
+    e = F.try_divide(F.col("_x") - (F.col("lo") + (F.col("_b") + 0.5) * width), F.col("bw"))
+    binned = (rows.withColumn("_b", b).withColumn("_e", e).groupBy(group, "_b")
+              .agg(*[F.sum(F.pow("_e", F.lit(float(k))) / math.factorial(k)).alias(f"m{k}") for k in range(len(_HERMITE))]))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid_points - 1))
-    j = null_safe_join(df.select(group, F.col(value).cast("double").alias("_x")), bw, [group])
-    pts = j.select(group, "_x", "n", "bw", "lo", step.alias("step"),
-                   F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("point"))
-    g = F.col("lo") + F.col("point") * F.col("step")
-    # a constant group has bandwidth 0: its density is NULL
-    z = F.try_divide(g - F.col("_x"), F.col("bw"))
-    dens = F.try_divide(F.exp(F.lit(-0.5) * z * z), F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
-    return pts.groupBy(group, "point").agg(F.first(g).alias("x"), F.sum(dens).alias("density"))
+    j = null_safe_join(binned, bw, [group]).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
+    j = j.withColumn("x", F.col("lo") + F.col("point") * step)
+    j = j.withColumn("_u", F.try_divide(F.col("x") - (F.col("lo") + (F.col("_b") + 0.5) * width), F.col("bw")))
+    u = F.col("_u")
+    series = sum(F.col(f"m{k}") * he(u) for k, he in enumerate(_HERMITE))
+    dens = F.try_divide(F.exp(F.lit(-0.5) * u * u) * series, F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))
+    return j.groupBy(group, "point").agg(F.first("x").alias("x"), F.sum(dens).alias("density"))

@@ -24,7 +24,7 @@ from cohortlens.operators import decisions as DS
 from cohortlens.operators import evaluate as EV
 from cohortlens.plans import order_rules as OR
 from cohortlens.session import ensure_checkpoint_dir, materialize
-from cohortlens.sources.profile import ORDER_NUMERICS, POSITIVE_PRIORITY, line_summary, order_profile
+from cohortlens.sources.profile import ORDER_NUMERICS, POSITIVE_PRIORITY, line_summary, profile_table
 from cohortlens.sources.tables import read_table
 
 
@@ -41,7 +41,8 @@ def stand_in_score(st: dict):
     """The stand-in logistic with literal means and sds."""
     eta = F.lit(OR.SCORE_INTERCEPT)
     for c, b in OR.SCORE_COEF.items():
-        eta = eta + F.lit(b) * ((F.col(c) - F.lit(st[f"m_{c}"])) / F.lit(st[f"s_{c}"]))
+        # a constant column has no standard deviation: the score is NULL, as in the batch path
+        eta = eta + F.lit(b) * F.try_divide(F.col(c) - F.lit(st[f"m_{c}"]).cast("double"), F.lit(st[f"s_{c}"]).cast("double"))
     eta = eta + F.when(F.col("o_orderstatus") == "O", F.lit(OR.SCORE_FLAG_OPEN)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
 
@@ -67,7 +68,7 @@ def flatten(df: DataFrame) -> DataFrame:
 def static_sides(spark: SparkSession, sf_dir: str):
     """Literal population statistics (incl. the best-J operating threshold of the
     scorer on the static profile) and the per-region median/band table."""
-    prof = order_profile(spark, sf_dir)
+    prof = profile_table(spark, sf_dir)  # written once an application: every statistic scans it alone
     st = _literal_stats(prof)
     scored = prof.select(F.lit("s").alias("model"), "id", "y", stand_in_score(st).alias("score"))
     st["threshold"] = EV.best_threshold(scored).first()["threshold"]
