@@ -1,16 +1,16 @@
 """Exact top-k by inner product through no-random-access aggregation of sorted lists.
 
-The components of a vector are dealt to LISTS groups; a row's contribution of
-one group to the query's score is its entry in that group's list, and lists are
-read from their highest entry down.  After reading a depth of every list each
-row has a lower bound (what was read, plus the least entry of the lists it was
-not yet met in) and an upper bound (what was read, plus the last entry read of
-the others).  Once the sum of the last entries read is below the k-th best lower
-bound no row outside can qualify; rows whose upper bound reaches that bound are
-read on until their score is complete, and the best k remain.  Until then the
-depth doubles; at full depth everything has been read, so the result is exact on
-any data.  A block's contributions are all computed before, as matrix products,
-and "reading" selects among them: stopping early saves no products.
+A block of rows holds one list a component, sorted once: its rows in order of that
+component.  For a query a list is read from the end where the query's weight makes
+contributions largest, in chunks of positions; only entries read are multiplied.
+After each chunk a row has a lower bound (what was read of it, plus the least entry
+of the lists it was not met in) and an upper bound (what was read, plus the last
+entry read of the others).  Reading stops once no row that was never met can reach
+the k-th best lower bound and at most 4 k rows have an upper bound that does; their
+scores are then resolved from their remaining entries and the best k stay.  At full
+depth everything has been read, so the result is exact on any data.  How early it stops depends
+on the data: a few components that carry the score close the bounds soon, evenly
+spread ones late.
 
 Rows and queries are dealt to blocks by a hash of their id; each (row block,
 query block) pair is one task's group of bounded size, and it emits at most k
@@ -31,37 +31,50 @@ from pyspark.sql import functions as F
 from cohortlens.llm import common
 from cohortlens.llm.vectors import valid_vectors
 
-LISTS = 4
-CHUNK = 64
-
-
-def aggregate_lists(parts: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
-    """(query, row, score) of each query's k best rows.
-
-    ``parts``: lists x queries x rows contributions; ``own`` marks a query's own rows.
-    """
-    lists, nq, n = parts.shape
-    parts = np.where(own[None], np.iinfo(np.int64).min // (4 * lists), parts) if own.any() else parts
-    least = parts.min(axis=2, keepdims=True)
-    todo, depth, out = np.arange(nq), max(k, n // 8), []
-    while len(todo):
-        p, low = parts[:, todo], least[:, todo]
-        depth = min(depth, n)
-        last = -np.partition(-p, depth - 1, axis=2)[:, :, depth - 1:depth]  # last entry read of each list
-        met = p >= last
-        lower = np.where(met, p, low).sum(axis=0)
-        bar = -np.partition(-lower, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
-        stop = (last[:, :, 0].sum(axis=0) < bar) | (depth == n)
-        upper = np.where(met[:, stop], p[:, stop], last[:, stop]).sum(axis=0)
-        bar = bar[stop]
-        for i, q in enumerate(todo[stop].tolist()):
-            rows = np.flatnonzero(upper[i] >= bar[i])
-            score = parts[:, q, rows].sum(axis=0)  # reading on to the end for these rows
-            keep = ~own[q, rows]
-            rows, score = rows[keep], score[keep]
-            best = np.lexsort((ids[rows], -score))[:k]
-            out += [(q, r, s) for r, s in zip(rows[best].tolist(), score[best].tolist())]
-        todo, depth = todo[~stop], depth * 2
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """Per component, the rows in ascending order of it."""
+    return np.argsort(x, axis=0, kind="stable")
+
+
+def read_lists(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int,
+               chunk: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, entries read) of the k best rows of one query; ``own`` rows are no candidates."""
+    n, d = x.shape
+    if not n or own.all():
+        return np.zeros(0, np.int64), np.zeros(0, x.dtype), 0
+    at = np.arange(d)
+    high = q >= 0  # read from the end of the ascending list
+    least = q * x[np.where(high, order[0], order[-1]), at]
+    got, bottom, met = np.zeros(n, x.dtype), np.zeros(n, x.dtype), np.zeros((n, d), dtype=bool)
+    depth, enough = 0, min(k, int((~own).sum()))
+    while True:
+        to = min(n, depth + max(chunk, depth))  # the depth doubles
+        place = np.arange(depth, to)[:, None]
+        rows = order[np.where(high, n - 1 - place, place), at]
+        entries = x[rows, at] * q
+        got += added(rows, entries, n)
+        bottom += added(rows, np.broadcast_to(least, rows.shape), n)
+        met[rows, at] = True
+        depth, last = to, entries[-1]
+        lower = (got + (least.sum() - bottom))[~own]
+        bar = np.partition(lower, len(lower) - enough)[len(lower) - enough]
+        if depth < n and last.sum() >= bar:
+            continue  # a row never met could still qualify
+        upper = got + (last.sum() - met.astype(x.dtype) @ last)
+        close = np.flatnonzero((upper >= bar) & ~own)
+        if depth < n and len(close) > 4 * k:
+            continue
+        score = got[close] + (np.where(met[close], 0, x[close]) @ q)  # the entries not read yet
+        best = np.lexsort((ids[close], -score))[:k]
+        return close[best], score[best], depth * d
+
+
+def added(rows: np.ndarray, entries: np.ndarray, n: int) -> np.ndarray:
+    """Sums of entries per row; doubles are summed as such, integers as integers."""
+    if entries.dtype == np.float64:
+        return np.bincount(rows.ravel(), entries.ravel(), n)
+    out = np.zeros(n, entries.dtype)
+    np.add.at(out, rows, entries)
     return out
 
 
@@ -87,14 +100,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, rows_per_block: int = 8
         if len(a) and len(b):
             x, y = matrix(a), matrix(b)
             ids, qids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
-            groups = np.array_split(np.arange(x.shape[1]), LISTS)
-            small = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1] < 2 ** 52
+            small = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1] < 2 ** 51
             kind = np.float64 if small else np.int64  # doubles hold every partial sum exactly
             x, y = x.astype(kind), y.astype(kind)
-            for s in range(0, len(y), CHUNK):
-                parts = np.stack([y[s:s + CHUNK, g] @ x[:, g].T for g in groups]).astype(np.int64)
-                own = qids[s:s + CHUNK, None] == ids[None]
-                found += [(qids[s + q], ids[r], v) for q, r, v in aggregate_lists(parts, own, ids, k)]
+            order = sorted_lists(x)
+            for q in range(len(y)):
+                rows, scores, _ = read_lists(x, order, y[q], ids == qids[q], ids, k)
+                found += [(qids[q], i, int(v)) for i, v in zip(ids[rows].tolist(), scores.tolist())]
         return pa.table({n_: pa.array([f[i] for f in found], pa.int64())
                          for i, n_ in enumerate(("query_id", "vec_id", "score"))})
 

@@ -40,14 +40,28 @@ def test_topk_equals_brute_force(spark, n, distinct):
     assert got == brute(np.arange(n), v, range(0, n, 20), 5)
 
 
-def test_aggregation_stops_early_and_stays_exact():
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_lists_are_read_by_position_and_stay_exact(kind):
     rng = np.random.default_rng(3)
-    parts = rng.integers(-1000, 1000, (4, 8, 500))
-    none = np.zeros((8, 500), bool)
-    out = topk.aggregate_lists(parts, none, np.arange(500), 5)
-    total = parts.sum(axis=0)
-    for q in range(8):
-        assert [(r, s) for p, r, s in out if p == q] == [(int(r), total[q, r]) for r in np.lexsort((np.arange(500), -total[q]))[:5]]
+    ids = rng.permutation(2000)
+    spread = rng.integers(-100, 100, (2000, 8))
+    skewed = spread * np.array([500, 40, 1, 1, 1, 1, 1, 1])
+    shares = {}
+    for name, x in (("spread", spread), ("skewed", skewed), ("ties", spread // 40)):
+        x = x.astype(kind)
+        order = topk.sorted_lists(x)
+        read = 0
+        for i in range(0, 2000, 100):
+            own = ids == ids[i]
+            rows, scores, entries = topk.read_lists(x, order, x[i], own, ids, 5)
+            s = x @ x[i]
+            want = [r for r in np.lexsort((ids, -s)) if not own[r]][:5]
+            assert rows.tolist() == want and scores.tolist() == s[want].tolist()
+            read += entries
+        shares[name] = read / (20 * x.size)
+    assert shares["skewed"] < 0.5 and shares["skewed"] < shares["spread"] <= 1
+    none = topk.read_lists(x[:1], order[:1] * 0, x[0], np.array([True]), ids[:1], 5)
+    assert len(none[0]) == 0 and len(topk.read_lists(x[:2], topk.sorted_lists(x[:2]), x[0], np.zeros(2, bool), ids[:2], 5)[0]) == 2
 
 
 def test_forest_recall_against_brute_force(spark):
