@@ -373,6 +373,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each component of near-duplicates.
+
+    Rows are linked by a key of their own, so rows without a doc_id and rows that
+    repeat one take part like others.  Of a component the row of the smallest doc_id
+    stays (rows without one last; among equals, the first written).
+    """
+    # the key is written with the rows: every later read sees the same one
+    keyed = common.materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                                           F.monotonically_increasing_id().alias("__key")), "keyed")
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), F.col("__row.text").alias("text")), words, percent)
+    gone = common.materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("__key"), "component_id"), "gone")
+    members = gone.unionByName(gone.select(F.col("component_id").alias("__key"), "component_id").distinct())
+    own = keyed.select("__key", F.col("__row.doc_id").alias("id")).join(members, "__key")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "__key")
+    stay = own.groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col("first.__key").alias("__key"))
+    drop = members.select("__key").join(stay, "__key", "left_anti")
+    left = keyed.join(drop, "__key", "left_anti")
+    return left.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), words=3, percent=85)
 

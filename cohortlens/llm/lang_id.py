@@ -10,8 +10,12 @@ prediction is the language of the nearest centroid by cosine, which is the
 score; a text farther from it than nearly all (``reject_share``) of the sample
 of that cluster is flagged ``rejected``.
 
-The model holds languages x clusters x dims floats; at most ``max_langs``
-languages (the most frequent) are accepted, an error is raised beyond.
+The model holds languages x clusters x dims floats, in a written table.  Texts are
+compared with at most ``block_bytes`` of centroids at a time; more languages take
+more passes, each keeping a text's best so far, so any number of them is learned
+and what is sent to tasks stays bounded.  The sample takes texts of at most ``max_chars``
+characters; a language that has only longer ones is learned from their first
+``max_chars`` characters.
 
 Edge cases: null, empty and letterless texts give ``und`` with score 0 and are
 rejected; training rows with null language or without letters are ignored;
@@ -98,6 +102,24 @@ class Model:
         return lang, score, far
 
 
+class Table:
+    """All centroids as a table (block, lang, k, centroid, radius), with the idf they use."""
+
+    def __init__(self, idf, rows: DataFrame | None, blocks: int):
+        self.idf, self.rows, self.blocks = idf, rows, blocks
+
+    @property
+    def langs(self) -> list[str]:
+        """The languages learned."""
+        return [] if self.rows is None else [r["lang"] for r in self.rows.select("lang").distinct().orderBy("lang").collect()]
+
+    def block(self, number: int) -> Model:
+        """One block of centroids, in order of language."""
+        got = [] if self.rows is None else self.rows.where(F.col("block") == number).orderBy("lang", "k").collect()
+        return Model(self.idf, np.array([np.frombuffer(r["centroid"], "<f4") for r in got]).reshape(-1, len(self.idf)),
+                     [r["lang"] for r in got], [r["radius"] for r in got])
+
+
 def document_frequency(train: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     """Texts holding each hashed n-gram, over all of ``train``; dims numbers reach the driver."""
 
@@ -142,27 +164,29 @@ def _centroids(texts: list, idf: np.ndarray, clusters: int, reject_share: float,
 
 
 def fit(train: DataFrame, dims: int = 4096, clusters: int = 4, per_lang: int = 800,
-        max_chars: int = 20_000, reject_share: float = 0.01, max_langs: int = 256) -> Model:
+        max_chars: int = 20_000, reject_share: float = 0.01, block_bytes: int = 64 << 20) -> Table:
     """Learns from (text, lang) rows; bounds as stated in the module text."""
-    t = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = [r["lang"] for r in t.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()]
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not langs:
-        return Model(np.zeros(dims, np.float32), np.zeros((0, dims), np.float32), [], [])
+    t = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    langs = common.materialize(t.groupBy("lang").agg(F.min(F.length("text")).alias("shortest")), "langs")
+    if not langs.take(1):
+        return Table(np.zeros(dims, np.float32), None, 1)
     df, n = document_frequency(t, dims)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    h = F.xxhash64("text")
     short = t.where(F.length("text") <= max_chars)
-    keys = short.select("lang", h.alias("h")).distinct()
+    if langs.where(F.col("shortest") > max_chars).take(1):
+        long_only = langs.where(F.col("shortest") > max_chars).select("lang")
+        short = short.unionByName(t.where(F.length("text") > max_chars).join(long_only, "lang", "left_semi")
+                                  .select("lang", F.substring("text", 1, max_chars).alias("text")))
+    short = short.withColumn("h", F.xxhash64("text"))
+    keys = short.select("lang", "h").distinct()
     # two ranks, each pruned in every partition before its shuffle: the first splits a language in 64
     # parts, so the second reads at most 64 * per_lang rows of it, however many partitions there are
     for part in (F.pmod("h", F.lit(64)), F.lit(0)):
         rank = F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))
         keys = keys.withColumn("r", rank).where(F.col("r") <= per_lang).select("lang", "h")
-    first = keys
-    sample = (short.withColumn("h", h).join(F.broadcast(first), ["lang", "h"], "left_semi")
-              .groupBy("lang", "h").agg(F.min("text").alias("text")))
+    # a written table: its size is known, so the join broadcasts it exactly below Spark's threshold
+    first = common.materialize(keys, "sample")
+    sample = short.join(first, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "text"])
@@ -171,28 +195,41 @@ def fit(train: DataFrame, dims: int = 4096, clusters: int = 4, per_lang: int = 8
                              "centroid": [c.astype("<f4").tobytes() for c, _ in found],
                              "radius": [r for _, r in found]})
 
-    rows = (sample.groupBy("lang").applyInPandas(run, "lang string, k int, centroid binary, radius double")
-            .orderBy("lang", "k").collect())
-    return Model(idf, np.array([np.frombuffer(r["centroid"], "<f4") for r in rows]).reshape(-1, dims),
-                 [r["lang"] for r in rows], [r["radius"] for r in rows])
+    rows = common.materialize(sample.groupBy("lang").applyInPandas(
+        run, "lang string, k int, centroid binary, radius double"), "centroids")
+    blocks = max(1, -(-rows.count() * 4 * dims // block_bytes))
+    return Table(idf, rows.withColumn("block", F.pmod(F.xxhash64("lang", "k"), F.lit(blocks)).cast("int")), blocks)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Table | Model) -> DataFrame:
     """All rows and columns of ``docs`` plus ``lang_pred``, ``score``, ``rejected``."""
     docs = docs.drop(*("lang_pred", "score", "rejected"))
     names, at = docs.columns, docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            lang, score, far = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())],
-                names=[*names, "lang_pred", "score", "rejected"])
-
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
             T.StructField("rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    schema = T.StructType([*docs.schema.fields, *more])
+    blocks = model.blocks if isinstance(model, Table) else 1
+    out = docs
+    for number in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(model.block(number) if isinstance(model, Table) else model)
+
+        def run(batches, shared=shared, first=number == 0):
+            for batch in batches:
+                lang, score, far = shared.value.predict(batch.column(at).to_pylist())
+                if not first:
+                    old = [batch.column(len(names) + i).to_pylist() for i in range(3)]
+                    for i, (o, s) in enumerate(zip(old[0], old[1])):
+                        # the block before keeps what it found nearer, or as near and earlier in the alphabet
+                        if lang[i] == "und" or (o != "und" and (s, lang[i]) > (score[i], o)):
+                            lang[i], score[i], far[i] = o, s, old[2][i]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:len(names)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                     pa.array(far, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+
+        out = out.mapInArrow(run, schema)
+        if number + 1 < blocks:
+            out = common.materialize(out, "identified")  # one block of centroids in a task at a time
+    return out
 
 
 def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

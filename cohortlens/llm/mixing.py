@@ -6,7 +6,7 @@ weights scaled to one; without given weights they are proportional to
 Poisson distribution of its source's rate at a uniform seeded by a hash of
 (seed, doc_id), is exploded by that count, and the copies are sorted globally by
 a hash of (seed, doc_id, copy), ties by a hash of the text.  A row without an id
-is known by a hash of its text and source instead, in both hashes, so such rows
+is known by an md5 of its text and source instead, in both hashes, so such rows
 draw apart and spread over the order.  The distribution function is a table from
 12 standard deviations and 20 below the rate to as much above, built from the
 mode outwards and scaled to one, so no rate underflows.  Counts per source are combined map-side; the
@@ -17,9 +17,7 @@ documents to it.
 Edge cases: null sources form a source of their own; rows of one id share one
 draw, as do rows without an id that are equal in text and source; a rate of 0
 drops a source; extra columns pass through, ones named copies, copy or
-shuffle_key are replaced.  The SQL knows the rule for ids only: it hashes null
-ids as empty text, so on tables with null ids its draws for them differ.  Its sum
-has 200 terms, so it holds for rates up to about 150 only.
+shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -41,9 +39,10 @@ def _uniform(seed: int, *parts: Column) -> Column:
 
 
 def _identity(row: str, columns: list[str]) -> Column:
-    """What a row is hashed by: its doc_id, or a hash of text and source where that is null."""
-    content = F.xxhash64(*[F.col(f"{row}.{c}") for c in ("text", "source") if c in columns])
-    return F.coalesce(F.col(f"{row}.doc_id").cast("string"), F.concat(F.lit(":"), content.cast("string")))
+    """What a row is hashed by: its doc_id, or an md5 of text and source where that is null."""
+    content = F.concat(*[F.when(F.col(f"{row}.{c}").isNull(), "-").otherwise(F.concat(F.lit("+"), F.md5(F.col(f"{row}.{c}"))))
+                         for c in ("text", "source") if c in columns])
+    return F.coalesce(F.col(f"{row}.doc_id").cast("string"), F.concat(F.lit(":"), content))
 
 
 def rates(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5) -> DataFrame:
@@ -109,20 +108,26 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sql(docs: str, columns: str, alpha: float = 0.5, seed: int = 7) -> str:
-    """DuckDB SQL of :func:`mix` over a relation; the distribution function is summed term by term."""
+    """DuckDB SQL of :func:`mix` over a relation; the distribution functions are summed term by term, in logarithms."""
     u = "(('0x' || substr(md5('{s}:' || {k}), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0"
+    known = ("coalesce(doc_id::VARCHAR, ':' || coalesce('+' || md5(text), '-') || coalesce('+' || md5(source), '-'))")
     return f"""
+WITH r AS (
+  SELECT source, w * sum(n) OVER () / (sum(w) OVER () * n) AS rate
+  FROM (SELECT source, count(*) AS n, pow(count(*), {alpha}) AS w FROM {docs} GROUP BY source)),
+p AS (
+  SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+  FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM r)),
+c AS (
+  SELECT source, list(c) AS cdf
+  FROM (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p) GROUP BY source),
+d AS (
+  SELECT d.*, {known} AS known FROM {docs} d)
 SELECT {columns}, copy::INTEGER AS copy, copies::INTEGER AS copies,
-       {u.format(s=seed + 1, k="coalesce(doc_id::VARCHAR, '') || ':' || copy::VARCHAR")} AS shuffle_key
+       {u.format(s=seed + 1, k="known || ':' || copy::VARCHAR")} AS shuffle_key
 FROM (
-  SELECT d.*, (SELECT count(*) FROM (
-      SELECT sum(p) OVER (ORDER BY k) AS c FROM (
-        SELECT k, exp(-r.rate + k * ln(r.rate) - lgamma(k + 1)) AS p FROM range(0, 200) AS g(k)))
-    WHERE c <= {u.format(s=seed, k="coalesce(d.doc_id::VARCHAR, '')")}) AS copies
-  FROM {docs} d JOIN (
-    SELECT source, w * sum(n) OVER () / (sum(w) OVER () * n) AS rate
-    FROM (SELECT source, count(*) AS n, pow(count(*), {alpha}) AS w FROM {docs} GROUP BY source)) r
-  ON d.source IS NOT DISTINCT FROM r.source), range(1, copies + 1) AS e(copy)
+  SELECT d.*, len(list_filter(c.cdf, lambda x: x <= {u.format(s=seed, k="d.known")})) AS copies
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source), range(1, copies + 1) AS e(copy)
 """
 
 

@@ -2,7 +2,7 @@
 
 Pattern spans (``assign``, ``access``, ``hex``) come straight from regular
 expressions.  On top of them every long token whose alphabet can be inferred
-(hex, upper hex, base32, base64) is put through three tests of the hypothesis
+(hex, upper hex, base32, base36, base64) is put through three tests of the hypothesis
 "symbols are independent and uniform over the inferred alphabet":
 
 * chi-squared of the symbol counts (upper tail, Wilson-Hilferty),
@@ -15,8 +15,12 @@ class) stratum.  Thresholds control the share of non-random tokens among the
 reported ones: the number of random tokens of a stratum is estimated from the
 upper half of its p-values, where non-random ones are scarce, and the smallest
 cut whose estimated false share is at most ``fdr`` is taken.  Short tokens give
-the tests little power, long ones much, hence one cut per length class.  The
-strata (4 encodings x at most 32 length classes x 100 p-value bins) bound what
+the tests little power, long ones much, hence one cut per length class.  A
+stratum of fewer than ``LEAST`` tokens says little by itself: it is judged with
+the nearest length classes of its encoding, and where the whole encoding has fewer,
+what is missing is filled up with random tokens' even p-values, so a lone random
+token is reported unless its p-value is among the lowest.  The
+strata (5 encodings x at most 32 length classes x 100 p-value bins) bound what
 reaches the driver, whatever the corpus.
 
 Edge cases: null and empty texts have no spans; every input row gives one
@@ -42,6 +46,7 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "upperhex": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 
@@ -75,6 +80,7 @@ def _encoding(t: Column) -> Column:
     return (F.when(t.rlike("^[0-9a-f]+$") & digit & low, "hex")
             .when(t.rlike("^[0-9A-F]+$") & digit & up, "upperhex")
             .when(t.rlike("^[A-Z2-7]+$") & digit & up, "base32")
+            .when(t.rlike("^[0-9a-z]+$") & digit & low, "base36")
             .when(digit & low & up, "base64"))
 
 
@@ -132,22 +138,40 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "_tok", "_typed", "_coded")
 
 
+#: Tokens that a cut is estimated from at least.
+LEAST = 50
+
+
+def pooled(strata: dict, size: int, grid: int) -> list:
+    """Histogram of a length class with its neighbours, up to LEAST tokens; ``strata``: length class -> histogram."""
+    near = sorted(strata, key=lambda c: (abs(c - size), c))
+    hist = [0.0] * grid
+    for c in near:
+        if sum(hist) >= LEAST:
+            break
+        hist = [a + b for a, b in zip(hist, strata[c])]
+    lack = max(0.0, LEAST - sum(hist))
+    return [a + lack / grid for a in hist]
+
+
 def thresholds(scanned: DataFrame, fdr: float = 0.1, grid: int = 100) -> list:
-    """(enc, len_class, cut) per stratum; at most 4 x 32 rows come back."""
+    """(enc, len_class, cut) per stratum; at most 5 x 32 rows come back."""
     bins = (scanned.select(F.explode("tokens").alias("x"))
             .groupBy(F.col("x.enc").alias("enc"), F.col("x.len_class").alias("len_class"),
                      F.least(F.floor(F.col("x.p") * grid), F.lit(grid - 1)).cast("int").alias("b"))
             .count())
     strata: dict = {}
     for r in bins.collect():
-        strata.setdefault((r["enc"], r["len_class"]), [0] * grid)[max(r["b"], 0)] += r["count"]
+        strata.setdefault(r["enc"], {}).setdefault(r["len_class"], [0] * grid)[max(r["b"], 0)] += r["count"]
     out = []
-    for (enc, size), hist in sorted(strata.items()):
-        above = [sum(hist[b:]) for b in range(grid)]
-        random = 2.0 * above[grid // 2]
-        cut = next(b for b in range(1, grid // 2 + 1)
-                   if above[b] - random * (1 - b / grid) <= fdr * above[b])
-        out.append((enc, size, cut / grid))
+    for enc, own in sorted(strata.items()):
+        for size in sorted(own):
+            hist = pooled(own, size, grid)
+            above = [sum(hist[b:]) for b in range(grid)]
+            random = 2.0 * above[grid // 2]
+            cut = next(b for b in range(1, grid // 2 + 1)
+                       if above[b] - random * (1 - b / grid) <= fdr * above[b])
+            out.append((enc, size, cut / grid))
     return out
 
 

@@ -219,3 +219,74 @@ def test_packing_edges(edge, nothing):
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
     assert total[1] == 1 and total[2] == 1 and set(total) == {None, *range(1, 10)}
     assert packing.pack(nothing).count() == 0
+
+
+def test_any_number_of_languages_in_blocks_and_long_texts(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        letters = [chr(0x3041 + int(c)) for c in rng.choice(5000, 12, replace=False)]
+        rows += [(f"l{i:03d}", "".join(rng.choice(letters, 60).tolist()), j) for j in range(4)]
+    only_long = "lang with long texts only 0123456789 " * 50
+    rows += [("long", only_long + str(j), j) for j in range(3)]
+    df = spark.createDataFrame(rows, "lang string, text string, j int")
+    train = df.where("j > 0").select("text", "lang")
+    kw = {"dims": 512, "clusters": 2, "max_chars": 1000}
+    whole, cut = lang_id.fit(train, **kw), lang_id.fit(train, block_bytes=200_000, **kw)
+    assert whole.blocks == 1 and cut.blocks > 4
+    test = df.where("j = 0")
+    a, b = ({r["text"]: (r["lang_pred"], round(r["score"], 5), r["rejected"], r["lang"])
+             for r in lang_id.identify(test, m).collect()} for m in (whole, cut))
+    assert a == b and np.mean([p == lang for p, _, _, lang in a.values()]) > 0.95
+    assert a[only_long + "0"][0] == "long"
+
+
+def test_identify_equals_brute_force_over_one_table_of_centroids(spark):
+    docs = common.documents(spark, SF).select("doc_id", "text", "lang")
+    model = lang_id.fit(docs.where("doc_id % 2 = 0").select("text", "lang"), dims=512)
+    rows = sorted(model.rows.collect(), key=lambda r: (r["lang"], r["k"]))
+    c = np.array([np.frombuffer(r["centroid"], "<f4") for r in rows])
+    got = {r["doc_id"]: r for r in lang_id.identify(docs, model).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        if not any(x.isalpha() for x in text):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        v = lang_id.gram_counts([text], 512)[0].astype(float)
+        v = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * model.idf
+        cos = c @ (v / np.linalg.norm(v))
+        k = int(cos.argmax())
+        assert abs(got[r["doc_id"]]["score"] - cos[k]) < 1e-4
+        assert got[r["doc_id"]]["lang_pred"] == rows[k]["lang"] or cos[k] - np.sort(cos)[-2] < 1e-4
+
+
+def test_mix_equals_its_sql_without_ids_and_at_any_rate(spark, frame):
+    import duckdb
+    rows = [(None if i % 3 else i, f"t{i % 50}" if i % 7 else None, None, f"s{i % 2}" if i % 11 else None) for i in range(400)]
+    rows += [(1000 + i, "x", None, f"rare{i}") for i in range(2)]
+    rows = [r for r in rows for _ in range(1 if r[3] and r[3].startswith("rare") else 4)]
+    docs = frame(rows).select("doc_id", "source", "text")
+    con = duckdb.connect()
+    con.register("d", docs.toArrow())
+    for alpha in (0.5, -0.6):  # negative: the rare sources are repeated hundreds of times
+        sql = mixing.mix_sql("d", "doc_id, source, text", alpha)
+        want = con.execute(f"SELECT doc_id, source, text, copy, copies, shuffle_key FROM ({sql})").fetchall()
+        got = [tuple(r) for r in mixing.mix(docs, alpha=alpha).select(
+            "doc_id", "source", "text", "copy", "copies", "shuffle_key").collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert max(r[4] for r in want) > 200
+
+
+def test_rows_without_ids_are_deduplicated(spark, frame, clash):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text, "a", "s1"), (None, text, "b", "s2"), (None, text + " more", "c", "s3"), (9, other, "d", "s4"), (9, other, "e", "s5"),
+            (None, other + " x", "f", "s6"), (12, other, "g", "s7"), (None, None, "h", "s8"), (None, None, "i", "s9"), (3, "", "j", "s10")]
+    from cohortlens.llm import hyperminhash
+    extra = {k: v for k, v in clash.items()}
+    out = hyperminhash.one_of_each(frame(rows, **extra))
+    assert out.columns == frame(rows, **extra).columns
+    left = [(r["doc_id"], r["lang"]) for r in out.collect()]
+    assert len(left) == 5 and {x for _, x in left} >= {"h", "i", "j"}
+    assert sum(i is None and x in "abc" for i, x in left) == 1 and [i for i, x in left if x in "defg"] == [9]
+    assert hyperminhash.one_of_each(frame([])).count() == 0

@@ -243,3 +243,19 @@ def test_line_dedup_edges(edge, nothing):
     text = {r["doc_id"]: r["text"] for r in out.collect()}
     assert text[8] == "l1\nl2\nl3\nl4" and text[9] == "" and text[1] is None
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+@pytest.mark.parametrize("kind,size", [("base64", 40), ("base36", 40), ("base36", 26), ("base32", 48)])
+def test_few_planted_tokens_are_reported(frame, kind, size):
+    letters = {"base64": secrets.ALPHABETS["base64"][:62]}.get(kind, secrets.ALPHABETS[kind])
+    rng = np.random.default_rng(size)
+    rows, i = [], 0
+    while len(rows) < 5:
+        t = "".join(rng.choice(list(letters), size).tolist())
+        i += 1
+        if any(c.isdigit() for c in t):
+            rows.append((len(rows), f"see {t} there"))
+    assert sum(len(r["random"]) for n in (1, 3) for r in secrets.find_secrets(frame(rows[:n])).collect()) >= 3
+    assert sum(len(r["random"]) for r in secrets.find_secrets(frame(rows)).collect()) >= 4
+    flat = [(k, f"see {'aaaa1111' * 6} abcdefghijklmnopqrstuvwxyz012345 there {k}") for k in range(5)]
+    assert sum(len(r["random"]) for r in secrets.find_secrets(frame(flat)).collect()) == 0
