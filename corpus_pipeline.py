@@ -27,9 +27,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8)."""
-    gone = hyperminhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.select(COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates (five words, similarity 0.8), with or without ids."""
+    return hyperminhash.one_of_each(docs.select(COLUMNS), words=5, percent=80).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
