@@ -1,16 +1,17 @@
 """Exact top-k by inner product through no-random-access aggregation of sorted lists.
 
 A block of rows holds one list a component, sorted once: its rows in order of that
-component.  For a query a list is read from the end where the query's weight makes
-contributions largest, in chunks of positions; only entries read are multiplied.
-After each chunk a row has a lower bound (what was read of it, plus the least entry
-of the lists it was not met in) and an upper bound (what was read, plus the last
-entry read of the others).  Reading stops once no row that was never met can reach
-the k-th best lower bound and at most 4 k rows have an upper bound that does; their
-scores are then resolved from their remaining entries and the best k stay.  At full
-depth everything has been read, so the result is exact on any data.  How early it stops depends
-on the data: a few components that carry the score close the bounds soon, evenly
-spread ones late.
+component.  A query reads a list from the end where its weight makes contributions
+largest, down to a depth, the same in all lists; queries of a batch read together, so
+what is read at a depth is one matrix of entries (zero where nothing is read yet).
+At each depth a row has a lower bound (what was read of it, plus the least entry of
+the lists it was not met in) and an upper bound (what was read, plus the last entry
+read of the others).  A query stops once no row that was never met can reach the
+k-th best lower bound and at most 4 k rows have an upper bound that does; their
+scores are then resolved from all their entries and the best k stay.  Other queries
+read on at twice the depth.  At full depth everything has been read, so the result
+is exact on any data.  How early queries stop depends on the data: a few components
+that carry the score close the bounds soon, evenly spread ones late.
 
 Rows and queries are dealt to blocks by a hash of their id; each (row block,
 query block) pair is one task's group of bounded size, and it emits at most k
@@ -31,51 +32,53 @@ from pyspark.sql import functions as F
 from cohortlens.llm import common
 from cohortlens.llm.vectors import valid_vectors
 
-def sorted_lists(x: np.ndarray) -> np.ndarray:
-    """Per component, the rows in ascending order of it."""
-    return np.argsort(x, axis=0, kind="stable")
-
-
-def read_lists(x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int,
-               chunk: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, entries read) of the k best rows of one query; ``own`` rows are no candidates."""
-    n, d = x.shape
-    if not n or own.all():
-        return np.zeros(0, np.int64), np.zeros(0, x.dtype), 0
-    at = np.arange(d)
-    high = q >= 0  # read from the end of the ascending list
-    least = q * x[np.where(high, order[0], order[-1]), at]
-    got, bottom, met = np.zeros(n, x.dtype), np.zeros(n, x.dtype), np.zeros((n, d), dtype=bool)
-    depth, enough = 0, min(k, int((~own).sum()))
-    while True:
-        to = min(n, depth + max(chunk, depth))  # the depth doubles
-        place = np.arange(depth, to)[:, None]
-        rows = order[np.where(high, n - 1 - place, place), at]
-        entries = x[rows, at] * q
-        got += added(rows, entries, n)
-        bottom += added(rows, np.broadcast_to(least, rows.shape), n)
-        met[rows, at] = True
-        depth, last = to, entries[-1]
-        lower = (got + (least.sum() - bottom))[~own]
-        bar = np.partition(lower, len(lower) - enough)[len(lower) - enough]
-        if depth < n and last.sum() >= bar:
-            continue  # a row never met could still qualify
-        upper = got + (last.sum() - met.astype(x.dtype) @ last)
-        close = np.flatnonzero((upper >= bar) & ~own)
-        if depth < n and len(close) > 4 * k:
-            continue
-        score = got[close] + (np.where(met[close], 0, x[close]) @ q)  # the entries not read yet
-        best = np.lexsort((ids[close], -score))[:k]
-        return close[best], score[best], depth * d
-
-
-def added(rows: np.ndarray, entries: np.ndarray, n: int) -> np.ndarray:
-    """Sums of entries per row; doubles are summed as such, integers as integers."""
-    if entries.dtype == np.float64:
-        return np.bincount(rows.ravel(), entries.ravel(), n)
-    out = np.zeros(n, entries.dtype)
-    np.add.at(out, rows, entries)
-    return out
+#: Queries that read together.
+CHUNK = 64
+
+
+class Lists:
+    """The sorted lists of a block: for each component its rows from the highest entry and from the lowest."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.sorted = x, np.sort(x, axis=0)
+        self.rank = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0, kind="stable").astype(np.int32)
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entries over the lists' least, entries over the last read, last read) at a depth.
+
+        Columns: the lists read from the top, for positive weights, then those read
+        from the bottom, for negative ones; entries not read are 0 in both.
+        """
+        n = len(self.x)
+        top, bottom = self.rank >= n - depth, self.rank < depth
+        last = self.sorted[n - depth], self.sorted[depth - 1]
+        least = self.sorted[0], self.sorted[-1]
+        over = [np.concatenate([(self.x - e[0]) * top, (self.x - e[1]) * bottom], axis=1) for e in (least, last)]
+        return over[0], over[1], np.concatenate(last)
+
+    def best(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, first: int = 64):
+        """(query, rows, scores, entries read) of each query's k best rows; ``own`` (queries x rows) are no candidates."""
+        n, d = self.x.shape
+        signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+        least = signed @ np.concatenate([self.sorted[0], self.sorted[-1]])
+        todo, depth = np.flatnonzero((~own).any(axis=1)), min(n, max(first, n // 16))
+        while len(todo):
+            over_least, over_last, last = self.read(depth)
+            lower = least[todo, None] + signed[todo] @ over_least.T
+            free = (~own[todo]).sum(axis=1)
+            bar = np.array([np.partition(row[~o], f - min(k, f))[f - min(k, f)] for row, o, f in zip(lower, own[todo], free)])
+            reach = signed[todo] @ last  # a row never met has this at most
+            upper = reach[:, None] + signed[todo] @ over_last.T
+            on = []
+            for i, q in enumerate(todo.tolist()):
+                close = np.flatnonzero((upper[i] >= bar[i]) & ~own[q])
+                if depth < n and (reach[i] >= bar[i] or len(close) > 4 * k):
+                    on.append(q)
+                    continue
+                score = self.x[close] @ queries[q]
+                order = np.lexsort((ids[close], -score))[:k]
+                yield q, close[order], score[order], depth * d
+            todo, depth = np.array(on, dtype=np.int64), min(n, 2 * depth)
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, rows_per_block: int = 8192,
@@ -100,13 +103,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, rows_per_block: int = 8
         if len(a) and len(b):
             x, y = matrix(a), matrix(b)
             ids, qids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
-            small = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1] < 2 ** 51
-            kind = np.float64 if small else np.int64  # doubles hold every partial sum exactly
-            x, y = x.astype(kind), y.astype(kind)
-            order = sorted_lists(x)
-            for q in range(len(y)):
-                rows, scores, _ = read_lists(x, order, y[q], ids == qids[q], ids, k)
-                found += [(qids[q], i, int(v)) for i, v in zip(ids[rows].tolist(), scores.tolist())]
+            # every partial sum is exact in the narrowest kind that holds it
+            size = 4.0 * float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
+            kind = np.float32 if size < 2 ** 24 else np.float64 if size < 2 ** 53 else np.int64
+            lists, y = Lists(x.astype(kind)), y.astype(kind)
+            for s in range(0, len(y), CHUNK):
+                own = qids[s:s + CHUNK, None] == ids[None]
+                for q, rows, scores, _ in lists.best(y[s:s + CHUNK], own, ids, k):
+                    found += [(qids[s + q], i, int(v)) for i, v in zip(ids[rows].tolist(), scores.tolist())]
         return pa.table({n_: pa.array([f[i] for f in found], pa.int64())
                          for i, n_ in enumerate(("query_id", "vec_id", "score"))})
 
