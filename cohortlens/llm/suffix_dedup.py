@@ -23,6 +23,16 @@ nothing is lost by sorting only the anchors' suffixes.
    entry holds the same bytes at the same distance (compared exactly).
 5. Repeated strings become intervals of their document, which are merged and cut.
 
+A passage of many short words can be shared and yet be shorter than ``length``
+bytes.  Such ones are counted, not cut: ``n_shared`` is the number of different strings
+of ``words`` words of a document that another document holds too (same words, any
+ASCII whitespace between them, texts taken whole).  They are anchored alike: a
+string of words picks the smallest hash among its leading 16-word grams, grams
+of two documents or more pass a bitmap, the strings their anchors decide on are
+counted by two hashes (of the gram and of the whole string).  A bitmap too full
+for a table lets more strings through and changes no result.  Rows of one id and
+equal text are one document here.
+
 A hash of more than ``hot`` anchors (a passage of very many documents, a periodic
 text) would put all of its contexts, which differ around the passage, into one
 bucket.  Its anchors are split by the single strings they decide on: a task finds
@@ -42,6 +52,7 @@ from __future__ import annotations
 
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +69,9 @@ STRINGS_PER_BUCKET = 500_000
 _TABLE = common.mix64(np.arange(256, dtype=np.uint64) + U(77))
 _BASE = U(0x9E3779B97F4A7C15)
 NULL_ID = -(1 << 63)
+WORDS = 50
+WORD_GRAM = 16
+_UNBASE = U(pow(int(_BASE), -1, 1 << 64))
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, window: int):
@@ -354,12 +368,121 @@ def repeated_starts(group: list, length: int):
                 start = None
 
 
-def removable(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """Rows (rid, h, text, marks): text as given (null: empty), marks array<struct<s,e>> of bytes to cut."""
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of texts laid end to end, and each text's first word (n + 1 entries)."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if not inside.any():
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    edges = off[:-1][np.diff(off) > 0]
+    new[edges] = inside[edges]
+    at = np.flatnonzero(inside)
+    first = np.flatnonzero(new[at])
+    size = np.diff(np.append(first, len(at)))
+    powers = np.multiply.accumulate(np.full(int(size.max()), _BASE, dtype=np.uint64))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    return (common.mix64(np.add.reduceat(_TABLE[data[at]] * powers[place], first)),
+            np.searchsorted(at[first], off))
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word that has so many after it."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    one = np.ones(1, dtype=np.uint64)
+    up = np.multiply.accumulate(np.append(one, np.full(len(h) - 1, _BASE, dtype=np.uint64)))
+    down = np.multiply.accumulate(np.append(one, np.full(len(h) - n, _UNBASE, dtype=np.uint64)))
+    total = np.append(np.zeros(1, np.uint64), np.add.accumulate(h * up))
+    return common.mix64((total[n:] - total[:-n]) * down + U(n))
+
+
+def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, gram hash of the anchor, hash of the string) of every string of ``words`` words."""
+    h, begin = word_hashes(data, off)
+    gram = min(WORD_GRAM, words)
+    grams, whole, window = gram_hashes(h, gram), gram_hashes(h, words), words - gram + 1
+    room = np.maximum(np.diff(begin) - words + 1, 0)
+    starts = common.ragged(begin[:-1], room)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while span * 2 <= window:
+        least, span = np.minimum(least[:-span], least[span:]), span * 2
+    if span < window:
+        least = np.minimum(least[:len(least) - (window - span)], least[window - span:])
+    at = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
+    return np.repeat(np.arange(len(room)), room), grams[at].view(np.int64), whole[starts].view(np.int64)
+
+
+class KeyFilter(common.IdFilter):
+    """An IdFilter of keys that are hashes already."""
+
+    @staticmethod
+    def hashes(column: str) -> list:
+        return [F.col(column), F.shiftrightunsigned(column, 36)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return self.passes(keys, (keys.view(np.uint64) >> U(36)).view(np.int64))
+
+    def holds(self, column: str):
+        """A boolean column."""
+
+        @F.pandas_udf("boolean")
+        def check(keys: pd.Series) -> pd.Series:
+            return pd.Series(self.has(keys.to_numpy(dtype=np.int64)))
+
+        return check(column)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(rid, h, text): id and text hash of every row, the text as given (null: empty)."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"),
+                       F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(rid, h, n_shared) of documents that hold strings of ``words`` words found in another document."""
+    base, d = _keyed(docs), F.xxhash64("rid", "h").alias("d")
+
+    def strings(batches):
+        for batch in batches:
+            data, off = common.utf8(batch.column(2))
+            rid, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b in _groups(off):
+                text, key, string = word_strings(data[off[a]:off[b]], off[a:b + 1] - off[a], words)
+                yield text, rid[a:b][text], h[a:b][text], key, string
+
+    def grams(batches):
+        for text, rid, h, key, _ in strings(batches):
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, rid, h)], names=["key", "rid", "h"])
+
+    def several(rows: DataFrame, *by: str) -> DataFrame:
+        one = rows.select(*by, d).groupBy(*by).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+        return one.where("lo < hi").select(*by)
+
+    known = KeyFilter(common.materialize(several(base.mapInArrow(grams, "key long, rid long, h long"), "key"), "grams"), "key")
+
+    def candidates(batches):
+        for _, rid, h, key, string in strings(batches):
+            ok = known.has(key)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, string, rid, h)],
+                                             names=["key", "string", "rid", "h"])
+
+    rows = common.materialize(base.mapInArrow(candidates, "key long, string long, rid long, h long"), "strings")
+    twice = common.materialize(several(rows, "key", "string"), "shared")
+    return (rows.join(twice, ["key", "string"]).dropDuplicates(["key", "string", "rid", "h"])
+            .groupBy("rid", "h").agg(F.count(F.lit(1)).alias("n_shared")))
+
+
+def removable(docs: DataFrame, length: int = 400, hot: int = HOT, words: int = WORDS) -> DataFrame:
+    """Rows (rid, h, text, marks, n_shared): text as given (null: empty), marks array<struct<s,e>> of bytes to cut."""
     window = min(length - GRAM, max(1, length // 2 - 8))
     need = (length - window + 1) // 8 * 8  # bytes that suffixes of equal strings share at least
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"),
-                       F.xxhash64("text").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = _keyed(docs)
 
     def find(batches):
         for batch in batches:
@@ -417,7 +540,10 @@ def removable(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
                     entries, strings, size = {}, Strings(), 0
         yield _blocks(entries, split_strings(strings, hot_buckets, length))
 
-    joined = base.join(places, ["rid", "h"]).select("rid", "h", "text", "anchors")
+    # only texts that have a place move; the join settles what the filter lets pass
+    d = F.xxhash64("rid", "h").alias("d")
+    chosen = base.select("*", d).where(KeyFilter(places.select(d), "d").holds("d")).drop("d")
+    joined = chosen.join(places, ["rid", "h"]).select("rid", "h", "text", "anchors")
     blocks = joined.mapInArrow(runs, "bucket long, run binary")
 
     def merge(t: pa.Table) -> pa.Table:
@@ -446,7 +572,11 @@ def removable(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
 
     cut = blocks.groupBy("bucket").applyInArrow(merge, "rid long, h long, s long, e long")
     cut = cut.groupBy("rid", "h").agg(F.collect_set(F.struct("s", "e")).alias("marks"))
-    return base.join(cut, ["rid", "h"], "left")
+    found = common.materialize(cut.join(shared_words(docs, words), ["rid", "h"], "full"), "cuts")
+    holds, rows = KeyFilter(found.select(d), "d").holds("d"), base.select("*", d)
+    touched = rows.where(holds).join(found, ["rid", "h"], "left")
+    others = rows.where(~holds).select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("marks", "n_shared")])
+    return touched.unionByName(others).drop("d").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
 
 
 def _blocks(entries: dict, split: list) -> pa.RecordBatch:
@@ -455,8 +585,8 @@ def _blocks(entries: dict, split: list) -> pa.RecordBatch:
                                        pa.array([r for _, r in runs], pa.binary())], names=["bucket", "run"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans array<struct<s,e>>, kept binary) per row; ``hot`` changes no result."""
+def dedup_substrings(docs: DataFrame, length: int = 400, hot: int = HOT, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans array<struct<s,e>>, kept binary, n_shared) per row; ``hot`` changes no result."""
 
     def run(batches):
         for batch in batches:
@@ -479,13 +609,14 @@ def dedup_substrings(docs: DataFrame, length: int = 400, hot: int = HOT) -> Data
                 [pa.array(ids, pa.int64()), pa.array(size, pa.int64()),
                  pa.array([n - len(k) for n, k in zip(size, kept)], pa.int64()),
                  pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                 pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                 pa.array(kept, pa.binary()), batch.column(4)],
+                names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_shared"])
 
-    return removable(docs, length, hot).select("rid", "h", "text", "marks").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
+    return removable(docs, length, hot, words).select("rid", "h", "text", "marks", "n_shared").mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary, n_shared long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(common.documents(spark, sf_dir), 400)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

@@ -177,12 +177,42 @@ def test_substring_dedup_edges(frame, edge, nothing):
     assert len(out) == 13
     twice = [r for r in out if r["doc_id"] == 4]
     assert [r["n_removed"] for r in twice] == [r["n_bytes"] for r in twice] and len(twice) == 2
-    assert not sum(r["n_removed"] for r in out if r["doc_id"] != 4)
+    assert not sum(r["n_removed"] for r in out if r["doc_id"] != 4) and not sum(r["n_shared"] for r in out)
     split = suffix_dedup.dedup_substrings(edge, hot=1).collect()
     assert sorted(split, key=repr) == sorted(out, key=repr)
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
 
 
+def brute_shared(rows, words):
+    """Per row, how many different strings of words another document (id and text) holds too."""
+    split = [re.findall(rb"[^ \t-\r]+", (t or "").encode()) for _, t in rows]
+    own = [[tuple(w[i:i + words]) for i in range(len(w) - words + 1)] for w in split]
+    holders = defaultdict(set)
+    for row, strings in zip(rows, own):
+        for x in strings:
+            holders[x].add(row)
+    return [sum(len(holders[x]) > 1 for x in set(strings)) for strings in own]
+
+
+@pytest.mark.parametrize("words", [50, 20, 9])
+def test_shared_words_equal_brute_force(frame, words):
+    rng = np.random.default_rng(12)
+
+    def text(n, letters="abcdeé"):
+        return "".join(f"{''.join(rng.choice(list(letters), rng.integers(1, 5)))}{rng.choice([' ', '  ', chr(10), chr(9)])}" for _ in range(n))
+
+    passage = text(words)
+    texts = [text(300), text(80) + passage + text(60), passage, " " + passage.replace("\n", " \t"), text(9) + passage[1:],
+             text(40) + text(1).strip() + passage, passage + passage, None, "", "z" * 9000, "y " * 200, " y" * 260,
+             text(3 * words), text(words - 1)]
+    texts += [texts[0], texts[12][5:], texts[13]] + [f"{i} {passage} {i}" for i in range(30)]
+    rows = [*enumerate(texts), (1, texts[1]), (1, texts[0]), (None, texts[12])]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_shared"]) for r in suffix_dedup.dedup_substrings(
+        frame(rows, h=1, rid=2, d=3, key=4, n_shared=5), words=words).collect()), key=repr)
+    want = sorted(((i, len((t or "").encode()), n) for (i, t), n in zip(rows, brute_shared(rows, words))), key=repr)
+    assert got == want and sum(n > 0 for *_, n in want) > 30
+
+
 def test_strings_of_hot_anchors_meet_once_per_task():
     rng = np.random.default_rng(3)
     passage = rng.bytes(200)
