@@ -444,38 +444,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(rid, h, n_shared) of documents that hold strings of ``words`` words found in another document."""
-    base, d = _keyed(docs), F.xxhash64("rid", "h").alias("d")
+    base = _keyed(docs).withColumn("d", F.xxhash64("rid", "h"))
+    texts = base.select("d", "text")
 
     def strings(batches):
         for batch in batches:
-            data, off = common.utf8(batch.column(2))
-            rid, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, off = common.utf8(batch.column(1))
+            d = batch.column(0).to_numpy()
             for a, b in _groups(off):
                 text, key, string = word_strings(data[off[a]:off[b]], off[a:b + 1] - off[a], words)
-                yield text, rid[a:b][text], h[a:b][text], key, string
+                yield text, d[a:b][text], key, string
 
     def grams(batches):
-        for text, rid, h, key, _ in strings(batches):
+        for text, d, key, _ in strings(batches):
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, rid, h)], names=["key", "rid", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(d[new])], names=["key", "d"])
 
     def several(rows: DataFrame, *by: str) -> DataFrame:
-        one = rows.select(*by, d).groupBy(*by).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-        return one.where("lo < hi").select(*by)
+        return rows.groupBy(*by).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select(*by)
 
-    known = KeyFilter(common.materialize(several(base.mapInArrow(grams, "key long, rid long, h long"), "key"), "grams"), "key")
+    known = KeyFilter(common.materialize(several(texts.mapInArrow(grams, "key long, d long"), "key"), "grams"), "key")
 
     def candidates(batches):
-        for _, rid, h, key, string in strings(batches):
-            ok = known.has(key)
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, string, rid, h)],
-                                             names=["key", "string", "rid", "h"])
-
-    rows = common.materialize(base.mapInArrow(candidates, "key long, string long, rid long, h long"), "strings")
+        for text, d, key, string in strings(batches):
+            ok = np.flatnonzero(known.has(key))
+            ok = ok[np.lexsort((key[ok], string[ok], text[ok]))]
+            new = np.ones(len(ok), dtype=bool)
+            new[1:] = np.any([x[ok[1:]] != x[ok[:-1]] for x in (text, string, key)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok[new]]) for x in (key, string, d)], names=["key", "string", "d"])
+
+    rows = common.materialize(texts.mapInArrow(candidates, "key long, string long, d long"), "strings")
     twice = common.materialize(several(rows, "key", "string"), "shared")
-    return (rows.join(twice, ["key", "string"]).dropDuplicates(["key", "string", "rid", "h"])
-            .groupBy("rid", "h").agg(F.count(F.lit(1)).alias("n_shared")))
+    count = rows.join(twice, ["key", "string"]).groupBy("d").agg(F.count(F.lit(1)).alias("found"))
+    # equal rows of a document have found the same strings
+    copies = base.groupBy("d", "rid", "h").agg(F.count(F.lit(1)).alias("copies"))
+    return copies.join(count, "d").select("rid", "h", F.expr("found div copies").alias("n_shared"))
 
 
 def removable(docs: DataFrame, length: int = 400, hot: int = HOT, words: int = WORDS) -> DataFrame:
@@ -503,7 +507,9 @@ def removable(docs: DataFrame, length: int = 400, hot: int = HOT, words: int = W
     twice = common.materialize(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                                .select("key", (F.col("n") > hot).alias("hot")), "repeated")
     # twice is a table, so nothing lies between the join and its shuffles: a hot hash's rows are split
-    places = found.join(twice, "key").groupBy("rid", "h").agg(
+    # a filter keeps most others from the shuffle
+    again = found.where(KeyFilter(twice, "key").holds("key"))
+    places = again.join(twice, "key").groupBy("rid", "h").agg(
         F.collect_set(F.struct("key", "at", "near", "far", "hot")).alias("anchors"))
     places = common.materialize(places, "places")
     singles = F.aggregate(F.filter("anchors", lambda x: x["hot"]), F.lit(0).cast("long"),
