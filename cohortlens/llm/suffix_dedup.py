@@ -24,14 +24,13 @@ nothing is lost by sorting only the anchors' suffixes.
 5. Repeated strings become intervals of their document, which are merged and cut.
 
 A passage of many short words can be shared and yet be shorter than ``length``
-bytes.  Such ones are counted, not cut: ``n_shared`` is the number of different strings
-of ``words`` words of a document that another document holds too (same words, any
-ASCII whitespace between them, texts taken whole).  They are anchored alike: a
-string of words picks the smallest hash among its leading 16-word grams, grams
-of two documents or more pass a bitmap, the strings their anchors decide on are
-counted by two hashes (of the gram and of the whole string).  A bitmap too full
-for a table lets more strings through and changes no result.  Rows of one id and
-equal text are one document here.
+bytes.  Such ones are counted, not cut, by winnowing: of every ``words`` words the
+leftmost smallest hash of a string of PASSAGE words is selected, and ``n_shared``
+is the number of different selected strings of a document that another document
+selects too (same words, any ASCII whitespace between them).  Two documents that
+share ``words`` words select the same string of them, so each counts at least one;
+documents sharing fewer than PASSAGE words count none.  Strings are told by 64-bit
+hashes.  Rows of one id and equal text are one document here.
 
 A hash of more than ``hot`` anchors (a passage of very many documents, a periodic
 text) would put all of its contexts, which differ around the passage, into one
@@ -70,7 +69,7 @@ _TABLE = common.mix64(np.arange(256, dtype=np.uint64) + U(77))
 _BASE = U(0x9E3779B97F4A7C15)
 NULL_ID = -(1 << 63)
 WORDS = 50
-WORD_GRAM = 16
+PASSAGE = 40
 _UNBASE = U(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -397,15 +396,14 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return common.mix64((total[n:] - total[:-n]) * down + U(n))
 
 
-def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, gram hash of the anchor, hash of the string) of every string of ``words`` words."""
+def selected_strings(data: np.ndarray, off: np.ndarray, words: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of the different strings of ``size`` words that texts select."""
     h, begin = word_hashes(data, off)
-    gram = min(WORD_GRAM, words)
-    grams, whole, window = gram_hashes(h, gram), gram_hashes(h, words), words - gram + 1
+    grams, window = gram_hashes(h, size), words - size + 1
     room = np.maximum(np.diff(begin) - words + 1, 0)
     starts = common.ragged(begin[:-1], room)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     least = (grams & U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= window:
@@ -413,7 +411,12 @@ def word_strings(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndar
     if span < window:
         least = np.minimum(least[:len(least) - (window - span)], least[window - span:])
     at = (least[starts] & U(0xFFFFFFFF)).astype(np.int64)
-    return np.repeat(np.arange(len(room)), room), grams[at].view(np.int64), whole[starts].view(np.int64)
+    text, key = np.repeat(np.arange(len(room)), room), grams[at].view(np.int64)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    return text[new], key[new]
 
 
 class KeyFilter(common.IdFilter):
@@ -423,15 +426,13 @@ class KeyFilter(common.IdFilter):
     def hashes(column: str) -> list:
         return [F.col(column), F.shiftrightunsigned(column, 36)]
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        return self.passes(keys, (keys.view(np.uint64) >> U(36)).view(np.int64))
-
     def holds(self, column: str):
         """A boolean column."""
 
         @F.pandas_udf("boolean")
         def check(keys: pd.Series) -> pd.Series:
-            return pd.Series(self.has(keys.to_numpy(dtype=np.int64)))
+            own = keys.to_numpy(dtype=np.int64)
+            return pd.Series(self.passes(own, (own.view(np.uint64) >> U(36)).view(np.int64)))
 
         return check(column)
 
@@ -443,40 +444,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(rid, h, n_shared) of documents that hold strings of ``words`` words found in another document."""
+    """(rid, h, n_shared) of documents with selected strings that another document selects too."""
     base = _keyed(docs).withColumn("d", F.xxhash64("rid", "h"))
-    texts = base.select("d", "text")
+    size = max(1, min(PASSAGE, words - words // 5))
 
-    def strings(batches):
+    def select(batches):
         for batch in batches:
             data, off = common.utf8(batch.column(1))
             d = batch.column(0).to_numpy()
             for a, b in _groups(off):
-                text, key, string = word_strings(data[off[a]:off[b]], off[a:b + 1] - off[a], words)
-                yield text, d[a:b][text], key, string
-
-    def grams(batches):
-        for text, d, key, _ in strings(batches):
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(d[new])], names=["key", "d"])
-
-    def several(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select(*by)
-
-    known = KeyFilter(common.materialize(several(texts.mapInArrow(grams, "key long, d long"), "key"), "grams"), "key")
-
-    def candidates(batches):
-        for text, d, key, string in strings(batches):
-            ok = np.flatnonzero(known.has(key))
-            ok = ok[np.lexsort((key[ok], string[ok], text[ok]))]
-            new = np.ones(len(ok), dtype=bool)
-            new[1:] = np.any([x[ok[1:]] != x[ok[:-1]] for x in (text, string, key)], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok[new]]) for x in (key, string, d)], names=["key", "string", "d"])
-
-    rows = common.materialize(texts.mapInArrow(candidates, "key long, string long, d long"), "strings")
-    twice = common.materialize(several(rows, "key", "string"), "shared")
-    count = rows.join(twice, ["key", "string"]).groupBy("d").agg(F.count(F.lit(1)).alias("found"))
+                text, key = selected_strings(data[off[a]:off[b]], off[a:b + 1] - off[a], words, size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d[a:b][text])], names=["key", "d"])
+
+    rows = common.materialize(base.select("d", "text").mapInArrow(select, "key long, d long"), "strings")
+    shared = rows.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key")
+    shared = common.materialize(shared, "shared")
+    count = (rows.where(KeyFilter(shared, "key").holds("key")).join(shared, "key")
+             .groupBy("d").agg(F.count(F.lit(1)).alias("found")))
     # equal rows of a document have found the same strings
     copies = base.groupBy("d", "rid", "h").agg(F.count(F.lit(1)).alias("copies"))
     return copies.join(count, "d").select("rid", "h", F.expr("found div copies").alias("n_shared"))

@@ -183,19 +183,19 @@ def test_substring_dedup_edges(frame, edge, nothing):
     assert suffix_dedup.dedup_substrings(nothing).count() == 0
 
 
-def brute_shared(rows, words):
-    """Per row, how many different strings of words another document (id and text) holds too."""
+def held(rows, n):
+    """Per row, whether another document (id and text) holds one of its strings of n words."""
     split = [re.findall(rb"[^ \t-\r]+", (t or "").encode()) for _, t in rows]
-    own = [[tuple(w[i:i + words]) for i in range(len(w) - words + 1)] for w in split]
+    own = [{tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in split]
     holders = defaultdict(set)
     for row, strings in zip(rows, own):
         for x in strings:
             holders[x].add(row)
-    return [sum(len(holders[x]) > 1 for x in set(strings)) for strings in own]
+    return [any(len(holders[x]) > 1 for x in strings) for strings in own]
 
 
 @pytest.mark.parametrize("words", [50, 20, 9])
-def test_shared_words_equal_brute_force(frame, words):
+def test_shared_words_lie_between_brute_forces(frame, words):
     rng = np.random.default_rng(12)
 
     def text(n, letters="abcdeé"):
@@ -207,10 +207,13 @@ def test_shared_words_equal_brute_force(frame, words):
              text(3 * words), text(words - 1)]
     texts += [texts[0], texts[12][5:], texts[13]] + [f"{i} {passage} {i}" for i in range(30)]
     rows = [*enumerate(texts), (1, texts[1]), (1, texts[0]), (None, texts[12])]
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_shared"]) for r in suffix_dedup.dedup_substrings(
-        frame(rows, h=1, rid=2, d=3, key=4, n_shared=5), words=words).collect()), key=repr)
-    want = sorted(((i, len((t or "").encode()), n) for (i, t), n in zip(rows, brute_shared(rows, words))), key=repr)
-    assert got == want and sum(n > 0 for *_, n in want) > 30
+    got = {(r["doc_id"], r["n_bytes"]): r["n_shared"] for r in suffix_dedup.dedup_substrings(
+        frame(rows, h=1, rid=2, d=3, key=4, n_shared=5), words=words).collect()}
+    sizes = [(i, len((t or "").encode())) for i, t in rows]
+    sure, possible = held(rows, words), held(rows, max(1, words - words // 5))
+    assert sum(sure) > 30 and not all(possible)
+    for row, must, may in zip(sizes, sure, possible):
+        assert got[row] > 0 if must else got[row] == 0 or may
 
 
 def test_strings_of_hot_anchors_meet_once_per_task():
