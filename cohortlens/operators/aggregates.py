@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import null_safe_join, right_closed_cut
-from cohortlens.operators.ordering import exact_quantiles
+from cohortlens.operators.ordering import exact_quantiles, exact_ranks
 from cohortlens.operators.quality import long_values, with_share
 from cohortlens.session import materialize
 
@@ -38,17 +38,17 @@ def rate_by_category(df: DataFrame, cols: Sequence[str], outcome: str = "y") ->
     """
     long = long_values(df, cols, ids=[outcome], as_type="string", val="level")
     rates = long.groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("rate"))
-    return display_order(rates, ["variable"], [F.desc("rate"), F.asc("level")])
+    return display_order(materialize(rates, "rates"), ["variable"], [F.desc("rate"), F.asc("level")])
 
 
 def display_order(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column],
                   name: str = "ord") -> DataFrame:
-    """Explicit display rank of each category by a statistic.
+    """Explicit display rank of each category by a statistic, from 1.
 
-    Applied to aggregated tables only (one row per level), where a window
-    partition holds the levels of one variable - bounded by its cardinality."""
-    from pyspark.sql import Window
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*part_cols).orderBy(*order)))
+    Ranks are counted over ranges, so the levels of one variable, however many,
+    never meet in one task.  ``order`` is a strict order within ``part_cols``."""
+    ranked = exact_ranks(df, part_cols, order, name="_rank")
+    return ranked.select(*df.columns, (F.col("_rank") + 1).cast("int").alias(name))
 
 
 def rate_with_reference(df: DataFrame, cols: Sequence[str], outcome: str = "y") -> DataFrame:
@@ -79,15 +79,26 @@ def grand_share(df: DataFrame, col: str) -> DataFrame:
     return with_share(counts, [], "n", "share")
 
 
+#: Levels in one row of the grid's blocks.
+LEVEL_BLOCK = 1000
+
+
 def dense_contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """A4/A5: two-way counts including zero cells, long form (a, b, n); NULL is a level.
 
-    The grid is every level of ``a`` with the list of levels of ``b`` (as many
-    as one row of the result has cells); counts are joined to it.
+    Levels of ``b`` are dealt to blocks of LEVEL_BLOCK by their rank; every level
+    of ``a`` meets every block by an equi-join on the block's number, so no list
+    is longer than a block.  Counts are joined to that grid.
     """
     counts = materialize(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")), "cells")
-    levels = counts.select(b).distinct().agg(F.collect_list(F.struct(b))).scalar()
-    grid = counts.select(a).distinct().select(a, F.explode(levels).alias("_l")).select(a, F.col(f"_l.{b}").alias(b))
+    levels = exact_ranks(counts.select(b).distinct(), [], [F.col(b)], name="_rank")
+    blocks = materialize(levels.groupBy(F.floor(F.col("_rank") / LEVEL_BLOCK).alias("_block"))
+                         .agg(F.collect_list(F.struct(b)).alias("_levels")), "level_blocks")
+    n_blocks = max(1, blocks.count())
+    grid = (counts.select(a).distinct()
+            .select(a, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")).alias("_block"))
+            .join(blocks, "_block")
+            .select(a, F.explode("_levels").alias("_l")).select(a, F.col("_l")[b].alias(b)))
     return null_safe_join(grid, counts, [a, b], "left").select(
         a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -205,8 +216,19 @@ def group_bands(df: DataFrame, group: str, value: str, lo_factor: float = 0.8, h
     return df.groupBy(group).agg(lo.alias("band_lo"), hi.alias("band_hi"))
 
 
+def group_value_rows(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Every distinct value of each group as a row, with its position in the group from 1.
+
+    For groups of any number of values: ranks are counted over ranges and no group's
+    values are gathered.  NULL values are no values; a NULL group is a group."""
+    pairs = df.where(F.col(value).isNotNull()).select(group, value).distinct()
+    return display_order(materialize(pairs, "group_values"), [group], [F.asc(value)], name="position")
+
+
 def values_per_group(df: DataFrame, group: str, value: str, sep: str = ",") -> DataFrame:
-    """Sorted distinct values per group (collect_set dedups map-side)."""
+    """A14 as the display's text: sorted distinct values per group in one string (collect_set dedups
+    map-side).  The string holds a group's values by nature; ``group_value_rows`` is the form
+    for groups of many values."""
     return df.groupBy(group).agg(
         F.array_join(F.array_sort(F.collect_set(value)), sep).alias("values"),
         F.count_distinct(value).alias("n_values"))

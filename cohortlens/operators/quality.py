@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import null_safe_join
@@ -68,11 +68,32 @@ def key_uniqueness(df: DataFrame, key: Sequence[str], table_name: str) -> DataFr
 
 
 def cardinality(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Q8: distinct values per column (exact, or HyperLogLog++ at scale)."""
-    fn = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[fn(F.col(c)).alias(c) for c in df.columns])
-    return stack_scalars(wide, df.columns, "column_name", "n_distinct") \
-        .select("column_name", F.col("n_distinct").cast("long").alias("n_distinct"))
+    """Q8: distinct values per column, NULL not counted: exact by default, by HyperLogLog++ with ``approx``.
+
+    Exact counts group narrow (column, value) rows once, combined before the shuffle, and count
+    the groups; no row carries the other columns.  -0.0 and 0.0 are one value.
+    """
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in df.columns])
+        return stack_scalars(wide, df.columns, "column_name", "n_distinct") \
+            .select("column_name", F.col("n_distinct").cast("long").alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+    text = df.select(*[_as_text(f).alias(f.name) for f in df.schema.fields])
+    values = text.unpivot([], df.columns, "column_name", "value").where(F.col("value").isNotNull()).distinct()
+    counts = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return names.join(counts, "column_name", "left").select(
+        "column_name", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
+
+
+def _as_text(field) -> Column:
+    """A text that is the same for equal values only."""
+    kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
+    if kind in ("double", "float"):
+        return (c + F.lit(0.0).cast(kind)).cast("string")
+    if kind == "binary":
+        return F.hex(c)
+    nested = kind.startswith(("array", "map", "struct"))
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v")))) if nested else c.cast("string")
 
 
 def constant_columns(df: DataFrame) -> DataFrame:

@@ -120,14 +120,18 @@ def chi_square_asymptotic(df: DataFrame, cols: Sequence[str], outcome: str = "y"
         F.col("pValue").alias("p_value"))
 
 
+#: Simulations drawn from one copy of a variable's margins.
+SIM_BLOCK = 100
+
+
 def mc_pvalue(df: DataFrame, cols: Sequence[str], outcome: str = "y", b: int = 2000,
               seed: int = 2024, alpha: float = 0.05, n_partitions: int | None = None) -> DataFrame:
     """Monte-Carlo p-value with both margins fixed, p = (1 + #{sim >= obs}) / (B + 1).
 
     Each simulated table is drawn cell-row by cell-row from a multivariate
     hypergeometric over the column margins, so a draw costs O(r*c) and not
-    O(n).  The B x k simulations are rows (explode of a sequence), spread over
-    partitions and evaluated by a vectorised pandas function per batch.
+    O(n).  A variable's margins travel once for every SIM_BLOCK of its B simulations;
+    those blocks are rows spread over partitions, drawn in a pandas function.
     """
     long = long_values(df, cols, ids=[outcome], as_type="string", val="level")
     cells = long.groupBy("variable", "level").agg(
@@ -137,8 +141,8 @@ def mc_pvalue(df: DataFrame, cols: Sequence[str], outcome: str = "y", b: int = 2
         F.transform(F.array_sort(F.collect_list(F.struct("level", F.array("o0", "o1").alias("o")))),
                     lambda x: x["o"]).alias("table"))
     sims = margins.select("variable", "table",
-                          F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("sim"))
-    nparts = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+                          F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(SIM_BLOCK))).alias("sim"))
+    nparts = n_partitions or len(cols) * -(-b // SIM_BLOCK)
     sims = sims.repartition(nparts, "variable", "sim")
     schema = T.StructType([T.StructField("variable", T.StringType()),
                            T.StructField("sim", T.IntegerType()),
@@ -147,14 +151,12 @@ def mc_pvalue(df: DataFrame, cols: Sequence[str], outcome: str = "y", b: int = 2
 
     def simulate(batches):
         for pdf in batches:
-            obs_out, sim_out = [], []
-            for table, var, sim in zip(pdf["table"], pdf["variable"], pdf["sim"]):
+            for table, var, first in zip(pdf["table"], pdf["variable"], pdf["sim"]):
                 tab = np.array([list(r) for r in table], dtype=np.int64)
-                obs_out.append(_chi2(tab))
-                rng = np.random.default_rng([seed, int(sim), _stable_hash(var)])
-                sim_out.append(_chi2(_fixed_margin_table(rng, tab.sum(1), tab.sum(0))))
-            yield pd.DataFrame({"variable": pdf["variable"], "sim": pdf["sim"].astype("int32"),
-                                "chi_sq_obs": obs_out, "chi_sq_sim": sim_out})
+                sims = np.arange(first, min(first + SIM_BLOCK, b), dtype="int32")
+                drawn = [_chi2(_fixed_margin_table(np.random.default_rng([seed, int(i), _stable_hash(var)]),
+                                                   tab.sum(1), tab.sum(0))) for i in sims]
+                yield pd.DataFrame({"variable": var, "sim": sims, "chi_sq_obs": _chi2(tab), "chi_sq_sim": drawn})
 
     res = sims.mapInPandas(simulate, schema)
     out = res.groupBy("variable").agg(

@@ -31,7 +31,8 @@ from cohortlens.streaming import score_stream as ST
 from cohortlens.session import ensure_checkpoint_dir, materialize
 from cohortlens.sources.profile import (ORDER_CATEGORICALS, ORDER_NUMERICS, profile_table,
                                        scores_table)
-from cohortlens.sources.tables import read_table, schema_report
+from cohortlens.sources.tables import (columns_of_kind, read_csv, read_metric_table, read_table, schema_report,
+                                       write_table)
 
 LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -86,6 +87,36 @@ def q_constant_columns(spark, sf):
     return Q.constant_columns(read_table(spark, sf, "lineitem"))
 
 
+def q_constant_columns_urgent(spark, sf):
+    """Q9 where there is something to find: the profile's rows of the positive outcome."""
+    return Q.constant_columns(_profile(spark, sf).where("y = 1"))
+
+
+def q_modelling_columns(spark, sf):
+    """The profile without its identifier, numeric columns only."""
+    kept = Q.drop_columns(_profile(spark, sf), ["id"])
+    return finalize(kept.select(*columns_of_kind(kept, "numeric")))
+
+
+def _published(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_orders_csv(spark, sf):
+    """The orders table written as CSV and scanned again with its schema."""
+    orders = read_table(spark, sf, "orders")
+    path = _published(spark, "orders_csv")
+    write_table(orders, path, fmt="csv")
+    return finalize(read_csv(spark, path, orders.schema))
+
+
+def q_metric_reread(spark, sf):
+    """S3: the ranking by point-biserial r, published as CSV, re-read with readable names."""
+    path = _published(spark, "pb_ranking")
+    write_table(q_pb_ranking(spark, sf), path, fmt="csv")
+    return read_metric_table(spark, path, fmt="csv", name_col="variable")
+
+
 def q_freq_tables(spark, sf):
     return finalize(Q.freq_table(_profile(spark, sf), ORDER_CATEGORICALS))
 
@@ -235,6 +266,11 @@ def q_values_per_group(spark, sf):
     return A.values_per_group(n.join(r, n.n_regionkey == r.r_regionkey), "r_name", "n_name")
 
 
+def q_group_value_rows(spark, sf):
+    """The part types of every brand, a row each."""
+    return A.group_value_rows(read_table(spark, sf, "part"), "p_brand", "p_type")
+
+
 # ------------------------------------------------------------- statistics
 def q_pearson_long(spark, sf):
     return finalize(S.pearson_long(_profile(spark, sf), ORDER_NUMERICS))

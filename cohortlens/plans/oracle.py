@@ -102,6 +102,12 @@ def oracle_catalog() -> dict[str, str]:
     o["constant_columns"] = "SELECT * FROM (" + _union(
         [f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM lineitem"
          for c in li_all]) + ") WHERE n_distinct = 1"
+    o["constant_columns_urgent"] = with_profile("SELECT * FROM (" + _union(
+        [f"SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM order_profile WHERE y = 1"
+         for c in PROFILE_COLS]) + ") WHERE n_distinct = 1")
+    o["modelling_columns"] = with_profile(
+        "SELECT y, " + ", ".join(c if c in ("n_lines", "returned_lines") else f"{r(c)} AS {c}" for c in NUMS) + " FROM order_profile")
+    o["orders_csv"] = f"SELECT * REPLACE ({r('o_totalprice')} AS o_totalprice) FROM orders"
     o["freq_tables"] = with_profile(
         f"""SELECT variable, level, CAST(count(*) AS BIGINT) AS n,
                    {r('count(*) / sum(count(*)) OVER (PARTITION BY variable)')} AS prop
@@ -230,6 +236,9 @@ def oracle_catalog() -> dict[str, str]:
       SELECT r_name, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS "values",
              CAST(count(DISTINCT n_name) AS BIGINT) AS n_values
       FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+    o["group_value_rows"] = """
+      SELECT p_brand, p_type, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) AS INTEGER) AS position
+      FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_type IS NOT NULL)"""
     # ---------------------------------------------------------- statistics
     pairs = [(a, b) for i, a in enumerate(NUMS) for b in NUMS[i + 1:]]
     corr_long = _union(
@@ -247,6 +256,7 @@ def oracle_catalog() -> dict[str, str]:
     o["pb_ranking"] = with_profile(_union(
         [f"SELECT '{c}' AS variable, {r(f'corr({c}, y)')} AS r_pb, {r(f'abs(corr({c}, y))')} AS abs_r FROM order_profile"
          for c in NUMS]))
+    o["metric_reread"] = f"SELECT replace(variable, '_', ' ') AS variable, r_pb, abs_r FROM ({o['pb_ranking']})"
     o["chi_square"] = _chi_square_sql(cat_long_y)
     o["chi_square_asymptotic"] = _chi_square_tail_sql(cat_long_y)
     o["mc_statistic"] = f"SELECT variable, chi_sq FROM ({_chi_square_sql(cat_long_y)})"

@@ -26,12 +26,12 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
-    """Overwrite-mode sink; CSV gets a header and no row index."""
+    """Overwrite-mode sink; CSV gets a header, NULL as NA and no row index."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("nullValue", "NA").csv(path)
     else:
         w.format(fmt).save(path)
 
@@ -39,7 +39,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
 def read_metric_table(spark: SparkSession, path: str, fmt: str = "parquet",
                       name_col: str = "model") -> DataFrame:
     """S3: re-read a published metric table and prettify the model names."""
-    df = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(path)
+    df = spark.read.option("header", True).option("inferSchema", True).option("nullValue", "NA").format(fmt).load(path)
     if name_col in df.columns:
         df = df.withColumn(name_col, F.regexp_replace(name_col, "_", " "))
     return df
